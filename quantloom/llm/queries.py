@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, mixing
+from quantloom.llm import bpe, langid, mixing, simhash
 from quantloom.llm.common import documents
+from pyspark.sql import functions as F
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return langid.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +64,8 @@ FROM q LEFT JOIN n ON q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.source IS NOT
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op6_simhash_groups": op6_simhash_groups,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_source_mix": op8_source_mix,
 }
