@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, langid, mixing, simhash
+from quantloom.llm import bpe, langid, mixing, simhash, substring_dedup, suffix_dedup
 from quantloom.llm.common import documents
 from pyspark.sql import functions as F
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +36,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -63,10 +71,29 @@ SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(n.copies, 0
 FROM q LEFT JOIN n ON q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.source IS NOT DISTINCT FROM n.source
 """
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(words) - 11)) AS i)
+), r AS (
+  SELECT doc_id, i FROM w JOIN (SELECT h, min(doc_id) AS least FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)) m USING (h) WHERE doc_id > least
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM r
+), g AS (
+  SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op6_simhash_groups": op6_simhash_groups,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_source_mix": op8_source_mix,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE: dict[str, str] = {"op8_source_mix": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL}
