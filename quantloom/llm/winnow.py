@@ -26,8 +26,12 @@ _powers: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(22, int(n).bit_length())
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (BASE, INVERSE)]
+        size, made = 1 << max(21, int(n).bit_length()), []
+        for base in (BASE, INVERSE):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            made.append(np.cumprod(table))
+        _powers[:] = made
     return _powers[0][:n], _powers[1][:n]
 
 
