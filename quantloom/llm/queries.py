@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, langid, mixing, simhash, substring_dedup, suffix_dedup
+from quantloom.llm import bpe, langid, mixing, simhash, substring_dedup, suffix_dedup, toxicity
 from quantloom.llm.common import documents
 from pyspark.sql import functions as F
 
@@ -36,6 +36,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.classify(documents(spark, sf_dir), labels)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_groups": op6_simhash_groups,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_source_mix": op8_source_mix,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL}
