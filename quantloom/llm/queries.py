@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, langid, mixing, simhash, substring_dedup, suffix_dedup, toxicity
+from quantloom.llm import ann_tree, bpe, langid, lattice, mixing, simhash, substring_dedup, suffix_dedup, toxicity
 from quantloom.llm.common import documents
 from pyspark.sql import functions as F
 
@@ -21,6 +21,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op5_lattice_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -96,6 +104,8 @@ FROM d LEFT JOIN g USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_tree_search": op4_tree_search,
+    "op5_lattice_groups": op5_lattice_groups,
     "op6_simhash_groups": op6_simhash_groups,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_source_mix": op8_source_mix,
