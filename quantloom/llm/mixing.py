@@ -88,10 +88,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int =
     copies = with_target.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn(
         "_finish", F.when(F.col("target") > 0, (F.col("_pass") * F.col("source_size") + F.col("_upto")).cast("double") / F.col("target")).otherwise(F.lit(0.0)))
     # at virtual time 1 each source has its target, and the targets fill the budget
-    late = F.least(F.floor(F.col("_finish") * buckets * passes), F.lit(buckets * passes))
+    parts = buckets * passes
+    late = F.when(F.col("_finish") <= 1, F.floor(F.col("_finish") * parts)).otherwise(parts + F.floor((1 - 1 / F.col("_finish")) * parts))
     cut = running(copies.where("size > 0"), [], late, [F.col("_finish"), F.col("source"), F.col("doc_id"), F.col("size"), F.col("_pass")], "_words", "_line")
     taken = cut.where(F.col("_line") <= F.lit(counts["budget"]))
     taken = taken.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     out = with_target.alias("b").join(taken.alias("k"), F.col("b.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("b.source").eqNullSafe(F.col("k.source")) & (F.col("b.size") == F.col("k.size")), "left")
     copies_col = F.coalesce(F.col("k.copies"), F.lit(0))
     return out.select("b.doc_id", "b.source", "b.size", "b.source_size", "b.target", copies_col.alias("copies"), (F.col("b.size") * copies_col).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("b._rows"))).alias("_row")).drop("_row")
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with their columns, each row as often as the mix takes it."""
+    plan = mix_sources(docs, **parameters).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    plan = plan.withColumnsRenamed({"doc_id": "_doc_id", "source": "_source", "size": "_size"})
+    own = docs.withColumn("_words", word_count(F.col("text")))
+    joined = own.join(plan, own["doc_id"].eqNullSafe(plan["_doc_id"]) & own["source"].eqNullSafe(plan["_source"]) & (own["_words"] == plan["_size"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import ann_tree, bpe, langid, lattice, mixing, simhash, substring_dedup, suffix_dedup, toxicity
+from quantloom.llm import ann_tree, bpe, importance, langid, lattice, mixing, simhash, substring_dedup, suffix_dedup, toxicity
 from quantloom.llm.common import documents
 from pyspark.sql import functions as F
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return importance.resample(documents(spark, sf_dir), labels)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir))
 
@@ -49,6 +54,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
@@ -102,6 +113,7 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_tree_search": op4_tree_search,
@@ -111,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL}
