@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WIDE = "decimal(38,18)"
+#: Narrow enough that a product or quotient of the two keeps 16 places or more.
+WIDE, FACTOR = "decimal(24,14)", "decimal(18,12)"
 
 
 def visible(actions: DataFrame, as_of: Column | datetime) -> DataFrame:
@@ -25,7 +26,7 @@ def as_of(actions: DataFrame, when: Column | datetime) -> DataFrame:
 
 def product(list_: Column, name: str, inverse: bool = False) -> Column:
     one = F.lit(1).cast(WIDE)
-    step = (lambda acc, x: (acc / x[name]).cast(WIDE)) if inverse else (lambda acc, x: (acc * x[name]).cast(WIDE))
+    step = (lambda acc, x: (acc / x[name].cast(FACTOR)).cast(WIDE)) if inverse else (lambda acc, x: (acc * x[name].cast(FACTOR)).cast(WIDE))
     return F.aggregate(list_, one, step)
 
 

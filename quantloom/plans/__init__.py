@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from quantloom.plans import market  # noqa: F401
+from quantloom.plans import market, trading  # noqa: F401
 from quantloom.plans.registry import ORACLE
 from quantloom.plans.registry import QUERIES as ALL
 
