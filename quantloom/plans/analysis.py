@@ -14,7 +14,7 @@ from quantloom.sources import tables as T
 
 AXES = """ax AS (SELECT c_custkey AS id, c_acctbal, c_nationkey, [CASE WHEN c_custkey % 4 = 0 THEN 'trading risk' END, CASE WHEN c_custkey % 6 = 0 THEN 'overheated' END] AS w,
     CASE WHEN c_nationkey = 0 THEN NULL ELSE 50 + 30 * tanh((c_acctbal / 1e4) / (c_nationkey / 20.0::DOUBLE) / 0.15) END AS m1, 50 + ((c_acctbal + 1000) / 12000 - 0.5) * 60 AS m2 FROM customer), axes AS (
-  SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE (c_acctbal + 1000) / 110 END AS technical, round(list_avg([greatest(least(m1, 100), 0), greatest(least(m2, 100), 0)]), 4) AS financial, round(50 + 25 * tanh(c_nationkey / 12.0::DOUBLE - 1), 4) AS news,
+  SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE (c_acctbal + 1000) / 110 END AS technical, round(list_avg([CASE WHEN m1 IS NOT NULL THEN greatest(least(m1, 100), 0) END, greatest(least(m2, 100), 0)]), 4) AS financial, round(50 + 25 * tanh(c_nationkey / 12.0::DOUBLE - 1), 4) AS news,
          round(50 - least(40, (id % 4) * 20.0::DOUBLE), 4) AS disclosure, round(CASE WHEN id % 3 = 0 THEN CASE WHEN c_acctbal > 0 THEN 60.0 WHEN c_acctbal < 0 THEN 40.0 ELSE 50.0 END ELSE 50 + 30 * tanh(c_acctbal / 1e7 / 0.001) END, 4) AS investor_flow,
          50 - least(40.0, list_sum(list_transform([x FOR x IN w IF x IS NOT NULL] || [''], lambda v: CASE WHEN v = '' THEN 0.0 WHEN contains(v, 'risk') THEN 25.0 ELSE 15.0 END)))::DOUBLE AS market_risk FROM ax), agg AS (
   SELECT *, (coalesce(technical * 0.3, 0) + financial * 0.2 + news * 0.1 + disclosure * 0.1 + investor_flow * 0.15 + market_risk * 0.15)::DOUBLE / (CASE WHEN technical IS NULL THEN 0.7 ELSE 1.0 END)::DOUBLE AS o, CASE WHEN technical IS NULL THEN 0.7 ELSE 1.0 END AS cov FROM axes)"""
@@ -32,14 +32,14 @@ def axes(spark, sf_dir):
 AXIS = ["technical", "financial", "news", "disclosure", "investor_flow", "market_risk"]
 
 
-@query("axis_scores", f"WITH {AXES} SELECT id, {', '.join(f'round({a}, 3)::DOUBLE AS {a}' for a in AXIS)} FROM axes")
+@query("axis_scores", f"WITH {AXES} SELECT id, {', '.join(f'round({a}::DOUBLE + 1e-7, 2) AS {a}' for a in AXIS)} FROM axes")
 def axis_scores(spark, sf_dir):
-    return axes(spark, sf_dir).select("id", *[F.round(a, 3).alias(a) for a in AXIS])
+    return axes(spark, sf_dir).select("id", *[F.round(F.col(a) + 1e-7, 2).alias(a) for a in AXIS])
 
 
-@query("score_aggregate", f"WITH {AXES} SELECT id, round(o, 3) AS overall_score, cov::DOUBLE AS coverage, CASE WHEN round(o, 4) >= 65 THEN 'positive' WHEN round(o, 4) <= 35 THEN 'negative' ELSE 'neutral' END AS label FROM agg")
+@query("score_aggregate", f"WITH {AXES} SELECT id, round(round(o, 4) + 1e-7, 2) AS overall_score, cov::DOUBLE AS coverage, CASE WHEN round(o, 4) >= 65 THEN 'positive' WHEN round(o, 4) <= 35 THEN 'negative' ELSE 'neutral' END AS label FROM agg")
 def score_aggregate(spark, sf_dir):
-    return S.aggregate(axes(spark, sf_dir)).select("id", F.round("overall_score", 3).alias("overall_score"), "coverage", "label")
+    return S.aggregate(axes(spark, sf_dir)).select("id", F.round(F.col("overall_score") + 1e-7, 2).alias("overall_score"), "coverage", "label")
 
 
 SIGNAL = """sg AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_acctbal + 1000) / 110 END AS s, c_nationkey / 25.0::DOUBLE AS p, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS w FROM customer), sh AS (
