@@ -172,10 +172,13 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     their rows there, in tiles of rows and of queries, so a leaf with most rows
     is searched by many tasks. Vectors that are null, zero, of another length
     than most, or hold null or non-finite components take no part, nor do rows
-    without an id. Rows that repeat an id are candidates once.
+    without an id. Rows that repeat an id are candidates once. No usable vector
+    gives no rows.
     """
     table = table.select(key, F.col(vector).alias("v"), is_query.alias("is_query"))
     d = dimension(table.where(usable(F.col("v"))), "v")
+    if not d:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = table.where(usable(F.col("v")) & (F.size("v") == d) & F.col(key).isNotNull()).withColumn("v", F.transform("v", lambda x: x.cast("double")))
     tree = fit(rows, key, "v", d, k, **tree_parameters)
 
