@@ -86,11 +86,11 @@ METRICS = {"total_return": 6, "max_drawdown": 6, "sharpe_ratio": 4, "win_rate":
 
 
 def metric_pick(source: str, key: str = "symbol") -> str:
-    return f"SELECT {key}, round(ln(1 + cagr), 4) AS log_growth, " + ", ".join(f"round({m}, {n}) AS {m}" for m, n in METRICS.items()) + f", trade_count FROM {source}"
+    return f"SELECT {key}, round(ln(greatest(1 + cagr, 0.001)), 4) AS log_growth, " + ", ".join(f"round({m}, {n}) AS {m}" for m, n in METRICS.items()) + f", trade_count FROM {source}"
 
 
 def metric_show(df, *keys):
-    return df.select(*keys, F.round(F.ln(1 + F.col("cagr")), 4).alias("log_growth"), *[F.round(m, n).alias(m) for m, n in METRICS.items()], "trade_count")
+    return df.select(*keys, F.round(F.ln(F.greatest(1 + F.col("cagr"), F.lit(0.001))), 4).alias("log_growth"), *[F.round(m, n).alias(m) for m, n in METRICS.items()], "trade_count")
 
 
 @query("bt_metrics", f"WITH {DAY_CROSS}, {metric_sql()} {metric_pick('met')}")
