@@ -4,7 +4,6 @@ positions, and decoding."""
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quantloom.llm.common import map_arrow, mix, slices, text_bytes
+from quantloom.llm.common import keep, map_arrow, mix, slices, text_bytes
 
 NONE = np.int64(1) << np.int64(62)
 WIDE = 256
@@ -56,7 +55,7 @@ class Seen:
     """Tokens of pieces that this worker has met, by the pieces' hash; emptied
     when it holds too many."""
 
-    MOST = 1 << 20
+    MOST = 1 << 18
 
     def __init__(self):
         self.hash = np.zeros(0, np.uint64)
@@ -103,13 +102,15 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - (end - size), size) + np.arange(total)]
 
 
-@functools.lru_cache(maxsize=4)
 def load(path: str) -> Ranks:
-    return Ranks(path)
+    return keep(f"bpe:{path}", lambda: Ranks(path))
 
 
-@functools.lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
+    return keep("bpe:classes", class_table)
+
+
+def class_table() -> np.ndarray:
     """Of each code point: letter, number, other or blank, by the same tables as
     the pattern's own engine."""
     import regex

@@ -20,14 +20,31 @@ REPO = str(Path(__file__).resolve().parents[2])
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 TASK_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 LEAST_LONG = -(2**63)
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started."""
+    """Lets Python workers import this package wherever the driver was started,
+    and bounds the bytes of an Arrow batch, which holds whole texts."""
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [REPO, env.get("PYTHONPATH", "")]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_kept: dict[str, object] = {}
+
+
+def keep(kind: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: the tables of one operator at a
+    time, so that the steps of a pipeline don't add up."""
+    if kind not in _kept:
+        family = kind.split(":")[0]
+        for other in [k for k in _kept if k.split(":")[0] != family]:
+            del _kept[other]
+        _kept[kind] = make()
+    return _kept[kind]
 
 
 def scratch(spark: SparkSession) -> str:
@@ -52,6 +69,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs no recomputation beyond the
     table, and the shuffle files of the job that wrote it are freed at its end.
+    The table is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
@@ -61,6 +79,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -79,7 +99,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

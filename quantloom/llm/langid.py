@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_arrow, mix, text_bytes
+from quantloom.llm.common import keep, map_arrow, mix, text_bytes
 
 RUN = re.compile(r"[^\W\d_]+")
 EDGE = "▁"
@@ -23,7 +22,7 @@ SCALE = 16.0  # of a probability for each character, so that long words stay in
 SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS = 500, 20_000, 4
 FOLDS = 5
 NO_LANGUAGE = "und"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 @dataclass
@@ -45,8 +44,11 @@ def char_hash(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 MULTIPLY = np.uint64(0x2545F4914F6CDD1D)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
+    return keep(f"langid:{path}", lambda: read_vocabulary(path))
+
+
+def read_vocabulary(path: str) -> Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -194,18 +196,13 @@ def fit(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, s
 class Words:
     """Scores of the words this worker has met; emptied when there are too many."""
 
-    held: dict[int, "Words"] = {}
-
     def __init__(self):
         self.slot: dict[str, int] = {}
         self.score: np.ndarray | None = None
 
     @classmethod
     def of(cls, model: Model) -> "Words":
-        if model.key not in cls.held:
-            cls.held.clear()
-            cls.held[model.key] = cls()
-        return cls.held[model.key]
+        return keep(f"langid:{model.key}", cls)
 
     def slots(self, words: list[str], model: Model) -> np.ndarray:
         if len(self.slot) > CACHED_WORDS:

@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int =
         "_finish", F.when(F.col("target") > 0, (F.col("_pass") * F.col("source_size") + F.col("_upto")).cast("double") / F.col("target")).otherwise(F.lit(0.0)))
     # at virtual time 1 each source has its target, and the targets fill the budget
     parts = buckets * passes
-    late = F.when(F.col("_finish") <= 1, F.floor(F.col("_finish") * parts)).otherwise(parts + F.floor((1 - 1 / F.col("_finish")) * parts))
+    late = F.when(F.col("_finish") <= 1, F.floor(F.col("_finish") * parts)).otherwise(parts + F.floor(F.ln("_finish") * parts))
     cut = running(copies.where("size > 0"), [], late, [F.col("_finish"), F.col("source"), F.col("doc_id"), F.col("size"), F.col("_pass")], "_words", "_line")
     taken = cut.where(F.col("_line") <= F.lit(counts["budget"]))
     taken = taken.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))

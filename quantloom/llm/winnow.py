@@ -13,26 +13,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from quantloom.llm.common import mix, slices, text_bytes, word_bounds
+from quantloom.llm.common import keep, mix, slices, text_bytes, word_bounds
 
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 2**64)
-STEP = 1 << 20
+STEP = 1 << 18
 PLACE = np.uint64((1 << 21) - 1)
 CORE, SPAN = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
-_powers: list[np.ndarray] = []
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = 1 << max(20, int(n).bit_length())
+    forward, inverse = keep(f"winnow:{size}", lambda: [power_table(b, size) for b in (BASE, INVERSE)])
+    return forward[:n], inverse[:n]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size, made = 1 << max(21, int(n).bit_length()), []
-        for base in (BASE, INVERSE):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            made.append(np.cumprod(table))
-        _powers[:] = made
-    return _powers[0][:n], _powers[1][:n]
+def power_table(base: int, size: int) -> np.ndarray:
+    table = np.full(size, base, np.uint64)
+    table[0] = 1
+    return np.cumprod(table)
 
 
 class Hashes:
@@ -102,7 +100,7 @@ def scan(batches: Iterator[pa.RecordBatch], units, window: int, gram: int) -> It
     """doc_id, text_hash, key, span, at, lo, hi of batches of (doc_id, text_hash, text)."""
     for batch in batches:
         data, at = text_bytes(batch.column(2))
-        for a, b in slices(at, 2 << 20):
+        for a, b in slices(at, 1 << 20):
             u, bounds = units(data[at[a] : at[b]], at[a : b + 1] - at[a])
             for x in anchors(u, bounds, window, gram):
                 rows = pa.array(x["doc"] + a)
