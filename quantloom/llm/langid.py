@@ -18,7 +18,8 @@ RUN = re.compile(r"[^\W\d_]+")
 EDGE = "▁"
 LONGEST_WORD = 256
 UNKNOWN = 1e-7
-SCALE = 16.0  # of a probability for each character, so that long words stay in range
+SCALE = 16.0  # of a probability for each character, so that usual words stay in range
+LOW, HIGH = 1e-100, 1e100  # sums out of this range are scaled anew
 SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS = 500, 20_000, 4
 FOLDS = 5
 NO_LANGUAGE = "und"
@@ -90,19 +91,34 @@ def lattice(words: list[str], vocab: Vocabulary, width: int) -> list[np.ndarray]
     return found
 
 
-def forward(found: list[np.ndarray], prob: np.ndarray, width: int) -> np.ndarray:
-    """Scaled sums over all segmentations of each prefix: (width + 1, words, languages).
+def rescale(sums: np.ndarray, shift: np.ndarray, at: int, reach: slice) -> None:
+    """Brings sums[at] back to 1 where it has left the range, together with all
+    that later steps read, sums[reach]; shift is the logarithm of what was divided out."""
+    now = sums[at]
+    off = (now > 0) & (now < LOW) | (now > HIGH)
+    if off.any():
+        factor = np.where(off, now, 1.0)
+        sums[reach] /= factor
+        shift[reach] += np.log(factor)
+
+
+def forward(found: list[np.ndarray], prob: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled sums over all segmentations of each prefix, (width + 1, words, languages),
+    and the logarithms to add to theirs.
     The last row of prob is all zero and stands for no piece."""
     n, langs = len(found[0]), prob.shape[1]
     alpha = np.zeros((width + 1, n, langs))
+    shift = np.zeros((width + 1, n, langs))
     alpha[0] = 1.0
     for end in range(1, width + 1):
+        shift[end] = shift[end - 1]
         for length in range(1, min(len(found), end) + 1):
             number = found[length - 1][:, end - length]
             some = np.flatnonzero(number >= 0)
             if len(some):
                 alpha[end, some] += alpha[end - length, some] * prob[number[some]] * SCALE**length
-    return alpha
+        rescale(alpha, shift, end, slice(max(0, end - len(found) + 1), end + 1))
+    return alpha, shift
 
 
 def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, int]]:
@@ -121,9 +137,10 @@ def log_likelihood(words: list[str], vocab: Vocabulary, prob: np.ndarray) -> np.
     out = np.zeros((len(words), prob.shape[1]))
     for part, width in by_width(words):
         chosen = [words[i] for i in part]
-        alpha = forward(lattice(chosen, vocab, width), prob, width)
+        alpha, shift = forward(lattice(chosen, vocab, width), prob, width)
         size = np.fromiter(map(len, chosen), np.int64, len(chosen))
-        out[part] = np.log(alpha[size, np.arange(len(chosen))]) - size[:, None] * np.log(SCALE)
+        end = size, np.arange(len(chosen))
+        out[part] = np.log(alpha[end]) + shift[end] - size[:, None] * np.log(SCALE)
     return out
 
 
@@ -133,20 +150,24 @@ def expected(words: list[str], weight: np.ndarray, vocab: Vocabulary, prob: np.n
     for part, width in by_width(words):
         chosen = [words[i] for i in part]
         found = lattice(chosen, vocab, width)
-        alpha = forward(found, prob, width)[:, :, 0]
+        alpha, shift = (a[:, :, 0] for a in forward(found, prob, width))
         size = np.fromiter(map(len, chosen), np.int64, len(chosen))
         n = len(chosen)
         beta = np.zeros((width + 1, n))
         beta[size, np.arange(n)] = 1.0
-        whole = alpha[size, np.arange(n)]
+        shift_beta = np.zeros((width + 1, n))
+        whole = np.log(alpha[size, np.arange(n)]) + shift[size, np.arange(n)]
         for start in range(width - 1, -1, -1):
+            shift_beta[start] = shift_beta[start + 1]
+            before = alpha[start] * np.exp(shift[start] + shift_beta[start] - whole)
             for length in range(1, min(len(found), width - start) + 1):
                 number = found[length - 1][:, start]
                 some = np.flatnonzero(number >= 0)
                 if len(some):
                     step = prob[number[some], 0] * SCALE**length * beta[start + length, some]
                     beta[start, some] += step
-                    np.add.at(counts, number[some], weight[part[some]] * alpha[start, some] * step / whole[some])
+                    np.add.at(counts, number[some], weight[part[some]] * before[some] * step)
+            rescale(beta, shift_beta, start, slice(start, start + len(found)))
     return counts
 
 
@@ -244,9 +265,9 @@ def score_texts(texts: pa.Array, model: Model | None) -> tuple[list[str], list[f
             continue
         seen = Words.of(model)
         slot = seen.slots(words, model)
-        total = np.zeros((len(words) + 1, len(model.languages) + 1))
-        np.cumsum(seen.score[slot], axis=0, out=total[1:])
-        total = np.diff(total[ends], axis=0)
+        first, last = np.array(ends[:-1]), np.array(ends[1:])
+        total = np.zeros((len(first), len(model.languages) + 1))
+        total[first < last] = np.add.reduceat(seen.score[slot], first[first < last], axis=0)
         likely = total[:, :-1]
         best = likely.argmax(1)
         posterior = 1.0 / np.exp(np.maximum(likely - likely.max(1, keepdims=True), -700.0)).sum(1)

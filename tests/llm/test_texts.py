@@ -270,6 +270,36 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got[i], np.log(total))
 
 
+def test_language_of_long_runs(spark):
+    """Runs of letters whose probability is far under a double's range, in a row
+    that the fit learns from and ahead of ordinary rows in one batch."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    vocab = langid.vocabulary(PIECES)
+    prob = np.full((vocab.size + 2, 1), 1.0 / vocab.size)
+    prob[vocab.size], prob[-1] = langid.UNKNOWN, 0.0
+    runs = ["漢" * n for n in (1, 54, 55, 60, 200, 257)] + [langid.EDGE + "acgtqxzk" * 30]
+    got = langid.log_likelihood(runs, vocab, prob)
+    assert np.allclose(got[:6, 0], [n * math.log(langid.UNKNOWN) for n in (1, 54, 55, 60, 200, 257)])
+    assert np.isfinite(got).all()
+    counts = langid.expected(runs, np.arange(1.0, 8.0), vocab, prob)
+    assert counts[vocab.size] == pytest.approx(sum(n * w for n, w in zip((1, 54, 55, 60, 200, 257), range(1, 7))))
+    dear = np.full((vocab.size + 2, 1), 0.5)  # sums that grow instead
+    dear[-1] = 0.0
+    assert np.isfinite(langid.log_likelihood([langid.EDGE + "international" * 19], vocab, dear)).all()
+
+    rows = [(i, "the cat and the dog were there", "en", None) for i in range(40)] + [(100 + i, "der hund und die katze waren dort", "de", None) for i in range(40)]
+    rows += [(i, "漢" * 60 + " the dog", "en", None) for i in range(200, 210)]
+    model = langid.fit(frame(spark, rows), PIECES)
+    assert np.isfinite(model.prob).all()
+    lang, score = langid.score_texts(pa.array(["漢" * 60 + " the cat", "der hund und die katze", "", "the dog and the cat", "x" * 700]), model)
+    assert lang[:4] == ["en", "de", langid.NO_LANGUAGE, "en"] and lang[4] in ("en", "de")
+    assert all(0 <= x <= 1 for x in score) and min(score[0], score[1], score[3]) > 0.9
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_toxicity_accuracy(spark):
     big = "/root/testdata/sf0.1"
