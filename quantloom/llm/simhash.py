@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import components, map_arrow, stage, text_bytes
@@ -21,7 +20,6 @@ RADIUS = 4
 TILE = 1024
 BLOCK = 256
 CHUNK = 1 << 15
-NO_ID = 2**63 - 1
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -122,6 +120,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE) -> D
     return map_arrow(by_pair(paired.select("pair", "side", "node", "fp")), run, "a long, b long")
 
 
+def members(prints: DataFrame, key: str, radius: int) -> DataFrame:
+    """fp, component, least: a row a distinct fingerprint, with the smallest
+    fingerprint reachable over steps of at most radius bits and the least key of
+    its rows. Fingerprints are the nodes, so rows without an id, or that repeat
+    one, tie no groups together."""
+    distinct = stage(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    found = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints
     at most radius bits apart.
@@ -132,19 +140,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     with an id. Repeated rows are returned each. An empty table gives no rows.
     """
     prints = stage(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node")), "distinct")
-    found = components(links(distinct, radius))
-    of = distinct.join(found, "node", "left").select("fp", F.nullif(F.coalesce("component", "node"), F.lit(NO_ID)).alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that are the smallest doc_id of their group, with all their
-    columns; of rows that repeat that doc_id one stays. Documents without an id
-    stay if nobody in their group has one."""
-    of = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
-    groups = near_duplicates(docs, **parameters)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(of("doc_id").alias("_key")).distinct()
-    turn = W.partitionBy("_key").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    out = docs.withColumn("_key", of("doc_id")).join(kept, "_key", "left_semi")
-    return out.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1 or doc_id is null").select(*docs.columns)
+    of = members(prints, "doc_id", radius)
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, with all its columns: the smallest doc_id, or
+    any if nobody in the group has an id; of rows that repeat that doc_id one stays.
+
+    Rows are told apart by two hashes of all their columns, and the least of a
+    group comes from an aggregate, so neither a large group nor rows without an
+    id meet in one task.
+    """
+    cells = [f(F.col(f"`{c}`")) for c in docs.columns for f in (F.isnull, lambda x: x)]
+    rows = docs.withColumns({"_row_a": F.xxhash64(*cells), "_row_b": F.xxhash64(F.lit(1), *cells)})
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_row_a", "_row_b").alias("_row")
+    prints = stage(fingerprints(rows.select(row, "text"), shingle, seed, key="_row"), "fingerprints")
+    kept = members(prints, "_row", radius).groupBy("component").agg(F.min("least").alias("_row")).select("_row._row_a", "_row._row_b")
+    out = rows.join(kept, ["_row_a", "_row_b"], "left_semi")
+    # rows equal in all columns: grouped by a column that the join isn't dealt by, so that each task leaves one before the shuffle
+    return out.withColumn("_row", F.struct("_row_a", "_row_b")).dropDuplicates(["_row"]).select(*[f"`{c}`" for c in docs.columns])

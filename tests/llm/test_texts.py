@@ -148,6 +148,28 @@ def test_simhash(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_simhash_keeps_one_of_each_group_without_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 300, 5000) for _ in range(4))
+
+    def near(t):
+        """A text with another fingerprint, within reach."""
+        w = t.split()
+        for i in range(300):
+            other = " ".join([*w[:i], "q", *w[i + 1 :]])
+            if 0 < (plain_fingerprint(t) ^ plain_fingerprint(other)).bit_count() <= 4:
+                return other
+
+    rows = [(None, a), (None, a), (None, near(a)), (None, b), (1, c), (None, c), (None, near(c)), (5, d), (None, near(d)), (5, d), (5, b + " " + a)]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    group = {a: 0, near(a): 0, b: 1, c: 2, near(c): 2, d: 3, near(d): 3, b + " " + a: 4}
+    kept = [(r.doc_id, group[r.text]) for r in simhash.keep_first(docs).collect()]
+    assert sorted(kept, key=lambda x: x[1]) == [(None, 0), (None, 1), (1, 2), (5, 3), (5, 4)]
+    # groups are not tied together by rows without an id
+    found = {(r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert found == {(plain_fingerprint(t), (None, None, 1, 5, 5)[g]) for t, g in group.items()}
+
+
 def test_simhash_tiles(spark):
     """Buckets far over a tile, against all pairs."""
     import numpy as np
