@@ -3,8 +3,12 @@ candidate factors, revision groups."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
+from decimal import ROUND_HALF_UP, Context, Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,23 +28,46 @@ def as_of(actions: DataFrame, when: Column | datetime) -> DataFrame:
     return visible(actions, when).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n").where("status = 'confirmed'")
 
 
-def product(list_: Column, name: str, inverse: bool = False) -> Column:
-    one = F.lit(1).cast(WIDE)
-    step = (lambda acc, x: (acc / x[name].cast(FACTOR)).cast(WIDE)) if inverse else (lambda acc, x: (acc * x[name].cast(FACTOR)).cast(WIDE))
-    return F.aggregate(list_, one, step)
-
-
 def adjusted(bars: DataFrame, chosen: DataFrame, backward: bool) -> DataFrame:
     """Prices and volumes times the factors of the actions after each bar
-    (backward), or over those up to it (forward), in decimals. Actions are few a
-    symbol: they travel as one list a symbol."""
-    lists = chosen.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("effective_at", "source", "event_id", "price_factor", "volume_factor"))).alias("actions"))
-    df = bars.join(lists, "symbol", "left").withColumn("actions", F.coalesce("actions", F.array().cast("array<struct<effective_at:timestamp_ntz,source:string,event_id:string,price_factor:decimal(24,12),volume_factor:decimal(24,12)>>")))
-    ts = F.col("ts")
-    hit = F.filter("actions", (lambda a: ts < a.effective_at) if backward else (lambda a: ts >= a.effective_at))
-    df = df.withColumn("hit", hit).withColumns({"pf": product(F.col("hit"), "price_factor", not backward), "vf": product(F.col("hit"), "volume_factor", not backward)})
+    (backward), or over those up to it (forward), in decimals. Bars and actions
+    of a symbol lie in one sorted stream and a fold carries the two products, so
+    Spark's sort spills and Python holds one batch however many actions there are."""
+    types = dict(bars.dtypes)
+    cells = ["open", "high", "low", "close", "volume"]
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    places = bars.select("symbol", "ts", *cells, *[none(c, "string") for c in ("source", "event_id")], *[none(c, FACTOR) for c in ("price_factor", "volume_factor")], F.lit(False).alias("is_action"))
+    acts = chosen.where("symbol is not null").select("symbol", F.col("effective_at").cast(types["ts"]).alias("ts"), *[none(c, types[c]) for c in cells], "source", F.col("event_id").cast("string").alias("event_id"), *[F.col(c).cast(FACTOR).alias(c) for c in ("price_factor", "volume_factor")], F.lit(True).alias("is_action"))
+    # an action at the time of a bar counts forward and doesn't backward
+    turn = [F.col("ts").desc_nulls_first(), "is_action"] if backward else [F.col("ts").asc_nulls_first(), F.desc("is_action")]
+    line = places.unionByName(acts).repartition("symbol").sortWithinPartitions("symbol", *turn, "source", "event_id", "price_factor", "volume_factor")
+    step_places, end_places = Decimal(1).scaleb(-21 if backward else -16), Decimal(1).scaleb(-14)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = Context(prec=76, rounding=ROUND_HALF_UP)
+        apply = exact.multiply if backward else exact.divide
+        one = exact.quantize(Decimal(1), end_places)
+        last, price, volume, applied = None, one, one, 0
+
+        def step(now: Decimal | None, factor: Decimal | None) -> Decimal | None:
+            return None if now is None or factor is None else exact.quantize(exact.quantize(apply(now, factor), step_places), end_places)
+
+        for batch in batches:
+            found = []
+            for symbol, is_action, pf, vf in zip(*(batch.column(c).to_pylist() for c in ("symbol", "is_action", "price_factor", "volume_factor"))):
+                if symbol != last:
+                    last, price, volume, applied = symbol, one, one, 0
+                if is_action:
+                    price, volume, applied = step(price, pf), step(volume, vf), applied + 1
+                else:
+                    found.append((price, volume, applied))
+            kept = batch.filter(pc.invert(batch.column("is_action"))).select(["symbol", "ts", *cells])
+            products = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.decimal128(24, 14), pa.decimal128(24, 14), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *products], ["symbol", "ts", *cells, "pf", "vf", "applied"])
+
+    df = line.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in ("symbol", "ts", *cells)) + f", pf {WIDE}, vf {WIDE}, applied int")
     price = lambda c: (F.col(c).cast("decimal(20,6)") * F.col("pf")).cast("decimal(38,12)").alias(c)
-    return df.select("symbol", "ts", *[price(c) for c in ("open", "high", "low", "close")], F.round(F.col("volume").cast("decimal(20,0)") * F.col("vf"), 0).cast("bigint").alias("volume"), F.size("hit").alias("applied"), F.lit("point_in_time_adjusted").alias("price_basis"))
+    return df.select("symbol", "ts", *[price(c) for c in cells[:4]], F.round(F.col("volume").cast("decimal(20,0)") * F.col("vf"), 0).cast("bigint").alias("volume"), "applied", F.lit("point_in_time_adjusted").alias("price_basis"))
 
 
 def require_unadjusted(bars: DataFrame) -> DataFrame:

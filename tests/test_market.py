@@ -155,6 +155,31 @@ def test_corporate_actions(spark):
         A.adjust_forward(two, late, datetime(2026, 1, 16)).collect()
 
 
+def test_many_actions_of_a_symbol(spark):
+    """Against a product for each bar, over streams of many batches; no list of a symbol's actions."""
+    from decimal import Decimal
+
+    rng = np.random.default_rng(3)
+    days = [START + timedelta(days=i) for i in range(120)]
+    df = bars(spark, rising(120), days=days).unionByName(bars(spark, rising(3), "B", days[:3]))
+    acts = [("A", "feed", f"e{i}", 1, days[int(rng.integers(120))], START - timedelta(days=9), Decimal(str(f)), Decimal(str(1 / f)), "confirmed") for i in range(300) for f in [(0.5, 0.8, 2.0, 1.25)[i % 4]]]
+    actions, end = spark.createDataFrame(acts, ACTION), START + timedelta(days=400)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for run, hit, inverse in ((A.adjust_backward, lambda ts, at: ts < at, False), (A.adjust_forward, lambda ts, at: ts >= at, True)):
+            out = run(df, actions, end)
+            got = {(r.symbol, r.ts): r for r in out.collect()}
+            assert len(got) == 123
+            for i, ts in enumerate(days):
+                chosen = [float(a[6]) for a in acts if hit(ts, a[4])]
+                factor = np.prod(chosen) if not inverse else 1 / np.prod(chosen)
+                assert float(got["A", ts].close) == pytest.approx((101 + i) * factor, rel=1e-6) and got["A", ts].applied == len(chosen)
+            assert all(got["B", d].applied == 0 and float(got["B", d].close) == 101 + i for i, d in enumerate(days[:3]))
+            assert "collect_list" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_signals_and_portfolio(spark):
     df = spark.createDataFrame([(68.0, 0.70, 0), (72.0, 0.25, 0), (32.0, 0.30, 0), (50.0, 0.5, 1), (None, 0.5, 0)], "overall_score double, rise_probability double, warning_count int")
     assert [r.signal for r in S.reference_signal(df).collect()] == ["positive_watch", "neutral_watch", "defensive_watch", "risk_aware", "data_insufficient"]
