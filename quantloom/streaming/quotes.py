@@ -5,9 +5,11 @@ the same rows once the stream has run dry."""
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,29 +58,52 @@ def bars(quotes: DataFrame, size: str = "1 hour", late: str | None = None) -> Da
     return source.groupBy("symbol", F.window("ts", size).alias("w")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("volume")).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def folded(events: DataFrame, start: Callable[[], Callable[[int], tuple]], added: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """events (key, ts, seq) with columns that a fold gives for each, in order of
+    (ts, seq). start() begins a key; what it returns takes the microseconds of
+    each of its events. Spark sorts, and spills, by key and time; Python holds
+    one batch and one state."""
+    names = [*events.columns, *added]
+    line = events.repartition("key").sortWithinPartitions("key", F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last())
+    kinds = [kind for _, kind in added.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, last = None, None
+        for batch in batches:
+            times = pc.fill_null(batch.column("ts").cast(pa.timestamp("us", getattr(batch.column("ts").type, "tz", None))).cast(pa.int64()), -(2**63))
+            found = []
+            for key, now in zip(batch.column("key").to_pylist(), times.to_pylist()):
+                if step is None or key != last and (key == key or last == last):  # NaN is one key
+                    step, last = start(), key
+                found.append(step(now))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]], names)
+
+    types = dict(events.dtypes) | {c: t for c, (t, _) in added.items()}
+    return line.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
+
+
 def sliding_limit(events: DataFrame, limit: int, window_seconds: float) -> DataFrame:
     """events (key, ts, seq) with allowed and remaining: at most `limit` allowed
     events in any trailing window; refused ones don't count. A fold by key that
     holds at most `limit` times."""
     if limit < 1 or window_seconds <= 0:
         raise ValueError("limit and window must be positive")
+    window = window_seconds * 1e6
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        held: deque[float] = deque()
-        allowed, remaining = [], []
-        for now in (rows["ts"].astype("int64") / 1e9 if str(rows["ts"].dtype).endswith("[ns]") else rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9).tolist():
-            while held and held[0] <= now - window_seconds:
+    def start() -> Callable[[int], tuple]:
+        held: deque[int] = deque()
+
+        def step(now: int) -> tuple[bool, int]:
+            while held and held[0] <= now - window:
                 held.popleft()
             ok = len(held) < limit
             if ok:
                 held.append(now)
-            allowed.append(ok)
-            remaining.append(max(0, limit - len(held)))
-        return rows.assign(allowed=allowed, remaining=remaining)
+            return ok, max(0, limit - len(held))
+
+        return step
 
-    types = dict(events.dtypes)
-    return events.groupBy("key").applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in events.columns) + ", allowed boolean, remaining int")
+    return folded(events, start, {"allowed": ("boolean", pa.bool_()), "remaining": ("int", pa.int32())})
 
 
 def token_bucket(events: DataFrame, rate: float) -> DataFrame:
@@ -86,21 +111,23 @@ def token_bucket(events: DataFrame, rate: float) -> DataFrame:
     if rate <= 0:
         raise ValueError("rate must be positive")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        at, tokens, waits = None, rate, []
-        for now in (rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9).tolist():
+    def start() -> Callable[[int], tuple]:
+        at, tokens = None, rate
+
+        def step(micros: int) -> tuple[float]:
+            nonlocal at, tokens
+            now = micros / 1e6
             # a caller that waited holds the line up for those behind it
-            start = now if at is None else max(now, at)
-            tokens = min(rate, tokens + (start - (start if at is None else at)) * rate)
+            begin = now if at is None else max(now, at)
+            tokens = min(rate, tokens + (begin - (begin if at is None else at)) * rate)
             wait = 0.0 if tokens >= 1 else (1 - tokens) / rate
             tokens = tokens + wait * rate - 1
-            at = start + wait
-            waits.append(at - now)
-        return rows.assign(wait_seconds=waits)
+            at = begin + wait
+            return (at - now,)
+
+        return step
 
-    types = dict(events.dtypes)
-    return events.groupBy("key").applyInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in events.columns) + ", wait_seconds double")
+    return folded(events, start, {"wait_seconds": ("double", pa.float64())})
 
 
 def run_dry(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

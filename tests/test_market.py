@@ -13,6 +13,7 @@ from quantloom.operators import bars as B
 from quantloom.operators import indicators as I
 from quantloom.operators import patterns as P
 from quantloom.operators import scoring as S
+from quantloom.streaming import quotes as Q
 
 START = datetime(2026, 1, 1)
 SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
@@ -190,6 +191,35 @@ def test_signals_and_portfolio(spark):
     assert all(r.train_end - 1 + 5 < r.test_start for r in split) and len(split) == 3
 
 
+def test_limits_hold_one_batch(spark):
+    """A hot key, null keys and keys that cross batches, against plain folds; no frame of a whole key."""
+    rng = np.random.default_rng(4)
+    rows = [((None, 1, 2, 2, 2)[int(rng.integers(5))], START + timedelta(seconds=int(rng.integers(900))), i) for i in range(400)]
+    events = spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long")
+    allowed, waits = {}, {}
+    for key in (None, 1, 2):
+        held, at, tokens = [], None, 1.5
+        for _, ts, seq in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            now = (ts - START).total_seconds()
+            held = [x for x in held if x > now - 60]
+            allowed[seq] = len(held) < 3
+            held += [now] * allowed[seq]
+            begin = now if at is None else max(now, at)
+            tokens = min(1.5, tokens + (begin - (begin if at is None else at)) * 1.5)
+            wait = max(0.0, (1 - tokens) / 1.5)
+            tokens, at = tokens + wait * 1.5 - 1, begin + wait
+            waits[seq] = at - now
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        limited, bucket = Q.sliding_limit(events, 3, 60), Q.token_bucket(events, 1.5)
+        assert {r.seq: r.allowed for r in limited.collect()} == allowed
+        assert {r.seq: pytest.approx(r.wait_seconds, abs=1e-5) for r in bucket.collect()} == waits
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for df in (limited, bucket):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+
+
 def test_empty_bars(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert I.with_indicators(none).count() == 0 and P.patterns(none).count() == 0
