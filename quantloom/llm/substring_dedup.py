@@ -10,16 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_arrow, mix, stage, text_bytes
-from quantloom.llm.repeats import FOUND, contexts, ranges_of, recurring, resolve, with_ranges
-from quantloom.llm.tiles import runs
+from quantloom.llm.common import map_arrow, stage, text_bytes
+from quantloom.llm.repeats import CLASS, ROW, contexts, found_rows, ranges_of, recurring, resolve, whole_groups, with_ranges, word_part
 from quantloom.llm.winnow import word_units
 
 LENGTH = 13
 GRAM = 4
-MOST_ROWS = 65_536
+MOST_ROWS = 4_096
 BATCH_ROWS = 16_384
-LEFT, RIGHT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xF1357AEA2E62A9C5)
+
+
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns have equal numbers."""
+    out = np.unique(columns[0], return_inverse=True)[1]
+    for c in columns[1:]:
+        out = np.unique(out * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+    return out
 
 
 def extended(bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, units: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
@@ -27,21 +33,23 @@ def extended(bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray
     a row of the same bucket with a smaller doc has too.
 
     All seeds of the buckets are extended together, a word at a time to the left
-    and to the right. Two extensions agree while their running hashes do; a
-    window is as many words left as its start says and the rest to the right.
+    and to the right. Words and extensions are numbered, so that two have one
+    number only if they are equal; a window is as many words left as its start
+    says and the rest to the right.
     """
     left = length - gram
     n = len(bucket)
-    table = np.zeros((n, left + length), np.uint64)
+    table = np.zeros((n, left + length), np.int64)
+    number: dict[bytes, int] = {}
     for r in range(n):
-        piece = np.frombuffer(units[r], np.uint64)
+        piece = [number.setdefault(w, len(number) + 1) for w in units[r].split(b" ")]
         table[r, left - lo[r] : left - lo[r] + len(piece)] = piece
-    to_left = [mix(bucket.view(np.uint64) + LEFT)]
+    to_left = [numbered(bucket)]
     for k in range(1, left + 1):
-        to_left.append(mix(to_left[-1] * LEFT + table[:, left - k]))
-    to_right = [np.zeros(n, np.uint64)]
+        to_left.append(numbered(to_left[-1], table[:, left - k]))
+    to_right = [np.zeros(n, np.int64)]
     for k in range(length):
-        to_right.append(mix(to_right[-1] * RIGHT + table[:, left + k]))
+        to_right.append(numbered(to_right[-1], table[:, left + k]))
     hit = np.zeros((n, left + 3), np.int8)
     low, high = np.maximum(-lo, first), np.minimum(-hi, last)
     for k in range(left + 1):
@@ -49,12 +57,11 @@ def extended(bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray
         reach = np.flatnonzero((lo >= k) & (length - hi >= length - k))
         if not len(reach):
             continue
-        same = mix(to_left[k][reach] * RIGHT + to_right[length - k][reach])
-        _, number = np.unique(same, return_inverse=True)
-        least = np.full(number.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, number, doc[reach])
+        same = numbered(to_left[k][reach], to_right[length - k][reach])
+        least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, same, doc[reach])
         own = (low[reach] <= -k) & (high[reach] >= -k)
-        hit[reach, left - k + 1] = (least[number] < doc[reach]) & own
+        hit[reach, left - k + 1] = (least[same] < doc[reach]) & own
     edge = np.diff(hit, axis=1)
     row, begin = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
@@ -63,48 +70,35 @@ def extended(bucket: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray
 
 def compare(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]
-
-        def whole_groups() -> Iterator[list[np.ndarray]]:
-            held, rows = [], 0
-            for group in runs(batches, arrays):
-                held.append(group)
-                rows += len(group[0])
-                if rows >= BATCH_ROWS:
-                    yield [np.concatenate(x) for x in zip(*held)]
-                    held, rows = [], 0
-            if held:
-                yield [np.concatenate(x) for x in zip(*held)]
-
-        for bucket, first, last, key, span, doc, text_hash, at, lo, hi, units in whole_groups():
-            found = extended(bucket, doc, lo, hi, first, last, units, length, gram)
-            row = np.array([r for r, _, _ in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[row]) for x in (key, span, doc, text_hash, at)] + [pa.array([x[k] for x in found], pa.int32()) for k in (1, 2)], [x.split()[0] for x in FOUND.split(", ")])
+        for bucket, first, last, key, span, span2, doc, lo, hi, units in whole_groups(batches, BATCH_ROWS):
+            yield found_rows([key, span, span2, doc], extended(bucket, doc, lo, hi, first, last, units, length, gram))
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc, text_hash, start, stop: word ranges that together cover every
-    window of `length` words whose sequence also starts in a smaller document.
+    """ROW, start, stop: word ranges that together cover every window of
+    `length` words whose sequence also starts in a smaller document.
 
     Documents are joined on the hashes of winnowed anchors of `gram` words.
-    Anchors with equal surroundings are one class, all of which but the smallest
-    document's are repeats. One anchor of each class is the seed that is extended
-    both ways against the other classes of its gram.
+    Anchors with equal surroundings (128 bits of their bytes) are one class, all
+    of which but the smallest document's are repeats. One anchor of each class is
+    the seed that is extended both ways, word by word, against the other classes
+    of its gram.
     """
     if not 0 < gram <= length < 1 << 20:
         raise ValueError("0 < gram <= length < 2^20")
     anchors = recurring(docs, word_units, length, gram, F.col("least") < F.col("most"))
-    classes = stage(anchors.groupBy("key", "span").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.min(F.struct("doc", "text_hash", "at", "lo", "hi")).alias("one")), "classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("_kinds"), F.min("first").alias("_least"), F.max("first").alias("_most")).where("_kinds > 1 and _least < _most").select("key")
-    mixed = classes.join(several, "key", "left_semi").select("key", "span", "one.*")
-    found = stage(resolve(contexts(docs, mixed, "words", length), compare(length, gram), length, gram, 8, most_rows, every=False).select("key", "span", "doc", "first_start", "last_start"), "found")
-    later = anchors.join(classes.where("n > 1").select("key", "span", "first"), ["key", "span"]).where("doc > first")
+    place = F.struct(*ROW, "at", "lo", "hi")
+    classes = stage(anchors.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(place).alias("one")).select("*", F.col("one.doc").alias("first")), "classes")
+    several = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("first").alias("least"), F.max("first").alias("most")).where("kinds > 1 and least < most").select("key")
+    mixed = classes.join(several, "key", "left_semi").select(*CLASS, "one.*")
+    found = stage(resolve(contexts(docs, mixed, word_units, length), compare(length, gram), length, gram, word_part, most_rows, every=False), "found")
+    later = anchors.join(classes.where("n > 1").select(*CLASS, "first").hint("merge"), CLASS).where("doc > first")
     # the smallest document may hold its class's surroundings more than once
-    own = anchors.join(found, ["key", "span", "doc"])
-    return later.select("doc", "text_hash", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("hi") + length).alias("stop")).unionByName(
-        own.select("doc", "text_hash", (F.col("at") + F.col("first_start")).alias("start"), (F.col("at") + F.col("last_start") + length).alias("stop")))
+    own = anchors.join(found.hint("merge"), [*CLASS, "doc"])
+    return later.select(*ROW, (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("hi") + length).alias("stop")).unionByName(
+        own.select(*ROW, (F.col("at") + F.col("first_start")).alias("start"), (F.col("at") + F.col("last_start") + length).alias("stop")))
 
 
 def report(docs: DataFrame, **parameters) -> DataFrame:
@@ -134,4 +128,4 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:2]], pa.array(columns[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return map_arrow(joined.select("doc_id", "text", "_ranges"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(joined, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")

@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import map_arrow, stage, text_bytes
-from quantloom.llm.repeats import FOUND, contexts, ranges_of, recurring, resolve, with_ranges
-from quantloom.llm.tiles import runs
+from quantloom.llm.repeats import CLASS, ROW, byte_part, contexts, found_rows, ranges_of, recurring, resolve, whole_groups, with_ranges
 from quantloom.llm.winnow import byte_units
 
 LENGTH = 400
-GRAM = 100
 MOST_ROWS = 16_384
 BATCH_ROWS = 4_096
 OUTSIDE = 256
@@ -32,16 +30,19 @@ class Columns:
     old order, those symbols are the round's part of the Burrows-Wheeler
     transform. A suffix's common prefix with its new predecessor is one more
     than the least common prefix between their old places. Each round reads one
-    column and the last round's order and prefixes, front to back.
+    column and the last round's order and prefixes, front to back. `transform`
+    holds the transform's parts, the last round's first.
     """
 
     def __init__(self, group: np.ndarray):
+        self.transform: list[np.ndarray] = []
         self.group = group.astype(np.int64)
         self.order = np.argsort(self.group, kind="stable")
         self.common = np.zeros(len(group), np.int64)
 
     def insert(self, symbol: np.ndarray) -> None:
         transform = symbol[self.order]
+        self.transform.insert(0, transform)
         key = self.group[self.order] * (OUTSIDE + 1) + transform
         place = np.argsort(key, kind="stable")
         a, b = place[:-1], place[1:]
@@ -89,46 +90,34 @@ def repeated_starts(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np
 
 def compare(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]
-
-        def whole_groups() -> Iterator[list[np.ndarray]]:
-            held, rows = [], 0
-            for group in runs(batches, arrays):
-                held.append(group)
-                rows += len(group[0])
-                if rows >= BATCH_ROWS:
-                    yield [np.concatenate(x) for x in zip(*held)]
-                    held, rows = [], 0
-            if held:
-                yield [np.concatenate(x) for x in zip(*held)]
-
-        for bucket, first, last, key, span, doc, text_hash, at, lo, hi, units in whole_groups():
+        for bucket, first, last, key, span, span2, doc, lo, hi, units in whole_groups(batches, BATCH_ROWS):
             _, group = np.unique(bucket, return_inverse=True)
-            found = repeated_starts(group, lo, hi, first, last, units, window, gram)
-            row = np.array([r for r, _, _ in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[row]) for x in (key, span, doc, text_hash, at)] + [pa.array([x[k] for x in found], pa.int32()) for k in (1, 2)], [x.split()[0] for x in FOUND.split(", ")])
+            yield found_rows([key, span, span2, doc], repeated_starts(group, lo, hi, first, last, units, window, gram))
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc, text_hash, start, stop: byte ranges that together cover every
-    string of `length` bytes that also starts anywhere else.
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+    """ROW, start, stop: byte ranges that together cover every string of
+    `length` bytes that also starts anywhere else.
 
-    Anchors with equal surroundings are one class; a class of two or more is
-    repeated whole. One anchor of each class whose gram has other classes too is
-    compared with those by the column-wise construction.
+    Anchors with equal surroundings are one class. Two members of each class of
+    two or more, and the member of each other class whose gram has more classes,
+    are compared by the column-wise construction, and what it finds for them
+    holds for all of their class. gram: a quarter of the length, if not given.
     """
+    gram = gram or max(1, length // 4)
     if not 0 < gram <= length < 1 << 20:
         raise ValueError("0 < gram <= length < 2^20")
     anchors = recurring(docs, byte_units, length, gram, F.col("n") > 1)
-    classes = stage(anchors.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_hash", "at", "lo", "hi")).alias("one")), "classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("_kinds")).where("_kinds > 1").select("key")
-    mixed = classes.join(several, "key", "left_semi").select("key", "span", "one.*")
-    found = resolve(contexts(docs, mixed, "bytes", length), compare(length, gram), length, gram, 1, most_rows, every=True)
-    whole = anchors.join(classes.where("n > 1").select("key", "span"), ["key", "span"], "left_semi")
-    return whole.select("doc", "text_hash", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("hi") + length).alias("stop")).unionByName(
-        found.select("doc", "text_hash", (F.col("at") + F.col("first_start")).alias("start"), (F.col("at") + F.col("last_start") + length).alias("stop")))
+    place = F.struct(*ROW, "at", "lo", "hi")
+    classes = stage(anchors.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")
+    lone = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds = 1 and most = 1").select("key")
+    ends = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    members = classes.join(lone, "key", "left_anti").select(*CLASS, F.explode(ends).alias("one")).select(*CLASS, "one.*")
+    found = stage(resolve(contexts(docs, members, byte_units, length), compare(length, gram), length, gram, byte_part, most_rows, every=True).drop("doc").distinct(), "found")
+    all_of = anchors.join(found.hint("merge"), CLASS)
+    return all_of.select(*ROW, (F.col("at") + F.col("first_start")).alias("start"), (F.col("at") + F.col("last_start") + length).alias("stop"))
 
 
 def kept(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -160,14 +149,20 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_arrow(joined.select("doc_id", "text", "_ranges"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(joined, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with text and n_chars rewritten: repeated strings cut out. A
-    character of which some bytes go, goes; null texts stay null."""
-    joined = with_ranges(docs, repeated_ranges(docs, **parameters))
-    place = joined.columns.index("text")
+    """docs with text and n_chars rewritten: repeated strings cut out, all their
+    occurrences, the first too.
+
+    A character of which some bytes go, goes; null texts stay null and empty ones
+    empty. Rows that repeat are documents of their own and lose their long
+    strings. Other columns, of any names, stay. An empty table gives none.
+    """
+    joined = with_ranges(docs, repeated_ranges(docs.select("doc_id", "text"), **parameters))
+    place = docs.columns.index("text")
+    kinds = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,5 +176,5 @@ def remove(docs: DataFrame, **parameters) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    out = map_arrow(joined.select(*docs.columns, "_ranges"), run, docs.schema)
+    out = map_arrow(joined, run, kinds).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
