@@ -3,6 +3,7 @@ comparison."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,19 +78,28 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE) -> DataFrame:
+def agreeing(n: int, radius: int, tile_rows: int) -> int:
+    """In how many blocks at least two fingerprints of a bucket agree: enough for
+    n spread fingerprints to leave a bucket a quarter of a tile."""
+    m = 1
+    while m < 4 and n > (tile_rows // 4) << (64 * m // (radius + m)):
+        m += 1
+    return m
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE, agree: int = 1) -> DataFrame:
     """a, b: links that connect the rows (node, fp) of distinct fingerprints
     exactly as all pairs at most radius bits apart do.
 
-    Fingerprints are cut into radius + 1 blocks of bits; two within the radius
-    agree in one at least, so each block's value is a bucket, compared in full
-    by tiles. A tile pair gives a spanning forest of its links.
+    Fingerprints are cut into radius + agree blocks of bits; two within the
+    radius agree in `agree` at least, so the values of each choice of so many
+    blocks are a bucket, compared in full by tiles. A tile pair gives a spanning
+    forest of its links.
     """
-    edge = [64 * k // (radius + 1) for k in range(radius + 2)]
-    blocks = [
-        (F.shiftrightunsigned("fp", edge[k]).bitwiseAND(F.lit((1 << (edge[k + 1] - edge[k])) - 1)) * (radius + 1) + k) for k in range(radius + 1)
-    ]
-    rows = distinct.select("node", "fp", F.explode(F.array(*blocks)).alias("bucket"))
+    edge = [64 * k // (radius + agree) for k in range(radius + agree + 1)]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edge, edge[1:])]
+    buckets = [F.xxhash64(F.lit(k), *[block[i] for i in chosen]) for k, chosen in enumerate(itertools.combinations(range(radius + agree), agree))]
+    rows = distinct.select("node", "fp", F.explode(F.array(*buckets)).alias("bucket"))
     paired = tile_pairs(rows, "bucket", F.bit_count("fp").cast("int"), radius, F.xxhash64("fp"), tile_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +130,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE) -> D
     return map_arrow(by_pair(paired.select("pair", "side", "node", "fp")), run, "a long, b long")
 
 
-def members(prints: DataFrame, key: str, radius: int) -> DataFrame:
+def members(prints: DataFrame, key: str, radius: int, tile_rows: int = TILE) -> DataFrame:
     """fp, component, least: a row a distinct fingerprint, with the smallest
     fingerprint reachable over steps of at most radius bits and the least key of
     its rows. Fingerprints are the nodes, so rows without an id, or that repeat
     one, tie no groups together."""
     distinct = stage(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    found = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp")
+    agree = agreeing(distinct.count(), radius, tile_rows)
+    found = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius, tile_rows, agree)).withColumnRenamed("node", "fp")
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
 
 
@@ -134,10 +145,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints
     at most radius bits apart.
 
-    Equal fingerprints are one node, so copies are never paired. Null and
-    wordless texts share fingerprint 0 and link like any other. Rows with a null
-    doc_id get the component of the rest of their group, null if there is none
-    with an id. Repeated rows are returned each. An empty table gives no rows.
+    Fingerprints are the nodes: equal ones are one node, so copies are never
+    paired, and an id that is null or stands at several texts ties no groups
+    together. Null and wordless texts share fingerprint 0 and link like any
+    other. Rows with a null doc_id get the component of the rest of their group,
+    null if there is none with an id. Repeated rows are returned each. Very long
+    texts are hashed whole, in chunks. An empty table gives no rows; columns
+    other than doc_id and text are ignored.
     """
     prints = stage(fingerprints(docs, shingle, seed), "fingerprints")
     of = members(prints, "doc_id", radius)
@@ -148,16 +162,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One document of each group, with all its columns: the smallest doc_id, or
     any if nobody in the group has an id; of rows that repeat that doc_id one stays.
+    Null and wordless texts are one group. Columns of any names stay. An empty
+    table gives none.
 
     Rows are told apart by two hashes of all their columns, and the least of a
     group comes from an aggregate, so neither a large group nor rows without an
     id meet in one task.
     """
     cells = [f(F.col(f"`{c}`")) for c in docs.columns for f in (F.isnull, lambda x: x)]
-    rows = docs.withColumns({"_row_a": F.xxhash64(*cells), "_row_b": F.xxhash64(F.lit(1), *cells)})
-    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_row_a", "_row_b").alias("_row")
-    prints = stage(fingerprints(rows.select(row, "text"), shingle, seed, key="_row"), "fingerprints")
-    kept = members(prints, "_row", radius).groupBy("component").agg(F.min("least").alias("_row")).select("_row._row_a", "_row._row_b")
-    out = rows.join(kept, ["_row_a", "_row_b"], "left_semi")
+    # the caller's columns are one struct, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b")).alias("hashes"), F.col("doc_id").alias("id"), F.col("text").alias("words"))
+    row = F.struct(F.isnull("id").alias("no_id"), "id", "hashes").alias("row")
+    prints = stage(fingerprints(rows.select(row, "words"), shingle, seed, "words", "row"), "fingerprints")
+    kept = members(prints, "row", radius).groupBy("component").agg(F.min("least").alias("row")).select("row.hashes")
+    out = rows.join(kept, "hashes", "left_semi")
     # rows equal in all columns: grouped by a column that the join isn't dealt by, so that each task leaves one before the shuffle
-    return out.withColumn("_row", F.struct("_row_a", "_row_b")).dropDuplicates(["_row"]).select(*[f"`{c}`" for c in docs.columns])
+    return out.withColumn("one", F.xxhash64("hashes")).dropDuplicates(["one", "hashes"]).select("whole.*")
