@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import keep, map_arrow, mix, text_bytes
+from quantloom.llm.common import grouped, keep, map_arrow, mix, stage, text_bytes
 
 RUN = re.compile(r"[^\W\d_]+")
 EDGE = "▁"
-LONGEST_WORD = 256
+LONG_RUN, BLOCK = 256, 1 << 14  # letters; longer runs are summed one by one, a block of starts at a time
 UNKNOWN = 1e-7
 SCALE = 16.0  # of a probability for each character, so that usual words stay in range
 LOW, HIGH = 1e-100, 1e100  # sums out of this range are scaled anew
@@ -24,6 +24,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS = 500, 20_000, 4
 FOLDS = 5
 NO_LANGUAGE = "und"
 CACHED_WORDS = 150_000
+FEW_LETTERS = 20  # too few to tell an unknown language by
+MARGIN = 1.0  # log units a letter under nearly all of the sample: no known language
 
 
 @dataclass
@@ -123,19 +125,50 @@ def forward(found: list[np.ndarray], prob: np.ndarray, width: int) -> tuple[np.n
 
 def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, int]]:
     size = np.fromiter(map(len, words), np.int64, len(words))
-    low, width = 0, 6
-    while low < LONGEST_WORD + 1:
+    low, width, most = 0, 6, int(size.max(initial=0))
+    while low < most:
         which = np.flatnonzero((size > low) & (size <= width))
         for part in np.array_split(which, len(which) * width // 400_000 + 1):
             if len(part):
                 yield part, width
-        low, width = width, min(width * 3 // 2, LONGEST_WORD + 1) if width <= LONGEST_WORD else width + 1
+        low, width = width, width * 3 // 2
+
+
+def long_log_likelihood(word: str, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """The same sum for one run of any length: it holds the sums of as many next
+    prefixes as the longest piece has letters, and one block of starts."""
+    longest = vocab.longest
+    ahead = np.zeros((longest + 1, prob.shape[1]))
+    ahead[0] = 1.0
+    shift = np.zeros(prob.shape[1])
+    scale = SCALE ** np.arange(1, longest + 1)[:, None]
+    for a in range(0, len(word), BLOCK):
+        part = word[a : a + BLOCK + longest - 1]
+        starts = min(BLOCK, len(word) - a)
+        number = np.full((longest, starts), -1, np.int64)
+        for k, row in enumerate(lattice([part], vocab, len(part))):
+            own = row[0, :starts]
+            number[k, : len(own)] = own
+        for i in range(starts):
+            now = ahead[0].copy()
+            if now.min() < LOW or now.max() > HIGH:
+                ahead /= now
+                shift += np.log(now)
+                now = np.ones_like(now)
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0.0
+            ahead[:longest] += now * prob[number[:, i]] * scale
+    return np.log(ahead[0]) + shift - len(word) * np.log(SCALE)
 
 
 def log_likelihood(words: list[str], vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """(words, languages): log of the sum over segmentations."""
     out = np.zeros((len(words), prob.shape[1]))
-    for part, width in by_width(words):
+    for i in (i for i, w in enumerate(words) if len(w) > LONG_RUN):
+        out[i] = long_log_likelihood(words[i], vocab, prob)
+    short = np.array([i for i, w in enumerate(words) if len(w) <= LONG_RUN], np.int64)
+    for part, width in by_width([words[i] for i in short]):
+        part = short[part]
         chosen = [words[i] for i in part]
         alpha, shift = forward(lattice(chosen, vocab, width), prob, width)
         size = np.fromiter(map(len, chosen), np.int64, len(chosen))
@@ -177,41 +210,83 @@ class Model:
     prob: np.ndarray
     vocabulary_path: str
     key: int
+    floor: np.ndarray | None = None  # least log likelihood a letter of a text in each language
 
 
 def letters(text: str) -> list[str]:
     return RUN.findall(text.lower())
 
 
+def maximised(rows: pa.Table, vocabulary_path: str, rounds: int) -> pa.Table:
+    """lang, piece, p: expectation-maximisation over one language's (lang, word, n)."""
+    vocab = vocabulary(vocabulary_path)
+    spelled = [EDGE + w for w in rows.column("word").to_pylist()]
+    weight = rows.column("n").to_numpy().astype(float)
+    p = np.full((vocab.size + 2, 1), 1.0 / vocab.size)
+    for _ in range(rounds):
+        p[vocab.size], p[-1] = UNKNOWN, 0.0
+        c = expected(spelled, weight, vocab, p)[: vocab.size] + 0.01
+        p[: vocab.size, 0] = c / c.sum()
+    return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * vocab.size, pa.string()), "piece": pa.array(np.arange(vocab.size, dtype=np.int32)), "p": pa.array(p[: vocab.size, 0])})
+
+
+def sample_of(docs: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame:
+    """lang, text: at most sample_docs different rows a language of (doc_id, text,
+    lang), by a hash. A cut of the hashes by each language's count comes first, so
+    that few hashes of any language meet."""
+    hashed = docs.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows"))
+    spread = F.shiftrightunsigned("hash", 11).cast("double") / float(1 << 53)
+    near = hashed.select("lang", "hash").join(F.broadcast(counts), "lang").where(spread * F.col("rows") < 8.0 * sample_docs).select("lang", "hash").distinct()
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    chosen = near.withColumn("turn", turn).where(F.col("turn") <= sample_docs).select("lang", "hash")
+    return hashed.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, rounds: int = ROUNDS) -> Model | None:
     """Piece probabilities of each language from rows of (doc_id, text, lang).
 
     The fit sees at most sample_docs documents of a language, chosen by a hash
-    of doc_id among those of at most sample_chars characters, whole; their word
-    counts are summed by Spark and expectation-maximisation runs over them. No
-    labelled row with a letter: None.
+    among those of at most sample_chars characters, whole; Spark sums up their
+    words, and expectation-maximisation over them runs a language a task. No
+    labelled row with a letter: None. Null texts and languages, and rows that
+    repeat, add nothing.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    turn = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    sample = usable.select("lang", "text", F.row_number().over(turn).alias("_n")).where(F.col("_n") <= sample_docs)
+    sample = stage(sample_of(docs, sample_docs, sample_chars), "sample")
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
-    counted = sample.select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
-    if not counted:
+    counted = stage(sample.select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    if not languages:
         return None
+    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
+    dealt = counted.withColumn("place", place.cast("int")).repartitionById(len(languages), F.col("place")).sortWithinPartitions("lang", "word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ["lang"]):
+            yield from maximised(rows, vocabulary_path, rounds).to_batches()
+
     vocab = vocabulary(vocabulary_path)
-    languages = sorted({r["lang"] for r in counted})
     prob = np.zeros((vocab.size + 2, len(languages)))
-    for k, lang in enumerate(languages):
-        rows = sorted((EDGE + r["word"][:LONGEST_WORD], r["n"]) for r in counted if r["lang"] == lang)
-        spelled, weight = [w for w, _ in rows], np.array([n for _, n in rows], float)
-        p = np.full((vocab.size + 2, 1), 1.0 / vocab.size)
-        for _ in range(rounds):
-            p[vocab.size], p[-1] = UNKNOWN, 0.0
-            c = expected(spelled, weight, vocab, p)[: vocab.size] + 0.01
-            p[: vocab.size, 0] = c / c.sum()
-        prob[:, k] = p[:, 0]
-        prob[vocab.size, k], prob[-1, k] = UNKNOWN, 0.0
-    return Model(languages, prob, vocabulary_path, hash(prob.tobytes()))
+    number = {x: k for k, x in enumerate(languages)}
+    for r in map_arrow(dealt.select("lang", "word", "n"), run, "lang string, piece int, p double").collect():
+        prob[r["piece"], number[r["lang"]]] = r["p"]
+    prob[vocab.size], prob[-1] = UNKNOWN, 0.0
+    model = Model(languages, prob, vocabulary_path, hash(prob.tobytes()))
+    seen = evidence(sample, model).where(F.col("letters") >= FEW_LETTERS).groupBy("lang").agg(F.percentile_approx("likely", 0.01, 10_000).alias("low")).collect()
+    low = {r["lang"]: r["low"] for r in seen}
+    model.floor = np.array([low.get(x, -np.inf) - MARGIN for x in languages])
+    return model
+
+
+def evidence(sample: DataFrame, model: Model) -> DataFrame:
+    """lang, letters, likely: the log likelihood a letter of each text in its own language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([model.languages.index(x) if x in model.languages else 0 for x in batch.column(0).to_pylist()], np.int64)
+            total = totals(batch.column(1), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total[:, -1].astype(np.int64)), pa.array(total[np.arange(len(own)), own] / np.maximum(total[:, -1], 1.0))], ["lang", "letters", "likely"])
+
+    return map_arrow(sample.select("lang", "text"), run, "lang string, letters long, likely double")
 
 
 class Words:
@@ -233,11 +308,9 @@ class Words:
         if new:
             score = np.zeros((len(new), len(model.languages) + 1))
             clean = ["".join(c for c in w if c.isalpha()) if not w.isalpha() else w for w in new]
-            # a longer run of letters is scored in parts that no piece crosses
-            parts = [(i, (EDGE if k == 0 else "") + w[k : k + LONGEST_WORD]) for i, w in enumerate(clean) for k in range(0, len(w), LONGEST_WORD)]
-            if parts:
-                rows = np.array([i for i, _ in parts])
-                np.add.at(score[:, :-1], rows, log_likelihood([w for _, w in parts], vocabulary(model.vocabulary_path), model.prob))
+            some = [i for i, w in enumerate(clean) if w]
+            if some:
+                score[some, :-1] = log_likelihood([EDGE + clean[i] for i in some], vocabulary(model.vocabulary_path), model.prob)
             score[:, -1] = [len(w) for w in clean]
             base = 0 if self.score is None else len(self.score)
             self.slot.update(zip(new, range(base, base + len(new))))
@@ -245,12 +318,11 @@ class Words:
         return np.fromiter(map(get, words), np.int64, len(words))
 
 
-def score_texts(texts: pa.Array, model: Model | None) -> tuple[list[str], list[float]]:
-    """The language and the score of each text."""
+def totals(texts: pa.Array, model: Model) -> np.ndarray:
+    """(rows, languages + 1): the log likelihood of each whole text, and its letters."""
     data, at = text_bytes(texts)
     whole, at = data.tobytes(), at.tolist()
-    lang: list[str] = []
-    score: list[float] = []
+    found: list[np.ndarray] = [np.zeros((0, len(model.languages) + 1))]
     row = 0
     while row < len(at) - 1:
         words: list[str] = []
@@ -259,22 +331,29 @@ def score_texts(texts: pa.Array, model: Model | None) -> tuple[list[str], list[f
             words += letters(whole[at[row] : at[row + 1]].decode("utf-8", "ignore"))
             ends.append(len(words))
             row += 1
-        if model is None or not words:
-            lang += [NO_LANGUAGE] * (len(ends) - 1)
-            score += [0.0] * (len(ends) - 1)
-            continue
-        seen = Words.of(model)
-        slot = seen.slots(words, model)
         first, last = np.array(ends[:-1]), np.array(ends[1:])
         total = np.zeros((len(first), len(model.languages) + 1))
-        total[first < last] = np.add.reduceat(seen.score[slot], first[first < last], axis=0)
-        likely = total[:, :-1]
-        best = likely.argmax(1)
-        posterior = 1.0 / np.exp(np.maximum(likely - likely.max(1, keepdims=True), -700.0)).sum(1)
-        some = total[:, -1] > 0
-        lang += [model.languages[b] if s else NO_LANGUAGE for b, s in zip(best, some)]
-        score += np.where(some, posterior, 0.0).tolist()
-    return lang, score
+        if words:
+            seen = Words.of(model)
+            slot = seen.slots(words, model)
+            total[first < last] = np.add.reduceat(seen.score[slot], first[first < last], axis=0)
+        found.append(total)
+    return np.concatenate(found)
+
+
+def score_texts(texts: pa.Array, model: Model | None) -> tuple[list[str], list[float], np.ndarray]:
+    """The language and the score of each text, and whether its letters are as
+    likely as those of the language's sample."""
+    if model is None:
+        return [NO_LANGUAGE] * len(texts), [0.0] * len(texts), np.zeros(len(texts), bool)
+    total = totals(texts, model)
+    likely, letters_ = total[:, :-1], total[:, -1]
+    best = likely.argmax(1)
+    posterior = 1.0 / np.exp(np.maximum(likely - likely.max(1, keepdims=True), -700.0)).sum(1)
+    some = letters_ > 0
+    floor = model.floor if model.floor is not None else np.full(len(model.languages), -np.inf)
+    like = (letters_ < FEW_LETTERS) | (likely[np.arange(len(best)), best] >= floor[best] * letters_)
+    return [model.languages[b] if s else NO_LANGUAGE for b, s in zip(best, some)], np.where(some, posterior, 0.0).tolist(), like
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -286,7 +365,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = score_texts(batch.column(1), model)
+            lang, score, _ = score_texts(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
     return map_arrow(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, lang_pred string, score double")
@@ -305,14 +384,21 @@ def identify(docs: DataFrame, vocabulary_path: str, folds: int = FOLDS) -> DataF
 
 
 def keep_known(docs: DataFrame, vocabulary_path: str, least: float = 0.5, folds: int = FOLDS) -> DataFrame:
-    """The documents in a known language, with their columns: those whose
-    predicted language has a posterior of `least` at least."""
+    """The documents in a known language, with their columns.
+
+    Rejected are texts whose language has a posterior under `least` among those
+    learned, null texts and texts without a letter among them, and texts of
+    FEW_LETTERS letters or more that are less likely, a letter, than 99 in 100 of
+    the language's sample by more than MARGIN: what is in none of them. Rows that
+    repeat stay or go together; columns of any names stay; without a labelled row
+    all go; an empty table gives none.
+    """
     model = fit(docs.where(~held_out(folds)).select("doc_id", "text", "lang"), vocabulary_path)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, score = score_texts(batch.column(place), model)
-            yield batch.filter(pa.array(np.array(score) >= least))
+            _, score, like = score_texts(batch.column(place), model)
+            yield batch.filter(pa.array((np.array(score) >= least) & like))
 
     return map_arrow(docs, run, docs.schema)
