@@ -16,8 +16,14 @@ from quantloom.llm import bpe, langid, mixing, simhash, suffix_dedup
 from quantloom.llm.common import documents, stage
 
 
+#: Bytes of a passage that may occur once only. A passage of over 50 words has
+#: at least 232 bytes in any language of the corpus, so each is reached.
+PASSAGE_BYTES = 225
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a posterior of a half at least."""
+    """Documents in a language that can be told, with a posterior of a half at
+    least and letters as likely as in the language's sample."""
     return langid.keep_known(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -27,8 +33,9 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long strings that recur."""
-    return suffix_dedup.remove(docs)
+    """Texts without the bytes of passages that recur: all occurrences go, the
+    first too, since which one is first says nothing about where it belongs."""
+    return suffix_dedup.remove(docs, length=PASSAGE_BYTES)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
