@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
@@ -93,6 +94,17 @@ def drop_stage(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_by_one(rows: DataFrame, alike: list[str]) -> DataFrame:
+    """alike and turn: a row for each row, those alike in all columns told apart
+    by a turn from 0. They are counted where they lie, by part of the table, and
+    each part's turns follow the parts before, so that no task and no array holds
+    more than one part's of a large group."""
+    counted = rows.select(*alike, F.pmod(F.spark_partition_id(), F.lit(1024)).alias("part")).groupBy(*alike, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*alike).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = counted.select(*alike, "n", before.alias("before"))
+    return ranges.select(*alike, F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("turn"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
