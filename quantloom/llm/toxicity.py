@@ -72,24 +72,34 @@ class Model:
 
 
 def passages(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of one row, in one pass:
-    each is a segment that no extension or part of beats, found with a stack of
-    candidates and their left and right cumulative sums."""
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    stack: list[tuple[int, int, float, float]] = []
+    """All maximal scoring segments (start, end, score) of one row, in linear
+    time: each is a segment that no extension or part of beats.
+
+    Candidates are kept with their left and right cumulative sums and with the
+    place of the nearest candidate before them that has a smaller left sum, so
+    that a search passes over no candidate twice.
+    """
+    total = np.concatenate([[0.0], np.cumsum(score)]).tolist()
+    start: list[int] = []
+    end: list[int] = []
+    left: list[float] = []
+    right: list[float] = []
+    lower: list[int] = []
     for i in np.flatnonzero(score > 0).tolist():
-        start, left, right = i, float(total[i]), float(total[i + 1])
+        s, l, r = i, total[i], total[i + 1]
+        j = len(left) - 1
         while True:
-            # below the nearest candidate with a smaller left sum, whose right sum decides
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                stack.append((start, i + 1, left, right))
+            while j >= 0 and left[j] >= l:
+                j = lower[j]
+            if j < 0 or right[j] >= r:
                 break
-            start, left = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(a, b, r - l) for a, b, l, r in stack]
+            s, l, above = start[j], left[j], lower[j]
+            for x in (start, end, left, right, lower):
+                del x[j:]
+            j = above
+        for x, v in ((start, s), (end, i + 1), (left, l), (right, r), (lower, j)):
+            x.append(v)
+    return [(a, b, r - l) for a, b, l, r in zip(start, end, left, right)]
 
 
 def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float, float]]:
@@ -294,7 +304,9 @@ def classify(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Dat
     """doc_id, held_out, score, predicted, evidence of every whole text.
 
     Null and empty texts have no evidence and get the score of that. Repeated
-    rows are returned each.
+    rows are returned each. Very long texts are scored whole, in linear time. An
+    empty table gives no rows; without usable labels all scores are the base
+    rate. Other columns are ignored.
     """
     found = scored(docs.select("doc_id", "text"), fit(docs, labels, size), ["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
