@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_arrow, mix, slices, stage, text_bytes
+from quantloom.llm.common import map_arrow, mix, one_by_one, slices, stage, text_bytes
 from quantloom.llm.toxicity import tokens
 
 BUCKETS = 1 << 16
@@ -58,7 +58,8 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, log_weight, draw, tie: the log importance of each whole text, and
-    that plus Gumbel noise from a hash of doc_id."""
+    that plus Gumbel noise of the row's own: from a hash of its id and text and of
+    its turn among rows alike in both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column(1))
@@ -67,21 +68,24 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 bucket, bounds = features(data[at[a] : at[b]], at[a : b + 1] - at[a], len(ratio))
                 total = np.concatenate([[0.0], np.cumsum(ratio[bucket])])
                 out.append(np.diff(total[bounds]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), batch.column(2), batch.column(3)], ["doc_id", "log_weight", "noise", "tie"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), batch.column(2)], ["doc_id", "log_weight", "row"])
 
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noisy = docs.select("doc_id", "text", (-F.log(-F.log(uniform))).alias("noise"), F.xxhash64("doc_id", "text").alias("tie"))
-    found = map_arrow(noisy, run, f"doc_id {dict(docs.dtypes)['doc_id']}, log_weight double, noise double, tie long")
-    return found.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("draw"), "tie")
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    found = map_arrow(hashed, run, f"doc_id {dict(docs.dtypes)['doc_id']}, log_weight double, row long")
+    each = one_by_one(found.withColumn("log_weight", F.round("log_weight", 9)), ["doc_id", "log_weight", "row"])
+    uniform = (F.pmod(F.xxhash64("row", "turn", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    noise = -F.log(-F.log(uniform))
+    return each.select("doc_id", "log_weight", (F.col("log_weight") + noise).alias("draw"), F.xxhash64("row", "turn").alias("tie"))
 
 
 def top(drawn: DataFrame, k: int) -> tuple[float, int] | None:
-    """The k-th largest (draw, tie): bins are counted and the one that holds it
-    is divided again, until few rows are left to order. None: all are within k."""
+    """The k-th largest (draw, tie) for k of 1 or more: bins are counted and the
+    one that holds it is divided again, until few rows are left to order. None:
+    all are within k."""
     ends = drawn.agg(F.count("*").alias("n"), F.min("draw").alias("low"), F.max("draw").alias("high")).first()
     if k >= ends["n"]:
         return None
-    low, high, left = ends["low"], ends["high"], max(k, 1)
+    low, high, left = ends["low"], ends["high"], k
     rows, n = drawn, ends["n"]
     while n > FEW and high > low:
         width = (high - low) / BINS
@@ -110,8 +114,11 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     is the ratio of the models over its single tokens and pairs, and the share of
     documents with the greatest weight plus Gumbel noise is kept, which draws
     without replacement in proportion to the weights. share: that of quality 1
-    among the labels, if not given. Ties fall to a hash of the row. Null and empty texts have log weight 0. No label: all ratios
-    are 1 and all documents are kept. Repeated rows are drawn each.
+    among the labels, if not given; a share of 0 keeps none. Ties fall to a hash
+    of the row. Null and empty texts have log weight 0. No label: all ratios are 1
+    and all documents are kept. Rows that repeat, also those without an id, are
+    drawn each, with noise of their own. Very long texts are read whole, in
+    slices. An empty table gives no rows. Other columns are ignored.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     if share is None:
@@ -122,6 +129,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
     raw = bucket_counts(docs, buckets)
     ratio = log_ratio(target, raw) if target.any() else np.zeros(buckets)
     drawn = stage(weights(docs, ratio), "draws")
-    last = top(drawn, int(round(share * drawn.count())))
+    most = int(round(share * drawn.count()))
+    if most < 1:
+        return drawn.select("doc_id", "log_weight", "draw", F.lit(False).alias("kept"))
+    last = top(drawn, most)
     kept = F.lit(True) if last is None else (F.col("draw") > F.lit(last[0])) | ((F.col("draw") == F.lit(last[0])) & (F.col("tie") >= F.lit(last[1])))
     return drawn.select("doc_id", "log_weight", "draw", kept.alias("kept"))
