@@ -16,11 +16,18 @@ from quantloom.llm.tiles import by_pair, forest, runs, tile_pairs
 from quantloom.llm.vectors import dimension, matrix, usable
 
 COSINE = 0.93
-TABLES, PROBES, SCALE = 5, 4, 0.25
+TABLES, PROBES = 5, 4
+REACH = 0.53  # of a pair at the threshold, in lattice units; the lattice's points are 1.41 apart
 TILE = 1_024
 SEED = 11
 
 
+def cell_scale(d: int, least: float) -> float:
+    """The lattice's unit, from how far two unit vectors at cosine `least` are
+    apart, by the mean, in 8 of d orthonormal directions."""
+    return float(np.sqrt(max(2.0 * (1.0 - least), 1e-12) * min(8, max(d, 1)) / max(d, 1))) / REACH
+
+
 def even_nearest(x: np.ndarray) -> np.ndarray:
     """The nearest integer points with an even sum."""
     near = np.rint(x)
@@ -140,29 +147,32 @@ def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, s
     return map_arrow(by_pair(paired.select("pair", "side", "node", "copies", "v", "codes", "t", "probe")), run, "a long, b long, n long")
 
 
-def near_duplicates(table: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row a vector.
 
     Vectors with equal labels link at a cosine of `least` or more. Equal vectors
     of a label are one class, so copies are never paired; each class is hashed
     to its home cell and the nearest neighbouring cells in each table, and what
     meets in a cell is verified. A pair counts in the first table in which it
-    meets. Rows with a null label, and vectors that are null, zero, of another
-    length than most, or hold null or non-finite components, link with nothing.
-    Rows that repeat a vec_id are vectors of their own; a null vec_id links with
-    nothing.
+    meets. scale: the lattice's unit, from dimension and cosine, if not given.
+    Rows with a null label, and vectors that are null, zero, of another length
+    than most, or hold null or non-finite components, link with nothing. Rows
+    that repeat a vec_id are vectors of their own, since classes, not ids, are the
+    nodes; a null vec_id links with nothing. Other columns, of any names, are
+    ignored; an empty table gives no rows.
     """
     named = table.select("vec_id", "label", F.col("embedding").alias("v"))
     able = usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     d = dimension(named.where(able), "v")
     able = able & (F.size("v") == d)
     rows = named.where(able)
-    distinct = stage(rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where("node is not null"), "vectors")
-    found = stage(links(distinct, d, least, tables, probes, scale), "links")
+    classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    distinct = stage(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written, so a node keeps its number
+    found = stage(links(distinct, d, least, tables, probes, cell_scale(d, least) if scale is None else scale), "links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    reach = components(found)
-    of = distinct.join(counts, "node", "left").join(reach, "node", "left")
-    of = of.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = rows.join(of, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    of = distinct.join(counts, "node", "left").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = stage(of.select("label", "v", "first", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = rows.join(of.join(ids, "component").select("label", "v", "n_links", "component_id"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = named.where(~F.coalesce(able, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
