@@ -19,8 +19,8 @@ from quantloom.llm.vectors import dimension, matrix, usable
 
 SAMPLE_ROWS = 20_000
 BRANCHES = 8
-LEAF_ROWS = 64  # of the sample
-PROBES, GOAL = 256, 0.97  # calibration queries, and the share of neighbours that they must reach
+LEAF_ROWS = 24  # of the sample
+PROBES, GOAL = 512, 0.94  # calibration queries, and the share of neighbours that they must reach
 NEIGHBOURS = 10
 TILE = 4_096
 SLACK = 1e-9
@@ -57,14 +57,17 @@ class Tree:
             todo += [(c, rows[nearest == k]) for k, c in enumerate(self.children[node])]
         return out
 
-    def visit(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves for one query: always the open node whose centre is nearest."""
+    def visit(self, q: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves for one query: always the open node whose centre is
+        nearest. More than `visits`, if those hold fewer than `least` of `rows`."""
         queue = [(0.0, 0)]
         found: list[int] = []
-        while queue and len(found) < visits:
+        held = 0
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                held += 0 if rows is None else int(rows[self.leaf[node]])
                 continue
             near = squared(q[None], np.stack([self.centres[c] for c in self.children[node]]))[0]
             for d, c in zip(near.tolist(), self.children[node]):
@@ -126,8 +129,8 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, probes: int, goal: float) -> in
 
 
 def fit(rows: DataFrame, key: str, vector: str, d: int, k: int, sample_rows: int = SAMPLE_ROWS, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS) -> Tree:
-    """The tree and its visits, from at most sample_rows vectors by a hash of their id."""
-    sample = rows.orderBy(F.xxhash64(key), key).limit(sample_rows).select(vector).collect()
+    """The tree and its visits, from at most sample_rows vectors by a hash of id and vector."""
+    sample = rows.orderBy(F.xxhash64(key, vector), key).limit(sample_rows).select(vector).collect()
     x = np.array([r[0] for r in sample], np.float64).reshape(-1, d)
     tree = build(x, branches, leaf_rows)
     tree.visits = calibrate(tree, x, k, PROBES, GOAL)
@@ -168,38 +171,59 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     nearest found rows but itself by Euclidean distance, ties to the smaller id.
 
     The tree is fitted on a bounded sample; every row is put in its leaf. Each
-    query goes to the leaves that best-bin-first traversal reaches, and meets
-    their rows there, in tiles of rows and of queries, so a leaf with most rows
-    is searched by many tasks. Vectors that are null, zero, of another length
-    than most, or hold null or non-finite components take no part, nor do rows
-    without an id. Rows that repeat an id are candidates once. No usable vector
-    gives no rows.
+    query goes to the leaves that best-bin-first traversal reaches, as many as
+    calibrated and until they hold enough rows, and meets their rows there, in
+    tiles of rows and of queries, so a leaf with most rows is searched by many
+    tasks. A query that still has fewer than k is put to all leaves, so there are
+    fewer only if there are fewer candidates. Vectors that are null, zero, of
+    another length than most, or hold null or non-finite components take no part,
+    nor do rows without an id. Rows that repeat an id are candidates once, at
+    their nearest. No usable vector gives no rows. Other columns, of any names,
+    are ignored.
     """
-    table = table.select(key, F.col(vector).alias("v"), is_query.alias("is_query"))
+    table = table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query"))
     d = dimension(table.where(usable(F.col("v"))), "v")
     if not d:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = table.where(usable(F.col("v")) & (F.size("v") == d) & F.col(key).isNotNull()).withColumn("v", F.transform("v", lambda x: x.cast("double")))
-    tree = fit(rows, key, "v", d, k, **tree_parameters)
+    rows = table.where(usable(F.col("v")) & (F.size("v") == d) & F.col("id").isNotNull()).withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    tree = fit(rows, "id", "v", d, k, **tree_parameters)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(matrix(batch.column(1), d))), *batch.columns], ["leaf", "id", "v", "is_query"])
 
+    index = stage(map_arrow(rows, place, "leaf long, id long, v array<double>, is_query boolean"), "leaves")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in index.select("leaf", "id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        held[r["leaf"]] = r["n"]
+    queries = stage(index.where("is_query").groupBy("id").agg(F.first("v").alias("v")), "queries")
+    found = stage(met(index, queries, tree, tree.visits, held, k, d), "found")
+    most = min(k, index.select("id").distinct().count() - 1)
+    enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    short = stage(queries.join(enough, "id", "left_anti"), "short")
+    if most > 0 and not short.isEmpty():
+        again = met(index, short, tree, tree.leaves, held, k, d)
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return found
+
+
+def met(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, held: np.ndarray, k: int, d: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of index (leaf, id, v) in
+    the leaves that each of queries (id, v) visits."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            visits = [tree.visit(q, tree.visits) for q in matrix(batch.column(1), d)]
-            take = pa.array(np.repeat(np.arange(len(visits)), [len(v) for v in visits]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for v in visits for x in v], pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], ["leaf", "id", "v"])
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                visited = [tree.visit(q, visits, held, k + 1) for q in matrix(part.column(1), d)]
+                take = pa.array(np.repeat(np.arange(len(visited)), [len(v) for v in visited]))
+                yield pa.RecordBatch.from_arrays([pa.array([x for v in visited for x in v], pa.int64()), part.column(0).take(take), part.column(1).take(take)], ["leaf", "id", "v"])
 
-    index = stage(map_arrow(rows.select(F.col(key).cast("long").alias("id"), "v", "is_query"), place, "leaf long, id long, v array<double>, is_query boolean"), "leaves")
-    queries = index.where("is_query").groupBy("id").agg(F.first("v").alias("v"))
-    probes = stage(map_arrow(queries, route, "leaf long, id long, v array<double>"), "probes")
+    dealt = queries.repartition(F.xxhash64("id"))
+    probes = stage(map_arrow(dealt.select("id", "v"), route, "leaf long, id long, v array<double>"), "probes")
     cuts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    sizes = index.groupBy("leaf").agg(F.count("*").alias("_n")).join(probes.groupBy("leaf").agg(F.count("*").alias("_q")), "leaf").select("leaf", cuts("_n").alias("_cuts"), cuts("_q").alias("_turns"))
-    tile = F.xxhash64("leaf", "_cut", "_turn").alias("tile")
-    own = index.join(sizes, "leaf").withColumn("_cut", F.pmod(F.xxhash64("id"), F.col("_cuts")).cast("int")).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
-    asked = probes.join(sizes, "leaf").withColumn("_turn", F.pmod(F.xxhash64("id"), F.col("_turns")).cast("int")).withColumn("_cut", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
+    sizes = index.groupBy("leaf").agg(F.count("*").alias("n")).join(probes.groupBy("leaf").agg(F.count("*").alias("q")), "leaf").select("leaf", cuts("n").alias("cuts"), cuts("q").alias("turns"))
+    tile = F.xxhash64("leaf", "cut", "turn").alias("tile")
+    own = index.join(sizes, "leaf").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    asked = probes.join(sizes, "leaf").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     both = own.select(tile, F.lit(0).alias("asks"), "id", "v").unionByName(asked.select(tile, F.lit(1).alias("asks"), "id", "v"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +233,8 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
             q, r, score = nearest(v[a], ids[a], v[~a], ids[~a], k)
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    met = map_arrow(both.repartition("tile").sortWithinPartitions("tile"), meet, "query_id long, vec_id long, score double")
+    pairs = map_arrow(both.repartition("tile").sortWithinPartitions("tile"), meet, "query_id long, vec_id long, score double")
     # a row that repeats an id counts once
-    once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    once = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
