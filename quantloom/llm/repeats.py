@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import LEAST_LONG, map_arrow, stage, text_bytes
+from quantloom.llm.common import LEAST_LONG, drop_stage, map_arrow, stage, text_bytes
 from quantloom.llm.tiles import runs
 from quantloom.llm.winnow import Units, grams, scan
 
@@ -47,7 +47,9 @@ def recurring(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     every = map_arrow(texts.select(row_key("text")[0], "text"), lambda batches: grams(batches, units, window, gram), "key long, doc long")
     seeds = stage(every.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most")).where(seed).select("key"), "seeds")
     anchors = map_arrow(texts.select(*row_key("text"), "text"), lambda batches: scan(batches, units, window, gram), ANCHOR)
-    return stage(anchors.join(seeds.hint("merge"), "key", "left_semi"), "anchors")
+    out = stage(anchors.join(seeds.hint("merge"), "key", "left_semi"), "anchors")
+    drop_stage(seeds)
+    return out
 
 
 def contexts(docs: DataFrame, members: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], window: int) -> DataFrame:
@@ -68,7 +70,7 @@ def contexts(docs: DataFrame, members: DataFrame, units: Callable[[np.ndarray, n
                 seen = name
                 cells = batch.column(3)[row].values
                 key, span, span2, spot, lo, hi = (cells.field(k).to_numpy() for k in range(6))
-                part = units(data[at[row] : at[row + 1]], np.array([0, at[row + 1] - at[row]]))
+                part = units(data[at[row] : at[row + 1]], np.array([0, at[row + 1] - at[row]]), False)
                 for k in range(0, len(key), 8192):
                     s = slice(k, k + 8192)
                     whole = np.zeros(len(key[s]), np.int32)
@@ -114,14 +116,15 @@ def halves(window: int, gram: int, part: Callable[[bytes, int, int], bytes]) ->
 
 
 def resolve(rows: DataFrame, compare: Callable, window: int, gram: int, part: Callable[[bytes, int, int], bytes], most: int, every: bool) -> DataFrame:
-    """What `compare` finds in each bucket of contexts; buckets with more than
-    `most` rows are halved until they fit, so that no task holds a large one. In
-    a bucket of one window start all rows are the same window: found at once,
+    """What `compare` finds in each bucket of contexts, staged; buckets with more
+    than `most` rows are halved until they fit, so that no task holds a large one.
+    In a bucket of one window start all rows are the same window: found at once,
     for all rows if `every`, else for those not of the least doc."""
-    found = []
+    found, read = [], []
     while True:
         level = stage(rows, "contexts")
         sizes = stage(level.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1"), "buckets")
+        read += [level, sizes]
         sized = level.join(sizes.hint("merge"), "bucket")
         ready = sized.where(F.col("n") <= most).select(*CONTEXT_NAMES)
         found.append(map_arrow(ready.repartition("bucket").sortWithinPartitions("bucket"), compare, FOUND))
@@ -136,6 +139,9 @@ def resolve(rows: DataFrame, compare: Callable, window: int, gram: int, part: Ca
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
+    out = stage(out.distinct(), "found")
+    for table in read:
+        drop_stage(table)
     return out
 
 

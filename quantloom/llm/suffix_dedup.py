@@ -102,9 +102,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     `length` bytes that also starts anywhere else.
 
     Anchors with equal surroundings are one class. Two members of each class of
-    two or more, and the member of each other class whose gram has more classes,
-    are compared by the column-wise construction, and what it finds for them
-    holds for all of their class. gram: a quarter of the length, if not given.
+    two or more, and the member of each other class, are compared with all
+    classes of their gram by the column-wise construction, and what it finds for
+    them holds for all of their class. gram: a quarter of the length, if not given.
     """
     gram = gram or max(1, length // 4)
     if not 0 < gram <= length < 1 << 20:
@@ -112,11 +112,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     anchors = recurring(docs, byte_units, length, gram, F.col("n") > 1)
     place = F.struct(*ROW, "at", "lo", "hi")
     classes = stage(anchors.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")
-    lone = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds = 1 and most = 1").select("key")
     ends = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
-    members = classes.join(lone, "key", "left_anti").select(*CLASS, F.explode(ends).alias("one")).select(*CLASS, "one.*")
-    found = stage(resolve(contexts(docs, members, byte_units, length), compare(length, gram), length, gram, byte_part, most_rows, every=True).drop("doc").distinct(), "found")
-    all_of = anchors.join(found.hint("merge"), CLASS)
+    # a gram recurs, so a class of one is not the only class of its gram
+    members = classes.select(*CLASS, F.explode(ends).alias("one")).select(*CLASS, "one.*")
+    found = resolve(contexts(docs, members, byte_units, length), compare(length, gram), length, gram, byte_part, most_rows, every=True)
+    all_of = anchors.join(found.drop("doc").distinct().hint("merge"), CLASS)
     return all_of.select(*ROW, (F.col("at") + F.col("first_start")).alias("start"), (F.col("at") + F.col("last_start") + length).alias("stop"))
 
 

@@ -70,17 +70,17 @@ class Units:
         return (line[a : b - gap] for a, b in zip(self.place[start].tolist(), self.place[end].tolist()))
 
 
-def byte_units(data: np.ndarray, at: np.ndarray) -> Units:
-    return Units(TABLE[data], at, data.tobytes(), np.arange(len(data) + 1), 0)
+def byte_units(data: np.ndarray, at: np.ndarray, values: bool = True) -> Units:
+    return Units(TABLE[data] if values else data, at, data.tobytes(), np.arange(len(data) + 1), 0)
 
 
-def word_units(data: np.ndarray, at: np.ndarray) -> Units:
+def word_units(data: np.ndarray, at: np.ndarray, values: bool = True) -> Units:
     """Words joined by one space."""
     start, end, bounds = word_bounds(data, at)
     whole = data.tobytes()
     rows = [b" ".join(whole[a:b].split()) for a, b in zip(at.tolist(), at[1:].tolist())]
     place = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - start + 1)])
-    return Units(Hashes(TABLE[data]).of(start, end), bounds, b" ".join(r for r in rows if r), place, 1)
+    return Units(Hashes(TABLE[data]).of(start, end) if values else start, bounds, b" ".join(r for r in rows if r), place, 1)
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
