@@ -91,9 +91,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     anchors = recurring(docs, word_units, length, gram, F.col("least") < F.col("most"))
     place = F.struct(*ROW, "at", "lo", "hi")
     classes = stage(anchors.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(place).alias("one")).select("*", F.col("one.doc").alias("first")), "classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("first").alias("least"), F.max("first").alias("most")).where("kinds > 1 and least < most").select("key")
-    mixed = classes.join(several, "key", "left_semi").select(*CLASS, "one.*")
-    found = stage(resolve(contexts(docs, mixed, word_units, length), compare(length, gram), length, gram, word_part, most_rows, every=False), "found")
+    several = stage(classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("first").alias("least"), F.max("first").alias("most")).where("kinds > 1 and least < most").select("key"), "several")
+    mixed = classes.join(several.hint("merge"), "key", "left_semi").select(*CLASS, "one.*")
+    found = resolve(contexts(docs, mixed, word_units, length), compare(length, gram), length, gram, word_part, most_rows, every=False)
     later = anchors.join(classes.where("n > 1").select(*CLASS, "first").hint("merge"), CLASS).where("doc > first")
     # the smallest document may hold its class's surroundings more than once
     own = anchors.join(found.hint("merge"), [*CLASS, "doc"])
