@@ -1,17 +1,18 @@
 """Technical indicators: bounded windows as SQL windows over one sort by symbol
-and time; recursive averages as one pass a symbol in time order."""
+and time; recursive averages as one fold in time order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from quantloom.operators.folds import folded
+
 INDICATORS = ["ma_5", "ma_20", "rsi_14", "macd", "macd_signal", "macd_histogram", "bb_middle", "bb_upper", "bb_lower", "atr_14", "plus_di_14", "minus_di_14", "adx_14", "mfi_14", "vwap", "obv", "supertrend_10_3", "supertrend_direction"]
 
 
@@ -58,100 +59,120 @@ def windows(bars: DataFrame) -> DataFrame:
         mfi.alias("mfi_14"), F.try_divide(F.sum(flow).over(so_far), F.sum(F.col("volume").cast("double")).over(so_far)).alias("vwap"), F.sum(direction).over(so_far).alias("obv"))
 
 
-def wilder(x: np.ndarray, period: int) -> np.ndarray:
-    """Wilder's average: nulls are skipped; the first `period` values' mean, then
-    (last (period - 1) + value) / period."""
-    out = np.full(len(x), np.nan)
-    at = np.flatnonzero(~np.isnan(x))
-    if len(at) >= period:
-        value = x[at[:period]].mean()
-        out[at[period - 1]] = value
-        for i in at[period:].tolist():
-            value = (value * (period - 1) + x[i]) / period
-            out[i] = value
-    return out
-
-
-def by_symbol(df: DataFrame, columns: dict[str, str], step) -> DataFrame:
-    """df with columns (name: type) that `step` fills from a symbol's rows in
-    time order. One shuffle by symbol, kept by what follows."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable").reset_index(drop=True)
-        return rows.assign(**step(rows))
-
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{c}` {t}" for c, t in columns.items())])
-    return df.groupBy("symbol").applyInPandas(run, schema)
-
-
-def floats(rows: pd.DataFrame, c: str) -> np.ndarray:
-    return rows[c].to_numpy(np.float64, na_value=np.nan)
-
-
-def smooth(df: DataFrame, averages: dict[str, tuple[str, int]]) -> DataFrame:
-    """df with Wilder averages: name: (column, period)."""
-    return by_symbol(df, {k: "double" for k in averages}, lambda rows: {k: wilder(floats(rows, c), n) for k, (c, n) in averages.items()})
-
-
-def exponential(df: DataFrame, averages: dict[str, tuple[str, int]]) -> DataFrame:
-    """df with exponential averages from the first value on: name: (column, span)."""
-    return by_symbol(df, {k: "double" for k in averages}, lambda rows: {k: rows[c].astype(float).ewm(span=n, adjust=False).mean().to_numpy() for k, (c, n) in averages.items()})
-
-
-def trail(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The line that trails the price and its side (1 below, -1 above, 0 none yet)."""
-    middle = (high + low) / 2
-    upper, lower = middle + factor * atr, middle - factor * atr
-    line, side = np.full(len(close), np.nan), np.zeros(len(close), np.int64)
-    for i in range(1, len(close)):
-        if np.isnan(atr[i]):
-            continue
-        if close[i - 1] <= upper[i - 1]:
-            upper[i] = min(upper[i], upper[i - 1])
-        if close[i - 1] >= lower[i - 1]:
-            lower[i] = max(lower[i], lower[i - 1])
-        if side[i - 1] == 0:
-            side[i] = 1 if close[i] >= middle[i] else -1
-        elif side[i - 1] == 1:
-            side[i] = -1 if close[i] < lower[i] else 1
+def wilder(period: int) -> Callable[[float | None], float | None]:
+    """Wilder's average, a value at a time: nulls are skipped; the first `period`
+    values' mean, then (last (period - 1) + value) / period."""
+    first: list[float] = []
+    last: float | None = None
+
+    def step(x: float | None) -> float | None:
+        nonlocal last
+        if x is None or x != x:
+            return None
+        if last is not None:
+            last = (last * (period - 1) + x) / period
+        else:
+            first.append(x)
+            if len(first) == period:
+                last = sum(first) / period
+        return last
+
+    return step
+
+
+def exponential(span: int) -> Callable[[float | None], float | None]:
+    """An exponential average from the first value on. Over nulls the last value
+    stays, and its weight falls."""
+    share = 2.0 / (span + 1)
+    last: float | None = None
+    weight = 1.0
+
+    def step(x: float | None) -> float | None:
+        nonlocal last, weight
+        have = x is not None and x == x
+        if last is None:
+            last = x if have else None
+            return last
+        weight *= 1.0 - share
+        if have:
+            last = (weight * last + share * x) / (weight + share)
+            weight = 1.0
+        return last
+
+    return step
+
+
+def trail(factor: float) -> Callable[..., tuple[float | None, int | None]]:
+    """The line that trails the price and its side (1 below, -1 above, null none
+    yet), from (high, low, close, average true range) a bar at a time."""
+    nan = float("nan")
+    before: tuple[float, float, float] | None = None  # upper, lower, close
+    side = 0
+
+    def step(*bar: float | None) -> tuple[float | None, int | None]:
+        nonlocal before, side
+        high, low, close, atr = (nan if x is None else x for x in bar)
+        middle = (high + low) / 2
+        upper, lower = middle + factor * atr, middle - factor * atr
+        line = None
+        if before is None or atr != atr:
+            side = 0
         else:
-            side[i] = 1 if close[i] > upper[i] else -1
-        line[i] = lower[i] if side[i] == 1 else upper[i]
-    return line, side
+            if before[2] <= before[0]:
+                upper = min(upper, before[0])
+            if before[2] >= before[1]:
+                lower = max(lower, before[1])
+            if side == 0:
+                side = 1 if close >= middle else -1
+            elif side == 1:
+                side = -1 if close < lower else 1
+            else:
+                side = 1 if close > upper else -1
+            line = lower if side == 1 else upper
+        before = upper, lower, close
+        return line, side or None
 
+    return step
 
-def supertrend(df: DataFrame, atr: str, factor: float = 3.0, out: str = "supertrend_10_3") -> DataFrame:
-    def step(rows: pd.DataFrame) -> dict:
-        line, side = trail(*(floats(rows, c) for c in ("high", "low", "close", atr)), factor)
-        return {out: line, "supertrend_direction": pd.Series(side).where(side != 0).astype("Int64")}
 
-    return by_symbol(df, {out: "double", "supertrend_direction": "bigint"}, step)
+RECURSIVE = ["g", "l", "atr_14", "plus_di_14", "minus_di_14", "adx_14", "macd", "macd_signal", "supertrend_10_3"]
 
 
-def rsi(gain: str, loss: str) -> Column:
-    return F.when(F.col(gain).isNull() | F.isnan(gain), None).when(F.col(loss) == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(F.col(gain), F.col(loss))))
+def recursions() -> Callable[..., tuple]:
+    """All recursive indicators of a symbol, a bar at a time."""
+    gain, loss, ranges, plus, minus, directional, short_range = (wilder(n) for n in (14, 14, 14, 14, 14, 14, 10))
+    fast, slow, signal = exponential(12), exponential(26), exponential(9)
+    line = trail(3.0)
 
+    def step(g: float | None, l: float | None, tr: float | None, up: float | None, down: float | None, high: float | None, low: float | None, close: float | None) -> tuple:
+        atr, p, m = ranges(tr), plus(up), minus(down)
+        share = lambda x: 100 * (x / atr) if x is not None and atr else None
+        pdi, mdi = share(p), share(m)
+        dx = 100 * (abs(pdi - mdi) / (pdi + mdi)) if pdi is not None and mdi is not None and pdi + mdi else None
+        a, b = fast(close), slow(close)
+        macd = a - b if a is not None and b is not None else None
+        at, side = line(high, low, close, short_range(tr))
+        return gain(g), loss(l), atr, pdi, mdi, directional(dx), macd, signal(macd), at, side
 
-def no_nan(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
+    return step
+
+
+def rsi(gain: str, loss: str) -> Column:
+    return F.when(F.col(gain).isNull() | F.isnan(gain), None).when(F.col(loss) == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(F.col(gain), F.col(loss))))
 
 
 def with_indicators(bars: DataFrame) -> DataFrame:
     """Bars with all 18 indicators, rounded to six places.
 
-    Windows share one sort; the recursive averages run in as many passes as they
-    depend on each other, all in the one partitioning by symbol. Warm-up rows are
+    Windows share one sort; all recursive averages are one fold over the same
+    partitioning by symbol, which holds a few numbers a symbol. Warm-up rows are
     null; null prices and volumes give null where they are looked at.
     """
     own = bars.columns
     df = windows(bars.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")}))
-    names = ["g", "l", "atr_14", "p", "m", "atr_10", "fast", "slow"]
-    df = smooth(df, {"g": ("gain", 14), "l": ("loss", 14), "atr_14": ("tr", 14), "p": ("plus_dm", 14), "m": ("minus_dm", 14), "atr_10": ("tr", 10)})
-    df = no_nan(exponential(df, {"fast": ("close", 12), "slow": ("close", 26)}), names)
-    plus, minus = 100 * F.try_divide("p", "atr_14"), 100 * F.try_divide("m", "atr_14")
-    df = df.withColumns({"rsi_14": rsi("g", "l"), "macd": F.col("fast") - F.col("slow"), "plus_di_14": plus, "minus_di_14": minus})
-    df = df.withColumn("dx", 100 * F.try_divide(F.abs(F.col("plus_di_14") - F.col("minus_di_14")), F.col("plus_di_14") + F.col("minus_di_14")))
-    df = exponential(smooth(df, {"adx_14": ("dx", 14)}), {"macd_signal": ("macd", 9)})
-    df = supertrend(df, "atr_10").withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    added = {c: ("double", pa.float64()) for c in RECURSIVE} | {"supertrend_direction": ("bigint", pa.int64())}
+    df = folded(df, "symbol", [F.col("ts")], ["gain", "loss", "tr", "plus_dm", "minus_dm", "high", "low", "close"], recursions, added)
+    df = df.withColumns({"rsi_14": rsi("g", "l"), "macd_histogram": F.col("macd") - F.col("macd_signal")})
     rounded = [F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) for c in INDICATORS[:-1]]
     return df.select(*own, *rounded, "supertrend_direction")
 

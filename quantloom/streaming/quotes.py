@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quantloom.operators.folds import folded
+
 TTL_SECONDS = 3
 
 
@@ -53,33 +54,20 @@ def alert_stream(quotes: DataFrame, alerts: DataFrame) -> DataFrame:
 def bars(quotes: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
     """Bars by event time. With `late`, the stream keeps bars open that long and
     drops what comes after; an extension, the feeds themselves have no lateness rule."""
-    source = quotes.withWatermark("ts", late) if late else quotes
+    # a watermark needs an instant
+    kind = dict(quotes.dtypes)["ts"]
+    source = quotes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else quotes
     order = F.struct("ts", "seq")
-    return source.groupBy("symbol", F.window("ts", size).alias("w")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("volume")).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
-
-
-def folded(events: DataFrame, start: Callable[[], Callable[[int], tuple]], added: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-    """events (key, ts, seq) with columns that a fold gives for each, in order of
-    (ts, seq). start() begins a key; what it returns takes the microseconds of
-    each of its events. Spark sorts, and spills, by key and time; Python holds
-    one batch and one state."""
-    names = [*events.columns, *added]
-    line = events.repartition("key").sortWithinPartitions("key", F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last())
-    kinds = [kind for _, kind in added.values()]
+    return source.groupBy("symbol", F.window("ts", size).alias("w")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("volume")).select("symbol", F.col("w.start").cast(kind).alias("ts"), "open", "high", "low", "close", "volume")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, last = None, None
-        for batch in batches:
-            times = pc.fill_null(batch.column("ts").cast(pa.timestamp("us", getattr(batch.column("ts").type, "tz", None))).cast(pa.int64()), -(2**63))
-            found = []
-            for key, now in zip(batch.column("key").to_pylist(), times.to_pylist()):
-                if step is None or key != last and (key == key or last == last):  # NaN is one key
-                    step, last = start(), key
-                found.append(step(now))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]], names)
 
-    types = dict(events.dtypes) | {c: t for c, (t, _) in added.items()}
-    return line.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
+def limited(events: DataFrame, start: Callable[[], Callable[[int], tuple]], added: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """events (key, ts, seq) with what a fold over their microseconds adds, by
+    key in order of (ts, seq)."""
+    plain = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) if plain else F.unix_micros("ts")
+    line = events.withColumn("_at", F.coalesce(micros, F.lit(-(2**63))))
+    return folded(line, "key", [F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last()], ["_at"], start, added).drop("_at")
 
 
 def sliding_limit(events: DataFrame, limit: int, window_seconds: float) -> DataFrame:
@@ -103,7 +91,7 @@ def sliding_limit(events: DataFrame, limit: int, window_seconds: float) -> DataF
 
         return step
 
-    return folded(events, start, {"allowed": ("boolean", pa.bool_()), "remaining": ("int", pa.int32())})
+    return limited(events, start, {"allowed": ("boolean", pa.bool_()), "remaining": ("int", pa.int32())})
 
 
 def token_bucket(events: DataFrame, rate: float) -> DataFrame:
@@ -127,7 +115,7 @@ def token_bucket(events: DataFrame, rate: float) -> DataFrame:
 
         return step
 
-    return folded(events, start, {"wait_seconds": ("double", pa.float64())})
+    return limited(events, start, {"wait_seconds": ("double", pa.float64())})
 
 
 def run_dry(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
