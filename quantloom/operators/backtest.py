@@ -3,6 +3,7 @@ walk-forward folds, metrics and comparisons."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -225,6 +226,30 @@ def downsample(curve: DataFrame, initial: float, most: int = 120) -> DataFrame:
     return df.where(keep).select("symbol", "ts", "normalized_equity", "drawdown")
 
 
+def signals(bars: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """bars with strategy and signal: a row for each strategy and for
+    buy_and_hold, from one pass over the bars."""
+    df, names = bars, {"buy_and_hold": F.lit(1)}
+    for k, (name, add) in enumerate(strategies.items()):
+        df = add(df).withColumnRenamed("signal", f"_signal{k}")
+        names[name] = F.col(f"_signal{k}")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), c.cast("int").alias("signal")) for n, c in names.items()])).alias("_s")
+    return df.select(*bars.columns, each).select(*bars.columns, "_s.*")
+
+
+def compare_strategies(signals_: DataFrame, base: str, config: Config = Config()) -> DataFrame:
+    """Metrics of each (symbol, strategy), and the difference from the base
+    strategy's: one set of windows over all strategies together."""
+    mark = "\x01"
+    curve = vectorized(signals_.withColumn("symbol", F.concat_ws(mark, "strategy", "symbol")), config)
+    found = metrics(curve, trades(curve, config), config)
+    apart = F.split("symbol", mark, 2)
+    named = found.withColumns({"strategy": F.get(apart, F.lit(0)), "symbol": F.get(apart, F.lit(1))})
+    names = ["total_return", "max_drawdown", "sharpe_ratio", "final_equity"]
+    own = lambda c: F.max(F.when(F.col("strategy") == base, F.col(c))).over(W.partitionBy("symbol"))
+    return named.select("symbol", "strategy", *names, "trade_count", *[F.round(F.col(c) - own(c), 6).alias(f"{c}_delta") for c in names])
+
+
 def compared(parts: dict[str, DataFrame], base: str, by: str = "strategy") -> DataFrame:
     """Metrics of all parts, and each one's difference from the base part."""
     every = None

@@ -10,7 +10,7 @@ from quantloom.operators import actions as A
 from quantloom.operators import backtest as K
 from quantloom.operators import indicators as I
 from quantloom.operators import scoring as S
-from quantloom.plans.market import BASE, DAY, HOUR, PATTERNS, STAMP, W, show
+from quantloom.plans.market import BASE, DAY, HOUR, PATTERNS, STAMP, W, bars_sql, show
 from quantloom.plans.registry import query
 from quantloom.sources import tables as T
 
@@ -122,12 +122,8 @@ COMPARE = f"""{PATTERN_SIGNAL}, {CROSS}, hold AS (SELECT *, 1 AS signal FROM b),
 @query("strategy_compare", f"""WITH {COMPARE} SELECT al.symbol, strategy, round(al.total_return, 4) AS total_return, al.trade_count, round(al.total_return - hm.total_return, 4) AS total_return_delta, round(al.sharpe_ratio - hm.sharpe_ratio, 4) AS sharpe_ratio_delta
 FROM al JOIN hm USING (symbol)""")
 def strategy_compare(spark, sf_dir):
-    bars = T.hourly(spark, sf_dir)
-    parts = {}
-    for name, signals in (("buy_and_hold", K.buy_and_hold(bars)), ("ma_cross", K.ma_cross(bars)), ("pattern_reference", K.pattern_reference(bars))):
-        curve = K.vectorized(signals, CONFIG)
-        parts[name] = K.metrics(curve, K.trades(curve, CONFIG), CONFIG)
-    out = K.compared(parts, "buy_and_hold")
+    signals = K.signals(T.hourly(spark, sf_dir), {"ma_cross": K.ma_cross, "pattern_reference": K.pattern_reference})
+    out = K.compare_strategies(signals, "buy_and_hold", CONFIG)
     return out.select("symbol", "strategy", F.round("total_return", 4).alias("total_return"), "trade_count", F.round("total_return_delta", 4).alias("total_return_delta"), F.round("sharpe_ratio_delta", 4).alias("sharpe_ratio_delta"))
 
 
@@ -208,8 +204,8 @@ def technical_strategy(spark, sf_dir):
 
 
 AS_OF = datetime(2024, 1, 21)
-ACTIONS = """ca0 AS (SELECT event_type AS symbol, 'feed' AS source, event_id::VARCHAR AS event_id, 1 AS revision, date_trunc('day', ts)::TIMESTAMP AS effective_at, (date_trunc('day', ts) - to_days((1 + event_id % 5)::INT))::TIMESTAMP AS known_at,
-    (CASE event_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.8 ELSE 2.0 END)::DECIMAL(24,12) AS price_factor, (CASE event_id % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 1.25 ELSE 0.5 END)::DECIMAL(24,12) AS volume_factor, 'confirmed' AS status, event_id AS k FROM events WHERE event_id % 97 = 0), ca AS (
+ACTIONS = """ca0 AS (SELECT user_id::VARCHAR AS symbol, 'feed' AS source, event_id::VARCHAR AS event_id, 1 AS revision, date_trunc('day', ts)::TIMESTAMP AS effective_at, (date_trunc('day', ts) - to_days((1 + event_id % 5)::INT))::TIMESTAMP AS known_at,
+    (CASE event_id % 3 WHEN 0 THEN 0.999 WHEN 1 THEN 0.998 ELSE 1.002 END)::DECIMAL(24,12) AS price_factor, (CASE event_id % 3 WHEN 0 THEN 1.001 WHEN 1 THEN 1.002 ELSE 0.998 END)::DECIMAL(24,12) AS volume_factor, 'confirmed' AS status, event_id AS k FROM events), ca AS (
   SELECT * EXCLUDE (k) FROM ca0 UNION ALL SELECT symbol, source, event_id, 2, effective_at, known_at + INTERVAL 2 DAY, (price_factor * 1.1)::DECIMAL(24,12), volume_factor, CASE WHEN k % 8 = 0 THEN 'cancelled' ELSE 'confirmed' END FROM ca0 WHERE k % 4 = 0),
   vis AS (SELECT * FROM ca WHERE known_at <= TIMESTAMP '2024-01-21' AND effective_at <= TIMESTAMP '2024-01-21'), lat AS (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY symbol, source, event_id ORDER BY known_at DESC, revision DESC) = 1), con AS (SELECT * FROM lat WHERE status = 'confirmed')"""
 FACTOR = "round(price_factor::DOUBLE, 6) AS price_factor"
@@ -220,14 +216,17 @@ def latest_revision(spark, sf_dir):
     return A.as_of(T.corporate_actions(spark, sf_dir), AS_OF).select("symbol", "event_id", "revision", "status", F.round(F.col("price_factor").cast("double"), 6).alias("price_factor"))
 
 
-@query("actions_asof", f"WITH {DAY}, {ACTIONS} SELECT symbol, event_id, strftime(effective_at, '%Y-%m-%d') AS effective_on FROM con WHERE EXISTS (SELECT 1 FROM b WHERE b.symbol = con.symbol AND b.ts < con.effective_at)")
+USER_DAY = bars_sql("day", "user_id")
+
+
+@query("actions_asof", f"WITH {USER_DAY}, {ACTIONS} SELECT symbol, event_id, strftime(effective_at, '%Y-%m-%d') AS effective_on FROM con WHERE EXISTS (SELECT 1 FROM b WHERE b.symbol = con.symbol AND b.ts < con.effective_at)")
 def actions_asof(spark, sf_dir):
-    return A.affecting(T.corporate_actions(spark, sf_dir), T.daily(spark, sf_dir), AS_OF).select("symbol", "event_id", F.date_format("effective_at", "yyyy-MM-dd").alias("effective_on"))
+    return A.affecting(T.corporate_actions(spark, sf_dir), T.user_daily(spark, sf_dir), AS_OF).select("symbol", "event_id", F.date_format("effective_at", "yyyy-MM-dd").alias("effective_on"))
 
 
 def adjust_sql(chosen: str, hit: str, inverse: bool) -> str:
     f = lambda c: f"(SELECT coalesce(product({'1 / ' if inverse else ''}{c}::DOUBLE), 1) FROM {chosen} c WHERE c.symbol = b.symbol AND {hit})"
-    return f"""WITH {DAY}, {ACTIONS}, bad AS (SELECT symbol, event_id FROM vis GROUP BY ALL HAVING count(*) > 1 OR max((known_at > effective_at)::INT) = 1), fwd AS (SELECT * FROM vis WHERE status = 'confirmed' AND (symbol, event_id) NOT IN (SELECT (symbol, event_id) FROM bad)),
+    return f"""WITH {USER_DAY}, {ACTIONS}, bad AS (SELECT symbol, event_id FROM vis GROUP BY ALL HAVING count(*) > 1 OR max((known_at > effective_at)::INT) = 1), fwd AS (SELECT * FROM vis WHERE status = 'confirmed' AND (symbol, event_id) NOT IN (SELECT (symbol, event_id) FROM bad)),
   j AS (SELECT b.*, {f('price_factor')} AS pf, {f('volume_factor')} AS vf FROM b)
 SELECT symbol, {STAMP}, round(close * pf, 4) AS close, round(volume * vf, 0)::BIGINT AS volume FROM j"""
 
@@ -237,7 +236,7 @@ def adjusted_show(df):
 
 
 def near_bars(spark, sf_dir):
-    return T.daily(spark, sf_dir).withColumn("price_basis", F.lit("unadjusted"))
+    return T.user_daily(spark, sf_dir).withColumn("price_basis", F.lit("unadjusted"))
 
 
 @query("adjust_backward", adjust_sql("con", "b.ts < c.effective_at", False))

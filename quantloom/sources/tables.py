@@ -61,12 +61,13 @@ def raw_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits and dividends with two points in time and revisions."""
-    e = table(spark, sf_dir, "events").where("event_id % 97 = 0")
+    """Splits and dividends with two points in time and revisions: one of each
+    event, by user."""
+    e = table(spark, sf_dir, "events")
     one = e.select(
-        F.col("event_type").alias("symbol"), F.lit("feed").alias("source"), F.col("event_id").cast("string").alias("event_id"), F.lit(1).alias("revision"),
+        F.col("user_id").cast("string").alias("symbol"), F.lit("feed").alias("source"), F.col("event_id").cast("string").alias("event_id"), F.lit(1).alias("revision"),
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("effective_at"), (F.date_trunc("day", "ts") - F.expr("make_interval(0, 0, 0, 1 + event_id % 5)")).cast("timestamp_ntz").alias("known_at"),
-        F.expr("cast(case event_id % 3 when 0 then 0.5 when 1 then 0.8 else 2.0 end as decimal(24,12))").alias("price_factor"),
-        F.expr("cast(case event_id % 3 when 0 then 2.0 when 1 then 1.25 else 0.5 end as decimal(24,12))").alias("volume_factor"), F.lit("confirmed").alias("status"), F.col("event_id").alias("n"))
+        F.expr("cast(case event_id % 3 when 0 then 0.999 when 1 then 0.998 else 1.002 end as decimal(24,12))").alias("price_factor"),
+        F.expr("cast(case event_id % 3 when 0 then 1.001 when 1 then 1.002 else 0.998 end as decimal(24,12))").alias("volume_factor"), F.lit("confirmed").alias("status"), F.col("event_id").alias("n"))
     two = one.where("n % 4 = 0").withColumn("revision", F.lit(2)).withColumn("known_at", F.expr("known_at + interval 2 days")).withColumn("status", F.expr("case when n % 8 = 0 then 'cancelled' else 'confirmed' end")).withColumn("price_factor", F.expr("cast(price_factor * 1.1 as decimal(24,12))"))
     return one.unionByName(two).drop("n")
