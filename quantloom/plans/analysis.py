@@ -174,10 +174,10 @@ def run_history_join(spark, sf_dir):
     return T.table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), "results", F.round("total", 2).alias("total"))
 
 
-@query("upsert_latest", "WITH o AS (SELECT o_custkey AS k, o_orderkey AS seq, o_totalprice AS v, 0 AS gen FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 1 FROM orders WHERE o_orderkey % 6 = 1) SELECT k, seq, v FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY gen DESC, seq DESC) = 1")
+@query("upsert_latest", "WITH o AS (SELECT o_custkey AS k, o_orderkey AS seq, o_totalprice AS v, 0 AS gen FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 1 FROM orders WHERE o_orderkey % 2 = 1) SELECT k, seq, v FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY gen DESC, seq DESC) = 1")
 def upsert_latest(spark, sf_dir):
     rows = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("v"))
-    return H.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 6 = 1"), ["k"], [F.desc("seq")])
+    return H.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ["k"], [F.desc("seq")])
 
 
 @query("retention_count", "SELECT count(*) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS expired, count(*) AS total FROM orders")
@@ -195,7 +195,7 @@ def champion_promotion(spark, sf_dir):
 @query("revision_insert", "SELECT o_orderkey AS k, round(o_totalprice / 7, 6) AS factor FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 6 != 0")
 def revision_insert(spark, sf_dir):
     rows = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.bround(F.col("o_totalprice").cast("decimal(20,4)") / 7, 12).cast("decimal(24,12)").alias("factor"))
-    fresh, _ = H.insert_revisions(rows.where("k % 6 = 0 or k % 2 = 1 and k % 3 != 0"), rows.where("k % 3 = 0"), ["k"], ["factor"])
+    fresh, _ = H.insert_revisions(rows.where("k % 6 = 0 or k % 3 != 0"), rows.where("k % 3 = 0"), ["k"], ["factor"])
     return fresh.select("k", F.round(F.col("factor").cast("double"), 6).alias("factor"))
 
 
@@ -211,11 +211,11 @@ def archive_candidates(spark, sf_dir):
     return H.archive_candidates(names, F.lit("1998-03-01").cast("date")).select("name")
 
 
-@query("approvals", "SELECT o_custkey AS event_id, count(*)::INT AS added, (1 + count(*))::INT AS last_revision FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1")
+@query("approvals", "SELECT o_custkey AS event_id, count(*)::INT AS added, (1 + count(*))::INT AS last_revision FROM orders GROUP BY 1")
 def approvals(spark, sf_dir):
     rows = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("event_id"), F.col("o_orderkey").cast("string").alias("receipt"))
     old = rows.select("event_id").distinct().withColumns({"revision": F.lit(1), "evidence_hash": F.sha2(F.concat(F.lit("old"), F.col("event_id").cast("string")), 256)})
-    return H.approvals(old, rows.where("receipt % 4 = 1"), ["event_id", "receipt"]).groupBy("event_id").agg(F.count("*").cast("int").alias("added"), F.max("revision").alias("last_revision"))
+    return H.approvals(old, rows, ["event_id", "receipt"]).groupBy("event_id").agg(F.count("*").cast("int").alias("added"), F.max("revision").alias("last_revision"))
 
 
 def terms_sql(column: str, terms: list[str]) -> str:
@@ -238,10 +238,10 @@ def compliance_scan(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", X.blocked(F.concat("text", extra)).alias("pattern"))
 
 
-@query("redaction", r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace('api_key=' || md5(doc_id::VARCHAR) || '; Bearer abc' || doc_id || ' ' || substr(text, 1, 600), '(?i)\bbearer\s+[a-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g'), '(?i)\b(token|secret|password|api[_-]?key|client[_-]?id)\s*[:=]\s*[^\s,;&]+', '\1=[REDACTED]', 'g') AS t FROM documents)
+@query("redaction", r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace('api_key=' || md5(doc_id::VARCHAR) || '; Bearer abc' || doc_id || ' ' || text, '(?i)\bbearer\s+[a-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g'), '(?i)\b(token|secret|password|api[_-]?key|client[_-]?id)\s*[:=]\s*[^\s,;&]+', '\1=[REDACTED]', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '…' ELSE t END AS clean FROM r""")
 def redaction(spark, sf_dir):
-    dirty = F.concat(F.lit("api_key="), F.md5(F.col("doc_id").cast("string")), F.lit("; Bearer abc"), F.col("doc_id").cast("string"), F.lit(" "), F.substring("text", 1, 600))
+    dirty = F.concat(F.lit("api_key="), F.md5(F.col("doc_id").cast("string")), F.lit("; Bearer abc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))
     return T.table(spark, sf_dir, "documents").select("doc_id", X.redact(dirty).alias("clean"))
 
 
