@@ -116,6 +116,55 @@ def reduction_factors(before: Column, after: Column) -> tuple[Column, Column]:
     return ratio(before, after), ratio(after, before)
 
 
+#: Fixed marks in titles and remarks of filings: corrected, corrected later, withdrawn.
+CORRECTED, LATER, WITHDRAWN = "정정", "정", "철"
+
+
+def candidates(rows: DataFrame, filings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Candidate actions from decision rows (symbol, kind, receipt_no, ratio,
+    before, after, decision_date, record_date) and filings (receipt_no,
+    report_name, remarks), newest first, with factors, hints and warnings.
+
+    kind is bonus_issue or capital_reduction. A receipt number is 14 digits that
+    start with the day; any other fails the job. limit: more candidates of a
+    symbol than that fail it too, since a cut list would hide some.
+    """
+    meta = filings.groupBy("receipt_no").agg(F.first("report_name").alias("report_name"), F.first("remarks").alias("remarks"))
+    df = rows.join(meta, "receipt_no", "left")
+    sound = F.rlike("receipt_no", F.lit(r"^\d{14}$")) & F.try_to_timestamp(F.substring("receipt_no", 1, 8), F.lit("yyyyMMdd")).isNotNull()
+    filed = F.when(sound, F.to_date(F.substring("receipt_no", 1, 8), "yyyyMMdd")).otherwise(F.raise_error(F.lit("invalid receipt number")).cast("date"))
+    bonus = F.col("kind") == "bonus_issue"
+    (bp, bv), (rp, rv) = bonus_factors(F.col("ratio")), reduction_factors(F.col("before"), F.col("after"))
+    price, volume = F.when(bonus, bp).otherwise(rp), F.when(bonus, bv).otherwise(rv)
+    says = lambda c, mark: F.coalesce(F.contains(F.col(c), F.lit(mark)), F.lit(False))
+    warn = lambda when, name: F.when(when, F.lit(name))
+    warnings = F.array_compact(F.array(
+        F.lit("revision_reconciliation_required"), F.lit("exchange_effective_date_required"), warn(says("report_name", CORRECTED), "correction_title_requires_reconciliation"), warn(says("remarks", LATER), "later_correction_reported"),
+        warn(says("remarks", WITHDRAWN), "withdrawal_report_reference_required"), warn(bonus & price.isNull(), "invalid_common_share_allocation_ratio"), warn(~bonus & price.isNull(), "invalid_outstanding_share_reduction"),
+        warn(~bonus, "proportional_consolidation_evidence_required")))
+    out = df.select(
+        "symbol", "receipt_no", F.when(bonus, "stock_dividend").otherwise("reverse_split").alias("action_type"), filed.alias("filed_on"), "decision_date", "record_date", price.alias("price_factor"), volume.alias("volume_factor"),
+        "report_name", "remarks", says("report_name", CORRECTED).alias("correction_hint"), says("remarks", LATER).alias("superseded_hint"), warnings.alias("warnings"))
+    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("filed_on"), F.desc("receipt_no")))
+    out = out.withColumn("place", place)
+    if limit is not None:
+        out = out.withColumn("place", F.when(F.col("place") <= limit, F.col("place")).otherwise(F.raise_error(F.lit("more candidates than the limit")).cast("int")))
+    return out
+
+
+def reviewed_actions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actions, rejected rows with a reason) of reviewed rows (symbol, source,
+    event_id, revision, effective_at, known_at, price_factor, volume_factor,
+    status): identity, revision and factors must be sound."""
+    known = F.col("status").isin("announced", "confirmed", "cancelled")
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    reason = F.when(blank("symbol") | blank("event_id") | blank("source"), "identity").when(F.coalesce(F.col("revision"), F.lit(0)) < 1, "revision").when(~F.coalesce(known, F.lit(False)), "status")
+    reason = reason.when(F.col("effective_at").isNull() | F.col("known_at").isNull(), "times").when(F.coalesce(F.least("price_factor", "volume_factor"), F.lit(0)) <= 0, "factors").when(F.col("price_factor").isNull() | F.col("volume_factor").isNull(), "factors")
+    told = rows.withColumn("reason", reason)
+    return told.where("reason is null").drop("reason").withColumn("symbol", F.upper("symbol")), told.where("reason is not null")
+
+
+#: A fixed pattern of leading correction marks.
 def normalized_title(title: Column) -> Column:
     """Without leading bracketed correction marks and white space, lower case."""
     bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s*(?:\[[^\]]*정정[^\]]*\]\s*)+", "")

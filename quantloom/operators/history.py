@@ -28,15 +28,31 @@ def insert_revisions(stored: DataFrame, new: DataFrame, keys: list[str], factors
     return fresh, conflicts
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, **equal: object) -> DataFrame:
-    """A page of the rows that equal what is given, and the total with each row."""
-    kept = df
+def filtered(df: DataFrame, **equal: object) -> DataFrame:
+    """The rows that equal what is given; None asks for nothing."""
     for c, v in equal.items():
         if v is not None:
-            kept = kept.where(F.col(c) == F.lit(v))
+            df = df.where(F.col(c) == F.lit(v))
+    return df
+
+
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, **equal: object) -> DataFrame:
+    """A page of the rows that equal what is given."""
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("1 to 500 rows, offset at least 0")
-    return kept.orderBy(*order).offset(offset).limit(limit)
+    return filtered(df, **equal).orderBy(*order).offset(offset).limit(limit)
+
+
+def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0, **equal: object) -> DataFrame:
+    """A page, and with each of its rows the total under the same filters."""
+    total = filtered(df, **equal).agg(F.count("*")).scalar()
+    return page(df, order, limit, offset, **equal).select("*", total.alias("total"))
+
+
+def insert_run(runs: DataFrame, results: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(runs to add, results to add): results need a run and runs a result; what
+    lacks the other is left out, so that both tables can be published together."""
+    return runs.join(results.select(key), key, "left_semi"), results.join(runs.select(key), key, "left_semi")
 
 
 def severity_counts(logs: DataFrame) -> DataFrame:
@@ -59,6 +75,22 @@ def inventory_totals(bars: DataFrame) -> DataFrame:
     return groups.agg(F.sum("n").alias("total_candles"), F.sum(F.when(F.col("price_basis") == "unknown", F.col("n")).otherwise(0)).alias("unknown_candles"), F.sum(F.when(F.col("source_provider") == "legacy_unknown", F.col("n")).otherwise(0)).alias("legacy_unknown_candles"), F.count("*").alias("total_groups"))
 
 
+def inventory_review(bars: DataFrame, limit: int) -> DataFrame:
+    """One row: totals over all bars, and of the first `limit` groups how many are
+    ready or blocked, whether there are more, and what stands in the way."""
+    groups = inventory(bars)
+    totals = groups.agg(
+        F.sum("candle_count").alias("total_candles"), F.sum(F.when(F.col("price_basis") == "unknown", F.col("candle_count")).otherwise(0)).alias("unknown_candles"),
+        F.sum(F.when(F.col("source_provider") == "legacy_unknown", F.col("candle_count")).otherwise(0)).alias("legacy_unknown_candles"),
+        F.sum(F.when(F.col("price_basis_rule_version") == "legacy_unknown", F.col("candle_count")).otherwise(0)).alias("legacy_rule_candles"), F.count("*").alias("total_groups"))
+    shown = groups.orderBy(*INVENTORY).limit(limit).agg(F.struct(F.count("*").alias("n"), F.count_if(F.col("review_status") == "evidence_recorded").alias("ready"))).scalar()
+    blockers = F.array_compact(F.array(
+        F.when(F.col("unknown_candles") > 0, F.lit("unknown_price_basis_requires_source_specific_evidence")), F.when(F.col("legacy_unknown_candles") > 0, F.lit("legacy_rows_lack_provider_provenance")),
+        F.when(F.col("legacy_rule_candles") > 0, F.lit("legacy_rows_lack_price_basis_rule_version"))))
+    both = totals.withColumn("shown", shown)
+    return both.select(*totals.columns, F.col("shown.ready").alias("review_ready_groups"), (F.col("shown.n") - F.col("shown.ready")).alias("blocked_review_groups"), (F.col("total_groups") > F.col("shown.n")).alias("groups_truncated"), blockers.alias("classification_blockers"))
+
+
 def retention(rows: DataFrame, ts: str, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """(kept rows, how many are older)."""
     return rows.where(F.col(ts) >= cutoff), rows.agg(F.count_if(F.col(ts) < cutoff).alias("expired"), F.count("*").alias("total"))

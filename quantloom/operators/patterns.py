@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.operators.bars import require_sound
 from quantloom.operators.indicators import by_time, local_extrema, prior_range
 
 WINDOW = 60
@@ -77,7 +78,9 @@ def doubles(bars: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def patterns(bars: DataFrame, window: int = WINDOW) -> DataFrame:
     """symbol, ts, rank, family, name, direction, confidence: all patterns of
-    each bar, most confident first, then by name."""
+    each bar, most confident first, then by name. The job fails at a bar whose
+    prices can't be."""
+    bars = require_sound(bars)
     before = {"previous_open": F.lag("open").over(by_time()), "previous_close": F.lag("close").over(by_time())}
     single = prior_range(bars).withColumns(before).select("symbol", "ts", F.explode(F.array_compact(F.array(*candlesticks(), *breakouts()))).alias("pattern"))
     every = single.unionByName(doubles(bars, window)).select("symbol", "ts", "pattern.*")

@@ -23,7 +23,7 @@ def technical(df: DataFrame) -> DataFrame:
     trend = F.when(F.col("adx_14") < 25, 50.0).when(F.col("plus_di_14") > F.col("minus_di_14"), 75.0).otherwise(25.0)
     mfi = F.col("mfi_14")
     flow = F.when(mfi.between(45, 70), 65.0).when((mfi > 80) | (mfi < 20), 35.0).otherwise(50.0)
-    known = lambda x, *need: F.when(F.coalesce(*[F.lit(True)]) & _all_known(need), x)
+    known = lambda x, *need: F.when(_all_known(need), x)
     score = mean_of(
         known(clamp(by_rsi, 20.0, 80.0), "rsi_14"),
         F.when(F.col("macd_histogram").isNotNull() & (close > 0), 50 + 30 * F.tanh(F.try_divide("macd_histogram", close * 0.005))),

@@ -36,7 +36,7 @@ def tick_parse(spark, sf_dir):
     home = symbols.select(F.lit(D.DOMESTIC).alias("feed"), F.col("symbol").alias("key"), "symbol")
     away = symbols.select(F.lit(D.OVERSEAS).alias("feed"), F.concat(F.lit("X"), F.col("symbol")).alias("key"), "symbol")
     subs = home.unionByName(away).withColumn("ordinal", F.xxhash64("symbol"))
-    return D.subscribed(rows, subs).select("event_id", "symbol", F.col("price").cast("double").alias("price"), F.col("change").cast("double").alias("change"), "volume", T.stamp("as_of").alias("as_of"))
+    return D.subscribed(rows, subs, ["event_id"]).select("event_id", "symbol", F.col("price").cast("double").alias("price"), F.col("change").cast("double").alias("change"), "volume", T.stamp("as_of").alias("as_of"))
 
 
 @query("frame_errors", "SELECT CASE WHEN event_id % 50 = 0 AND event_id % 3 != 0 THEN 'too few fields' ELSE 'none' END AS error, count(*) AS frames FROM events GROUP BY 1")

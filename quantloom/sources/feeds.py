@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import local_time, signed
+from quantloom.functions.numeric import amount, local_time, signed
 
 #: Fixed layout of tick frames: name: (fields a record, zone, positions).
 DOMESTIC, OVERSEAS = "H0STCNT0", "HDFSCNT0"
@@ -14,6 +14,8 @@ LAYOUTS = {
     OVERSEAS: (25, "America/New_York", {"price": 10, "sign": 11, "change": 12, "percent": 13, "volume": 19, "day": 3, "time": 4}),
 }
 
+LONGEST_SYMBOL = 16
+
 
 def frames(raw: DataFrame, frame: str = "frame") -> DataFrame:
     """raw with feed, count, fields and error: null where the frame is sound."""
@@ -39,16 +41,23 @@ def ticks(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, "feed", "record", F.get("v", F.lit(0)).alias("key"), F.trim(at("price")).try_cast("decimal(24,6)").alias("price"), signed(at("change"), at("sign")).alias("change"), signed(at("percent"), at("sign")).alias("percent"), F.trim(at("volume")).try_cast("decimal(24,6)").cast("bigint").alias("volume"), as_of.alias("as_of"))
 
 
-def subscribed(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def subscribed(rows: DataFrame, subscriptions: DataFrame, keep: list[str]) -> DataFrame:
     """rows with the subscription's symbol: by equal key, else the first of the
-    feed whose symbol ends the key. The endings of a key are exploded and joined,
-    so neither side is looped over."""
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    ends = F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.struct(F.substr(F.col("key"), i).alias("text"), i.alias("from"))))
-    by_key = keyed.join(subscriptions.select("feed", F.col("key").alias("key"), F.col("symbol").alias("exact")), ["feed", "key"], "left")
-    loose = by_key.where("exact is null").select("_row", "feed", ends.alias("e")).select("_row", "feed", F.col("e.text").alias("symbol"))
-    found = loose.join(subscriptions.select("feed", "symbol", "ordinal"), ["feed", "symbol"]).groupBy("_row").agg(F.min_by("symbol", "ordinal").alias("ending"))
-    return by_key.join(found, "_row", "left").withColumn("symbol", F.coalesce("exact", "ending")).drop("_row", "exact", "ending")
+    feed, by ordinal, whose symbol ends the key.
+
+    keep and record name a row. A key has only the endings that are as long as
+    some subscribed symbol of the feed, so each row joins a few candidates; the
+    lengths are at most a symbol's, LONGEST_SYMBOL.
+    """
+    row = [*keep, "record"]
+    known = subscriptions.select("feed", F.col("key").alias("end"), "symbol", F.lit(0).alias("turn"), "ordinal").unionByName(
+        subscriptions.where(F.length("symbol").between(1, LONGEST_SYMBOL)).select("feed", F.col("symbol").alias("end"), "symbol", F.lit(1).alias("turn"), "ordinal"))
+    lengths = known.where("turn = 1").groupBy("feed").agg(F.collect_set(F.length("end")).alias("lengths"))
+    keyed = rows.join(F.broadcast(lengths), "feed", "left")
+    ends = F.transform(F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.length("key")), lambda n: F.struct(F.right(F.col("key"), n).alias("end"), F.lit(1).alias("turn")))
+    tried = keyed.select(*row, "feed", F.explode(F.array_union(F.array(F.struct(F.col("key").alias("end"), F.lit(0).alias("turn"))), ends)).alias("e")).select(*row, "feed", "e.*")
+    found = tried.join(known, ["feed", "end", "turn"]).groupBy(*row).agg(F.min_by("symbol", F.struct("turn", "ordinal")).alias("symbol"))
+    return rows.join(found, row, "left")
 
 
 QUOTE = "struct<symbol:string,lastPrice:string,change:string,volume:string,timestamp:string>"
@@ -69,12 +78,80 @@ def holdings(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     return raw.select(*keep, one).select(*keep, "h.symbol", "h.currency", F.col("h.quantity").try_cast("decimal(24,6)").alias("quantity"), F.col("h.marketValue.amount").try_cast("decimal(24,6)").alias("market_value"), F.col("h.marketValue.profit").try_cast("decimal(24,6)").alias("profit"))
 
 
+RSS = "struct<channel:struct<item:array<struct<title:string,link:string,pubDate:string,source:string,description:string>>>>"
+
+
 def rss_items(raw: DataFrame, xml: str, keep: list[str], limit: int = 20) -> DataFrame:
-    """The first items of RSS documents that have a title and a link, times in UTC."""
-    paths = {c: F.xpath(xml, F.lit(f"rss/channel/item[position()<={limit}]/{c}/text()")) for c in ("title", "link", "pubDate")}
-    rows = raw.select(*keep, F.posexplode(F.arrays_zip(*[p.alias(c) for c, p in paths.items()])).alias("seq", "i")).select(*keep, "seq", "i.*")
-    when = F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return rows.where("trim(title) != '' and trim(link) != ''").select(*keep, "seq", F.trim("title").alias("title"), F.trim("link").alias("url"), when.alias("published_at"))
+    """The first `limit` items of RSS documents, of those that have a title and a
+    link, with publisher, summary and time in UTC. Each item is read by itself,
+    so what one lacks is not taken from another. published_at is null where the
+    date is missing or doesn't parse."""
+    read = F.from_xml(F.col(xml), RSS, {"rowTag": "rss", "ignoreAttributes": "false", "attributePrefix": "_at_", "nullValue": "\0"})
+    rows = raw.select(*keep, F.posexplode(F.slice(F.coalesce(read.getField("channel").getField("item"), F.array().cast("array<struct<title:string,link:string,pubDate:string,source:string,description:string>>")), 1, limit)).alias("seq", "i")).select(*keep, "seq", "i.*")
+    when = F.try_to_timestamp(F.regexp_replace(F.trim("pubDate"), r"^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    text = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    return rows.select(*keep, "seq", text("title").alias("title"), text("link").alias("url"), when.alias("published_at"), F.coalesce(text("source"), F.lit("RSS")).alias("publisher"), text("description").alias("summary")).where("title is not null and url is not null")
+
+
+FILING = "struct<status:string,message:string,list:array<struct<rcept_no:string,rcept_dt:string,corp_code:string,corp_name:string,report_nm:string,flr_nm:string,rm:string>>>"
+STATEMENT = "struct<status:string,message:string,list:array<struct<account_id:string,account_nm:string,thstrm_amount:string,currency:string>>>"
+#: Fixed codes of the filing service: rows follow; there are none.
+SOUND, NOTHING = "000", "013"
+
+
+def disclosures(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """One row a filing of JSON lists; a payload without rows gives none, one
+    that is unsound a row with an error."""
+    read = raw.select(*keep, F.from_json(payload, FILING).alias("p")).where(F.coalesce(F.col("p.status"), F.lit("")) != NOTHING)
+    status = F.coalesce(F.col("p.status"), F.lit("invalid response"))
+    error = F.when(status != SOUND, status).when(F.col("p.list").isNull(), "omitted rows")
+    rows = read.select(*keep, error.alias("failed"), F.explode_outer(F.when(error.isNull(), F.col("p.list"))).alias("r")).where("failed is not null or r is not null")
+    filed = F.try_to_timestamp("r.rcept_dt", F.lit("yyyyMMdd"))
+    error = F.coalesce("failed", F.when(filed.isNull(), "disclosure date"))
+    text = lambda c: F.when(F.col("failed").isNull(), F.coalesce(F.col(f"r.{c}"), F.lit("")))
+    return rows.select(*keep, text("rcept_no").alias("receipt_no"), text("corp_code").alias("corp_code"), text("corp_name").alias("company_name"), text("report_nm").alias("report_name"), filed.alias("filed_at"), text("flr_nm").alias("filer_name"), F.nullif(F.col("r.rm"), F.lit("")).alias("remarks"), error.alias("error"))
+
+
+def statements(raw: DataFrame, payload: str, kind: str, keys: list[str]) -> DataFrame:
+    """keys, statement_type, currency, list, error: for each company and period
+    the consolidated statement, or the separate one if there is no consolidated
+    one. raw has a row for each of the two kinds (CFS, OFS) that was asked for.
+    currency is the first that isn't empty, KRW if none is."""
+    read = raw.select(*keys, F.col(kind).alias("kind"), F.from_json(payload, STATEMENT).alias("p"))
+    code = lambda k: F.max(F.when(F.col("kind") == k, F.coalesce(F.col("p.status"), F.lit("invalid response"))))
+    rows = lambda k: F.first(F.when((F.col("kind") == k) & (F.col("p.status") == SOUND), F.col("p.list")), ignorenulls=True)
+    both = read.groupBy(*keys).agg(code("CFS").alias("c"), code("OFS").alias("o"), rows("CFS").alias("cl"), rows("OFS").alias("ol"))
+    none = F.coalesce("c", F.lit(NOTHING)) == NOTHING
+    chosen = F.when(F.col("c") == SOUND, "CFS").when(none & (F.col("o") == SOUND), "OFS")
+    listed = F.when(F.col("c") == SOUND, F.col("cl")).when(none & (F.col("o") == SOUND), F.col("ol"))
+    error = F.when(~none & (F.col("c") != SOUND), F.col("c")).when(none & ~F.coalesce(F.col("o"), F.lit(NOTHING)).isin(SOUND, NOTHING), F.col("o")).when(chosen.isNull(), "not found").when(listed.isNull(), "omitted rows")
+    named = F.get(F.filter(F.transform("list", lambda r: r.currency), lambda c: c.isNotNull() & (c != "")), F.lit(0))
+    return both.select(*keys, chosen.alias("statement_type"), listed.alias("list"), error.alias("error")).withColumn("currency", F.when(F.col("error").isNull(), F.coalesce(named, F.lit("KRW"))))
+
+
+def statement_rows(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, account_id, account_nm, amount: the account rows of `statements`."""
+    rows = found.select(*keys, F.posexplode("list").alias("seq", "r"))
+    return rows.select(*keys, "seq", F.coalesce("r.account_id", F.lit("")).alias("account_id"), F.coalesce("r.account_nm", F.lit("")).alias("account_nm"), amount(F.col("r.thstrm_amount")).alias("amount"))
+
+
+FLOW = "struct<rt_cd:string,msg1:string,output:struct<frgn_ntby_qty:string,orgn_ntby_qty:string,prsn_ntby_qty:string,frgn_hldn_qty:string,frgn_hldn_rate:string>>"
+
+
+def investor_flow(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """Typed snapshots of investor flows: thousands separators go, the three net
+    quantities must be there, the holdings may be missing."""
+    q = F.from_json(payload, FLOW)
+    cell = lambda c: F.regexp_replace(F.trim(F.col(f"q.output.{c}")), ",", "")
+    number = lambda c: F.nullif(cell(c), F.lit("")).try_cast("decimal(24,6)")
+    need = {"foreign_net_quantity": "frgn_ntby_qty", "institution_net_quantity": "orgn_ntby_qty", "individual_net_quantity": "prsn_ntby_qty"}
+    may = {"foreign_holding_quantity": "frgn_hldn_qty", "foreign_holding_rate": "frgn_hldn_rate"}
+    error = F.when(F.col("q.rt_cd").isNull(), "invalid response").when(F.col("q.rt_cd") != "0", F.coalesce("q.msg1", F.lit("request failed"))).when(F.col("q.output").isNull(), "omitted output")
+    for c in need.values():
+        error = error.when(F.coalesce(cell(c), F.lit("")) == "", f"omitted {c}").when(number(c).isNull(), f"invalid {c}")
+    for c in may.values():
+        error = error.when((F.coalesce(cell(c), F.lit("")) != "") & number(c).isNull(), f"invalid {c}")
+    return raw.select(*keep, q.alias("q")).select(*keep, *[number(c).alias(n) for n, c in (need | may).items()], error.alias("error"))
 
 
 def order_book(quotes_: DataFrame, tick: float, levels: int = 5) -> DataFrame:

@@ -25,22 +25,34 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Writes all tables as one version and then names it in a manifest by a
-    rename: readers see all of them or none."""
+    """Writes all tables as one version and then names it in a manifest of the
+    next number: readers take the newest manifest, so they see all of the tables
+    or those before, at any moment. A manifest comes into being by one rename,
+    which fails if another writer was first; it then takes the next number."""
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string").coalesce(1).write.text(f"{root}/_manifest-{version}")
-    source, fs = _file_system(spark, f"{root}/_manifest-{version}")
-    target, _ = _file_system(spark, f"{root}/_manifest")
-    fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"could not publish {version}")
-    return version
+    line = json.dumps({"version": version, "tables": sorted(tables)})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{root}/_new-{version}")
+    source, fs = _file_system(spark, f"{root}/_new-{version}")
+    for _ in range(1000):
+        target, _ = _file_system(spark, f"{root}/_manifest-{_newest(spark, root) + 1:012d}")
+        # a rename onto an existing folder would move into it: only a new name counts
+        if not fs.exists(target) and fs.rename(source, target) and not fs.exists(_file_system(spark, f"{target}/_new-{version}")[0]):
+            return version
+        if not fs.exists(source):
+            source = _file_system(spark, f"{target}/_new-{version}")[0]
+    raise OSError(f"could not publish {version}")
+
+
+def _newest(spark: SparkSession, root: str) -> int:
+    where, fs = _file_system(spark, f"{root}/_manifest-*")
+    found = fs.globStatus(where)
+    return max((int(f.getPath().getName().rpartition("-")[2]) for f in found), default=0) if found is not None else 0
 
 
 def published(spark: SparkSession, root: str, table: str) -> DataFrame:
-    version = json.loads(spark.read.text(f"{root}/_manifest").first()[0])["version"]
+    version = json.loads(spark.read.text(f"{root}/_manifest-{_newest(spark, root):012d}").first()[0])["version"]
     return spark.read.parquet(f"{root}/{version}/{table}")
 
 
