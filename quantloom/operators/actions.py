@@ -184,3 +184,17 @@ def revision_groups(candidates: DataFrame) -> DataFrame:
     confidence = F.when(n == 1, "isolated").when(F.size("reasons") == 3, "likely_correction").otherwise("ambiguous_multiple_receipts")
     out = grouped.withColumn("reasons", reasons)
     return out.select(F.concat(F.lit("candidate:"), F.substring(digest, 1, 20)).alias("group_hint"), *keys[:3], "anchor_date", F.transform("filed", lambda x: x.receipt_no).alias("receipt_nos"), F.sequence(F.lit(1), n).alias("suggested_revisions"), confidence.alias("confidence"), "reasons")
+
+
+def basis_metadata(bars: DataFrame, actions: DataFrame, mode: str, when: datetime) -> DataFrame:
+    """symbol, mode, enabled, input_price_bases, output_price_basis,
+    applied_actions: what a backtest on these bars rests on. Which actions apply
+    are rows of `affecting`; here they are counted."""
+    if mode not in ("none", "forward_point_in_time"):
+        raise ValueError("mode must be none or forward_point_in_time")
+    bases = bars.groupBy("symbol").agg(F.array_sort(F.collect_set("price_basis")).alias("input_price_bases"))
+    on = mode != "none"
+    if not on:
+        return bases.select("symbol", F.lit(mode).alias("mode"), F.lit(False).alias("enabled"), "input_price_bases", F.lit(None).cast("string").alias("output_price_basis"), F.lit(0).cast("long").alias("applied_actions"))
+    counted = affecting(actions, bars, when).groupBy("symbol").agg(F.count("*").alias("applied_actions"))
+    return bases.join(counted, "symbol", "left").select("symbol", F.lit(mode).alias("mode"), F.lit(True).alias("enabled"), "input_price_bases", F.lit("point_in_time_adjusted").alias("output_price_basis"), F.coalesce("applied_actions", F.lit(0)).alias("applied_actions"))

@@ -12,8 +12,13 @@ from quantloom.operators.indicators import by_time, local_extrema, prior_range
 WINDOW = 60
 
 
-def entry(when: Column, family: str, name: str, direction: str, confidence: Column) -> Column:
-    return F.when(when, F.struct(F.lit(family).alias("family"), F.lit(name).alias("name"), F.lit(direction).alias("direction"), F.round(confidence, 4).alias("confidence")))
+def entry(when: Column, family: str, name: str, direction: str, confidence: Column, *evidence: Column) -> Column:
+    return F.when(when, F.struct(F.lit(family).alias("family"), F.lit(name).alias("name"), F.lit(direction).alias("direction"), F.round(confidence, 4).alias("confidence"), F.array(*evidence).alias("evidence")))
+
+
+def told(text: str, *values: Column) -> Column:
+    """A line of evidence; the wording is fixed."""
+    return F.format_string(text, *values)
 
 
 def candlesticks() -> list[Column]:
@@ -23,12 +28,15 @@ def candlesticks() -> list[Column]:
     above, below = h - F.greatest(o, c), F.least(o, c) - l
     small = (span > 0) & ratio.between(0.05, 0.35)
     po, pc = F.col("previous_open"), F.col("previous_close")
+    share = told("body/range=%.3f", ratio)
+    shadow = lambda side, x: told(f"{side}_shadow/body=%.2f", F.try_divide(x, thick))
+    held = lambda kind: F.lit(f"current real body contains the previous {kind} real body")
     return [
-        entry((span > 0) & (ratio <= 0.10), "candlestick", "doji", "neutral", F.lit(0.68)),
-        entry(small & (below >= 2 * thick) & (above <= thick) & (F.greatest(o, c) >= l + 0.6 * span), "candlestick", "hammer", "upward", F.lit(0.72)),
-        entry(small & (above >= 2 * thick) & (below <= thick) & (F.least(o, c) <= l + 0.4 * span), "candlestick", "shooting_star", "downward", F.lit(0.72)),
-        entry((span > 0) & (pc < po) & (c > o) & (o <= pc) & (c >= po), "candlestick", "bullish_engulfing", "upward", F.lit(0.78)),
-        entry((span > 0) & (pc > po) & (c < o) & (o >= pc) & (c <= po), "candlestick", "bearish_engulfing", "downward", F.lit(0.78)),
+        entry((span > 0) & (ratio <= 0.10), "candlestick", "doji", "neutral", F.lit(0.68), share),
+        entry(small & (below >= 2 * thick) & (above <= thick) & (F.greatest(o, c) >= l + 0.6 * span), "candlestick", "hammer", "upward", F.lit(0.72), shadow("lower", below), share),
+        entry(small & (above >= 2 * thick) & (below <= thick) & (F.least(o, c) <= l + 0.4 * span), "candlestick", "shooting_star", "downward", F.lit(0.72), shadow("upper", above), share),
+        entry((span > 0) & (pc < po) & (c > o) & (o <= pc) & (c >= po), "candlestick", "bullish_engulfing", "upward", F.lit(0.78), held("bearish")),
+        entry((span > 0) & (pc > po) & (c < o) & (o >= pc) & (c <= po), "candlestick", "bearish_engulfing", "downward", F.lit(0.78), held("bullish")),
     ]
 
 
@@ -36,7 +44,10 @@ def breakouts() -> list[Column]:
     c, upper, lower = F.col("close"), F.col("prior_high"), F.col("prior_low")
     span = F.greatest(upper - lower, F.abs(c) * 0.001)
     confidence = lambda move: F.least(F.lit(0.90), 0.68 + F.try_divide(move, span) * 2)
-    return [entry(c > upper, "chart", "range_breakout_up", "upward", confidence(c - upper)), entry(c < lower, "chart", "range_breakout_down", "downward", confidence(lower - c))]
+    return [
+        entry(c > upper, "chart", "range_breakout_up", "upward", confidence(c - upper), told("close=%.4f above prior_20_high=%.4f", c, upper)),
+        entry(c < lower, "chart", "range_breakout_down", "downward", confidence(lower - c), told("close=%.4f below prior_20_low=%.4f", c, lower)),
+    ]
 
 
 def doubles(bars: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -68,16 +79,17 @@ def doubles(bars: DataFrame, window: int = WINDOW) -> DataFrame:
         reach = pair.withColumn("n", F.explode(F.sequence(F.col("right") + 2, F.col("left") + window - 3)))
         at = reach.join(base.select("symbol", "n", "ts", "close"), ["symbol", "n"]).where(F.col("n") >= 11)
         at = at.where(F.col("close") < F.col("neckline") if top else F.col("close") > F.col("neckline"))
-        best = at.groupBy("symbol", "ts").agg(F.max_by("difference", F.struct("right", "left")).alias("difference"))
+        best = at.groupBy("symbol", "ts").agg(F.max_by(F.struct("difference", "neckline"), F.struct("right", "left")).alias("b")).select("symbol", "ts", "b.*")
         confidence = F.least(F.lit(0.90), 0.76 + (0.03 - F.col("difference")) * 3)
         name, direction = ("double_top_confirmed", "downward") if top else ("double_bottom_confirmed", "upward")
-        part = best.select("symbol", "ts", entry(F.lit(True), "chart", name, direction, confidence).alias("pattern"))
+        evidence = told("extreme_similarity=%.3f", 1 - F.col("difference")), told(f"latest close confirmed {'below' if top else 'above'} neckline=%.4f", F.col("neckline"))
+        part = best.select("symbol", "ts", entry(F.lit(True), "chart", name, direction, confidence, *evidence).alias("pattern"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def patterns(bars: DataFrame, window: int = WINDOW) -> DataFrame:
-    """symbol, ts, rank, family, name, direction, confidence: all patterns of
+    """symbol, ts, rank, family, name, direction, confidence, evidence: all patterns of
     each bar, most confident first, then by name. The job fails at a bar whose
     prices can't be."""
     bars = require_sound(bars)

@@ -192,3 +192,66 @@ def gbt_prediction(rows: DataFrame, trees: int = 40, depth: int = 3, rate: float
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed, labelCol="label").fit(known)
     last = whole.groupBy("symbol").agg(F.max("ts").alias("ts"))
     return model.transform(whole.join(last, ["symbol", "ts"])).select("symbol", "ts", F.round(vector_to_array("probability")[1], 6).alias("rise_probability"))
+
+
+def gbt_validated(rows: DataFrame, horizon: int = 5, n_splits: int = 3, **parameters) -> DataFrame:
+    """symbol, ts, rise_probability, confidence_lower, confidence_upper, accuracy,
+    brier_score, validation_samples of the latest bars.
+
+    Rows are `features` with n. In each purged fold trees are fitted on the rows
+    before the gap, of all symbols, and tried on the rows after it; what they give
+    there makes accuracy, Brier score and the width of the band, 1.96 standard
+    errors of the probability. Nothing is returned where no fold can be tried.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    place = F.row_number().over(W.partitionBy("symbol").orderBy("ts")) - 1
+    whole = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(rows)
+    known = whole.where("label is not null").withColumn("place", place)
+    folds = purged_splits(known.groupBy("symbol").agg(F.count("*").alias("n")), horizon, n_splits=n_splits)
+    dealt = known.join(folds, "symbol")
+    tried = None
+    for fold in range(1, n_splits + 1):
+        own = dealt.where(F.col("fold") == fold)
+        train, test = own.where("place < train_end"), own.where("place >= test_start and place < test_end")
+        if train.select("label").distinct().count() < 2:
+            continue
+        model = GBTClassifier(maxIter=parameters.get("trees", 40), maxDepth=parameters.get("depth", 3), stepSize=parameters.get("rate", 0.05), subsamplingRate=parameters.get("share", 0.9), seed=parameters.get("seed", 42), labelCol="label").fit(train)
+        found = model.transform(test).select("symbol", "label", vector_to_array("probability")[1].alias("p"))
+        tried = found if tried is None else tried.unionByName(found)
+    if tried is None:
+        raise ValueError("too few rows, or labels of one kind only, for validation")
+    measured = accuracy_brier(tried, "p", "label", ["symbol"])
+    p = F.col("rise_probability")
+    width = 1.96 * F.sqrt(p * (1 - p) / F.col("n"))
+    return gbt_prediction(rows, **parameters).join(measured, "symbol").select(
+        "symbol", "ts", "rise_probability", F.round(F.greatest(F.lit(0.0), p - width), 6).alias("confidence_lower"), F.round(F.least(F.lit(1.0), p + width), 6).alias("confidence_upper"),
+        F.round("accuracy", 4).alias("accuracy"), F.round("brier", 4).alias("brier_score"), F.col("n").alias("validation_samples"))
+
+
+def content_fingerprint(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and fingerprint: 256 bits of what a key's rows hold, in any order of
+    rows. Hashes of rows are added up, so no task holds a key's rows together."""
+    whole = F.struct(*columns)
+    sums = [F.sum(F.xxhash64(F.lit(k), whole).cast("decimal(38,0)")).cast("string") for k in range(2)]
+    told = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.col("n").cast("string"), "a", "b")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), sums[0].alias("a"), sums[1].alias("b")).select(*keys, F.sha2(told, 256).alias("fingerprint"))
+
+
+AXES = ["technical", "financial", "news", "disclosure", "investor_flow", "risk"]
+
+
+def joined_axes(symbols: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:
+    """symbols with one score an axis from (symbol, score) tables. A symbol that
+    an axis lacks, or has no finite score for, has a null there, and the other
+    axes are as they would be without it."""
+    out = symbols
+    for name in AXES:
+        if name in axes:
+            score = axes[name].groupBy("symbol").agg(F.max(F.when(F.abs(F.col("score")) < float("inf"), F.col("score"))).alias(name))
+            out = out.join(score, "symbol", "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast("double"))
+    return out

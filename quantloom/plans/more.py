@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.operators import guards as G
 from quantloom.operators import history as H
 from quantloom.operators import scoring as S
 from quantloom.plans.registry import query
@@ -14,13 +15,14 @@ from quantloom.sources import tables as T
 
 @query("symbol_guard", r"SELECT c_custkey AS id, upper(trim(c_mktsegment)) AS symbol, regexp_full_match(upper(trim(c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '!' ELSE '' END)), '[A-Z0-9.-]{1,16}') AS is_valid FROM customer")
 def symbol_guard(spark, sf_dir):
-    odd = F.upper(F.trim(F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "!").otherwise(""))))
-    return T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.upper(F.trim("c_mktsegment")).alias("symbol"), F.rlike(odd, F.lit(r"^[A-Z0-9.-]{1,16}$")).alias("is_valid"))
+    odd = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "!").otherwise(""))
+    return T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), G.symbol_of(F.col("c_mktsegment")).alias("symbol"), G.symbol_is_valid(odd).alias("is_valid"))
 
 
-@query("provenance_guard", "SELECT p_partkey AS id, length(p_type) BETWEEN 1 AND 32 AND length(p_brand) BETWEEN 1 AND 7 AS is_valid FROM part")
+@query("provenance_guard", "SELECT p_partkey AS id, length(repeat(p_type, (1 + p_partkey % 3)::INT)) BETWEEN 1 AND 32 AND p_partkey % 7 != 0 AS is_valid FROM part")
 def provenance_guard(spark, sf_dir):
-    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.length("p_type").between(1, 32) & F.length("p_brand").between(1, 7)).alias("is_valid"))
+    k = F.col("p_partkey")
+    return T.table(spark, sf_dir, "part").select(k.alias("id"), G.provenance_is_valid(F.repeat("p_type", (1 + k % 3).cast("int")), F.when(k % 7 != 0, F.col("p_brand"))).alias("is_valid"))
 
 
 @query("report_fields", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'high' WHEN c_custkey % 3 = 0 THEN 'medium' ELSE 'low' END AS downside_risk, CASE WHEN c_nationkey <= 3 THEN 'high' WHEN c_nationkey <= 6 THEN 'medium' ELSE 'low' END AS confidence FROM customer")
@@ -48,8 +50,8 @@ def json_holdings(spark, sf_dir):
 
 @query("snapshot_totals", "SELECT c_nationkey AS provider, round(sum(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 2) AS krw, round(sum(c_acctbal) FILTER (c_mktsegment = 'MACHINERY'), 2) AS usd FROM customer GROUP BY 1")
 def snapshot_totals(spark, sf_dir):
-    wide = T.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("provider")).pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(F.sum("c_acctbal"))
-    return wide.select("provider", F.round("BUILDING", 2).alias("krw"), F.round("MACHINERY", 2).alias("usd"))
+    wide = G.totals_by(T.table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_acctbal", {"BUILDING": "krw", "MACHINERY": "usd"})
+    return wide.select(F.col("c_nationkey").alias("provider"), F.round("krw", 2).alias("krw"), F.round("usd", 2).alias("usd"))
 
 
 @query("candidate_lookup", "SELECT o_orderkey AS receipt_no, coalesce(c_name, 'none') AS report_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE o_orderstatus = 'F' OR o_orderstatus = 'O'")
@@ -63,40 +65,35 @@ def candidate_lookup(spark, sf_dir):
 @query("unknown_symbols", "SELECT DISTINCT o_custkey AS symbol FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 != 0)")
 def unknown_symbols(spark, sf_dir):
     known = T.table(spark, sf_dir, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("symbol"))
-    return T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol")).distinct().join(known, "symbol", "left_anti")
+    return G.missing(T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol")), known, "symbol")
 
 
 @query("active_symbols", "SELECT symbol, subscribers FROM (SELECT o_custkey AS symbol, count(*) AS subscribers FROM orders GROUP BY 1) ORDER BY subscribers DESC, symbol LIMIT 40")
 def active_symbols(spark, sf_dir):
-    return T.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("symbol")).agg(F.count("*").alias("subscribers")).orderBy(F.desc("subscribers"), "symbol").limit(40)
+    return G.most_subscribed(T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol")), 40)
 
 
 @query("recent_symbols", "WITH r AS (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY last DESC) FILTER (k <= 3) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS k FROM r) GROUP BY user_id")
 def recent_symbols(spark, sf_dir):
-    last = T.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"))
-    listed = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("last", "event_type")), asc=False).alias("l"))
-    return listed.select("user_id", F.array_join(F.transform(F.slice("l", 1, 3), lambda x: x.event_type), ",").alias("recent"))
+    return G.recent(T.table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", 3).select("user_id", F.array_join("items", ",").alias("recent"))
 
 
 @query("chart_scale", "SELECT round(min(value) - (max(value) - min(value)) * 0.08, 4) AS low, round(max(value) + (max(value) - min(value)) * 0.08, 4) AS high FROM events")
 def chart_scale(spark, sf_dir):
-    ends = T.table(spark, sf_dir, "events").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    pad = (F.col("b") - F.col("a")) * 0.08
-    return ends.select(F.round(F.col("a") - pad, 4).alias("low"), F.round(F.col("b") + pad, 4).alias("high"))
+    return G.chart_scale(T.table(spark, sf_dir, "events"), "value").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query("url_check", r"SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, starts_with(url, 'https://') AS is_https, regexp_matches(url, '^https://[^?#]*$') AS is_plain FROM pages")
 def url_check(spark, sf_dir):
     url = F.col("url")
-    plain = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("QUERY")).isNull() & F.try_parse_url(url, F.lit("REF")).isNull()
-    return T.table(spark, sf_dir, "pages").select("page_id", F.try_parse_url(url, F.lit("HOST")).alias("host"), (F.try_parse_url(url, F.lit("PROTOCOL")) == "https").alias("is_https"), plain.alias("is_plain"))
+    return T.table(spark, sf_dir, "pages").select("page_id", G.host(url).alias("host"), G.is_https(url).alias("is_https"), G.is_plain_https(url).alias("is_plain"))
 
 
 @query("data_as_of", "SELECT u.user_id, strftime(greatest(u.a, v.a), '%Y-%m-%d %H:%M:%S') AS data_as_of FROM (SELECT user_id, max(ts) AS a FROM events WHERE event_type = 'click' GROUP BY 1) u LEFT JOIN (SELECT user_id, max(ts) AS a FROM events WHERE event_type = 'error' GROUP BY 1) v USING (user_id)")
 def data_as_of(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
-    last = lambda kind, name: e.where(F.col("event_type") == kind).groupBy("user_id").agg(F.max("ts").alias(name))
-    return last("click", "a").join(last("error", "b"), "user_id", "left").select("user_id", T.stamp(F.greatest("a", "b")).alias("data_as_of"))
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    return G.latest_of({"a": of("click"), "b": of("error")}, "user_id", "ts").select("user_id", T.stamp("data_as_of").alias("data_as_of"))
 
 
 @query("weight_activation", "SELECT s_suppkey AS version, s_suppkey = 3 AS active FROM supplier")
@@ -108,8 +105,7 @@ def weight_activation(spark, sf_dir):
 def alert_removal(spark, sf_dir):
     k = F.col("c_custkey")
     stored = T.table(spark, sf_dir, "customer").select(k.alias("alert_id"), F.when(k % 2 == 0, "active").otherwise("triggered").alias("status"))
-    disabled = F.when((F.col("alert_id") % 3 == 0) & (F.col("status") == "active"), "disabled").otherwise(F.col("status"))
-    return stored.where("alert_id % 11 != 0").select("alert_id", disabled.alias("status"))
+    return G.disable(stored.where("alert_id % 11 != 0"), F.col("alert_id") % 3 == 0).select("alert_id", "status")
 
 
 @query("agent_findings", "SELECT event_type AS symbol, count(*) FILTER (value > 100) > 0 AS has_spike, 'bars: ' || count(*) || '; spikes: ' || count(*) FILTER (value > 100) AS summary FROM events GROUP BY 1")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.operators import actions as A
+from quantloom.operators import guards as G
 from quantloom.operators import history as H
+from quantloom.operators import patterns as P
 from quantloom.operators import text as X
 from quantloom.plans.analysis import LOGS, STORED, logs, stored
+from quantloom.plans.market import PATTERNS, STAMP, show
 from quantloom.plans.registry import query
+from quantloom.plans.trading import ACTIONS, AS_OF, USER_DAY
 from quantloom.sources import feeds as D
 from quantloom.sources import tables as T
 
@@ -136,3 +140,95 @@ def report_compliance(spark, sf_dir):
     report = T.table(spark, sf_dir, "customer").select(
         k.alias("id"), F.when(k % 5 == 0, "").otherwise("No advice").alias("disclaimer"), F.lit("2024-01-01").cast("timestamp_ntz").alias("data_as_of"), (k % 5 == 1).alias("is_investment_advice"), F.when(k % 5 == 2, "hold").otherwise("risk_aware").alias("reference_signal"), F.when(k % 5 == 3, "You MUST Sell now").otherwise("calm").alias("summary"))
     return X.report_error(report, [F.col("disclaimer"), F.col("summary")]).select("id", F.coalesce("error", F.lit("none")).alias("error"))
+
+
+@query("trade_scan", """SELECT o_orderkey AS id, s AS seq, CASE WHEN (o_orderkey + s) % 5 != 0 THEN round(o_totalprice + s, 2) END AS price, CASE WHEN (o_orderkey + s) % 5 = 0 THEN 'price' WHEN s = 1 AND o_orderkey % 3 = 0 THEN 'timestamp' ELSE 'none' END AS error FROM orders, range(2) r(s)""")
+def trade_scan(spark, sf_dir):
+    k = F.col("o_orderkey")
+
+    def one(s):
+        price = F.when((k + s) % 5 == 0, "n/a").otherwise((F.col("o_totalprice") + s).cast("decimal(20,2)").cast("string"))
+        return F.struct(price.alias("price"), F.lit("3").alias("volume"), F.when((k % 3 == 0) & F.lit(s == 1), "soon").otherwise("2024-01-01T00:00:00+09:00").alias("timestamp"))
+
+    raw = T.table(spark, sf_dir, "orders").select(k.alias("id"), F.to_json(F.array(one(0), one(1), one(2))).alias("payload"))
+    found = D.trades(raw, "payload", ["id"], limit=2)
+    return found.select("id", F.col("seq").cast("bigint").alias("seq"), F.round(F.col("price").cast("double"), 2).alias("price"), F.coalesce("error", F.lit("none")).alias("error"))
+
+
+@query("stock_info_scan", """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 != 0 THEN c_name END AS name, CASE WHEN c_custkey % 4 != 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'KRW' ELSE 'USD' END END AS currency, CASE WHEN c_custkey % 4 = 0 THEN 'not found' ELSE 'none' END AS error FROM customer""")
+def stock_info_scan(spark, sf_dir):
+    k = F.col("c_custkey")
+    entry = lambda symbol, name: F.struct(symbol.alias("symbol"), name.alias("name"), F.lit("KOSPI").alias("market"), F.when(k % 2 == 0, "").otherwise("USD").alias("currency"))
+    own = F.when(k % 4 != 0, F.concat(F.lit("S"), k.cast("string"))).otherwise("other")
+    raw = T.table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("S"), k.cast("string")).alias("symbol"), F.to_json(F.array(entry(F.lit("first"), F.lit("x")), entry(own, F.col("c_name")))).alias("payload"))
+    return D.stock_info(raw, "payload", "symbol", ["id"]).select("id", "name", "currency", F.coalesce("error", F.lit("none")).alias("error"))
+
+
+@query("stock_warning_scan", """SELECT s_suppkey AS id, 'overheated' AS warning_type, CASE WHEN s_suppkey % 2 = 0 THEN 'KRX' END AS exchange, CASE WHEN s_suppkey % 3 = 0 THEN '2024-02-29' END AS start_date FROM supplier""")
+def stock_warning_scan(spark, sf_dir):
+    k = F.col("s_suppkey")
+    one = F.struct(F.lit("overheated").alias("warningType"), F.when(k % 2 == 0, "KRX").otherwise("").alias("exchange"), F.when(k % 3 == 0, "2024-02-29").otherwise("never").alias("startDate"))
+    raw = T.table(spark, sf_dir, "supplier").select(k.alias("id"), F.to_json(F.array(one)).alias("payload"))
+    return D.stock_warnings(raw, "payload", ["id"]).select("id", "warning_type", "exchange", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"))
+
+
+@query("holding_currency_totals", "SELECT c_nationkey AS account, round(sum(c_acctbal) FILTER (c_custkey % 2 = 0), 2) AS krw, round(sum(c_acctbal) FILTER (c_custkey % 2 = 1), 2) AS usd FROM customer GROUP BY 1")
+def holding_currency_totals(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("account"), F.when(F.col("c_custkey") % 2 == 0, "KRW").otherwise("USD").alias("currency"), F.col("c_acctbal").cast("decimal(24,2)").alias("amount"))
+    found = D.currency_totals(rows, ["account"], "amount")
+    return found.select("account", *[F.round(F.try_element_at("totals", F.lit(c.upper())).cast("double"), 2).alias(c) for c in ("krw", "usd")])
+
+
+@query("quote_change_percent", "SELECT event_id, round(coalesce((value / 10) / nullif(value - value / 10, 0) * 100, 0.0), 2) AS change_percent FROM events")
+def quote_change_percent(spark, sf_dir):
+    return T.table(spark, sf_dir, "events").select("event_id", D.change_percent(F.col("value"), F.col("value") / 10).alias("change_percent"))
+
+
+@query("corp_code_lookup", "SELECT o_orderkey AS id, lpad(c_custkey::VARCHAR, 8, '0') AS corp_code FROM orders JOIN customer ON o_custkey = c_custkey")
+def corp_code_lookup(spark, sf_dir):
+    codes = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("corp_code"))
+    return G.looked_up(T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("symbol")), codes, "symbol", "corp_code").select("id", "corp_code")
+
+
+@query("ingestion_guard", """SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 AND count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'batch limit' WHEN o_orderkey % 5 = 0 THEN 'provenance' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'effective_at' WHEN o_orderkey % 7 = 0 THEN 'known_at' ELSE 'none' END AS error FROM orders""")
+def ingestion_guard(spark, sf_dir):
+    k = F.col("o_orderkey")
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    actions = T.table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.col("o_custkey").alias("batch_id"), F.when(k % 5 == 0, "other").otherwise("feed").alias("source"), F.lit("s").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("effective_at"), F.when(k % 7 == 0, at("2031-01-01")).otherwise(at("2000-01-01")).alias("known_at"))
+    batch = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id")).distinct()
+    batch = batch.select("batch_id", F.lit("feed").alias("source"), F.lit(" S ").alias("symbol"), at("1995-01-01").alias("start"), at("2030-01-01").alias("end"), at("2030-06-01").alias("fetched_at"), F.when(F.col("batch_id") % 10 == 0, 1).otherwise(500).alias("limit"))
+    found = G.ingestion_errors(actions, batch)
+    return found.select("id", F.coalesce("error", F.lit("none")).alias("error"))
+
+
+@query("unknown_datasets", "SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'bars' || s_suppkey ELSE '' END AS missing FROM supplier")
+def unknown_datasets(spark, sf_dir):
+    k = F.col("s_suppkey")
+    asked = F.array(F.lit("quotes"), F.when(k % 3 == 0, F.concat(F.lit("bars"), k.cast("string"))).otherwise("news"))
+    return T.table(spark, sf_dir, "supplier").select(k.alias("id"), F.array_join(G.unknown(asked, ["quotes", "news"]), ",").alias("missing"))
+
+
+@query("basis_metadata", f"WITH {USER_DAY}, {ACTIONS}, n AS (SELECT symbol, count(*) AS n FROM con WHERE EXISTS (SELECT 1 FROM b WHERE b.symbol = con.symbol AND b.ts < con.effective_at) GROUP BY symbol) SELECT b.symbol, 'unadjusted' AS bases, coalesce(max(n), 0) AS applied_actions FROM b LEFT JOIN n USING (symbol) GROUP BY b.symbol")
+def basis_metadata(spark, sf_dir):
+    bars = T.user_daily(spark, sf_dir).withColumn("price_basis", F.lit("unadjusted"))
+    return A.basis_metadata(bars, T.corporate_actions(spark, sf_dir), "forward_point_in_time", AS_OF).select("symbol", F.array_join("input_price_bases", ",").alias("bases"), "applied_actions")
+
+
+@query("pattern_evidence", f"""WITH {PATTERNS} SELECT symbol, {STAMP}, 'doji' AS name, printf('body/range=%.3f', body / span) AS evidence FROM c WHERE span > 0 AND body / span <= 0.10
+UNION ALL SELECT symbol, {STAMP}, 'range_breakout_up', printf('close=%.4f above prior_20_high=%.4f', close, prior_high) FROM c WHERE close > prior_high""")
+def pattern_evidence(spark, sf_dir):
+    found = P.patterns(T.hourly(spark, sf_dir)).where(F.col("name").isin("doji", "range_breakout_up"))
+    return show(found, "name", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query("payload_sanitize", r"""SELECT page_id, '{"api_key":"[REDACTED]","page":' || page_id || ',"note":"token=[REDACTED]","list":[1,[2]]}' AS clean FROM pages""")
+def payload_sanitize(spark, sf_dir):
+    raw = F.concat(F.lit('{"api_key": "k", "page": '), F.col("page_id").cast("string"), F.lit(', "note": "token: abc", "list": [1, [2]]}'))
+    return T.table(spark, sf_dir, "pages").select("page_id", X.sanitize(raw).alias("clean"))
+
+
+@query("model_page", "SELECT s_suppkey AS version, s_nationkey AS created FROM supplier ORDER BY s_nationkey DESC, s_suppkey LIMIT 20")
+def model_page(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("version"), F.col("s_nationkey").alias("created"))
+    return H.page(rows, [F.desc("created"), F.asc("version")], G.within("limit", 20), G.within("offset", 0))

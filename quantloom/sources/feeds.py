@@ -72,6 +72,41 @@ def quotes(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     return df.withColumns({"error": error, "volume": F.col("volume").cast("bigint")})
 
 
+TRADES = "array<struct<price:string,volume:string,timestamp:string>>"
+INFO = "array<struct<symbol:string,name:string,market:string,listDate:string,currency:string>>"
+WARNINGS = "array<struct<warningType:string,exchange:string,startDate:string,endDate:string>>"
+
+
+def trades(raw: DataFrame, payload: str, keep: list[str], limit: int = 50) -> DataFrame:
+    """One row a trade of JSON lists, in order; error tells what doesn't parse."""
+    rows = raw.select(*keep, F.posexplode(F.slice(F.from_json(payload, TRADES), 1, limit)).alias("seq", "t"))
+    price, quantity, at = F.col("t.price").try_cast("decimal(20,6)"), F.col("t.volume").try_cast("decimal(24,6)"), F.try_to_timestamp("t.timestamp")
+    error = F.when(price.isNull(), "price").when(quantity.isNull(), "volume").when(at.isNull(), "timestamp")
+    return rows.select(*keep, "seq", price.alias("price"), quantity.alias("quantity"), F.lit(None).cast("string").alias("side"), at.alias("executed_at"), error.alias("error"))
+
+
+def stock_info(raw: DataFrame, payload: str, symbol: str, keep: list[str]) -> DataFrame:
+    """The entry of the symbol asked for, with KRW where no currency is given;
+    error where the list lacks it."""
+    hit = F.get(F.filter(F.from_json(payload, INFO), lambda r: r.symbol == F.col(symbol)), F.lit(0))
+    rows = raw.select(*keep, symbol, hit.alias("r"))
+    error = F.when(F.col("r").isNull(), "not found").when(F.col("r.name").isNull() | F.col("r.market").isNull(), "name or market")
+    return rows.select(*keep, symbol, "r.name", "r.market", F.to_date(F.try_to_timestamp("r.listDate", F.lit("yyyy-MM-dd"))).alias("listed_on"), F.when(error.isNull(), F.coalesce(F.nullif(F.col("r.currency"), F.lit("")), F.lit("KRW"))).alias("currency"), error.alias("error"))
+
+
+def stock_warnings(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """One row a warning; those without a type are left out."""
+    rows = raw.select(*keep, F.explode(F.from_json(payload, WARNINGS)).alias("w")).where(F.col("w.warningType").isNotNull())
+    day = lambda c: F.to_date(F.try_to_timestamp(F.col(f"w.{c}"), F.lit("yyyy-MM-dd")))
+    return rows.select(*keep, F.col("w.warningType").alias("warning_type"), F.nullif(F.col("w.exchange"), F.lit("")).alias("exchange"), day("startDate").alias("start_date"), day("endDate").alias("end_date"))
+
+
+def currency_totals(rows: DataFrame, keys: list[str], amount_: str) -> DataFrame:
+    """keys and totals: a map from currency to the sum; null where any is."""
+    sums = rows.groupBy(*keys, "currency").agg(F.when(F.count_if(F.col(amount_).isNull()) == 0, F.sum(amount_)).alias("total"))
+    return sums.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("currency", "total")))).alias("totals"))
+
+
 def holdings(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """One row a holding of nested JSON payloads."""
     one = F.explode(F.from_json(payload, HOLDING)).alias("h")

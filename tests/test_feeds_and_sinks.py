@@ -158,3 +158,56 @@ def test_alerts_fire_once_in_a_stream(spark, tmp_path):
     got = Q.run_dry(Q.alert_stream(stream(spark, tmp_path, [rows[:3], rows[3:]]), alerts), "fired", "append", f"{tmp_path}/c")
     fired = [(r.alert_id, r.price) for r in got.collect()]
     assert [x[0] for x in fired] == [1] and fired[0][1] >= 102.0
+
+
+def test_predictions_are_validated(spark):
+    from datetime import timedelta
+
+    from quantloom.operators import scoring as S
+
+    rows = [(s, datetime(2024, 1, 1) + timedelta(days=i), 100.0 + (i * (3 + k)) % 17, 120.0 + (i * (3 + k)) % 17, 90.0, 101.0 + (i * (5 + k)) % 13, 10 + i % 7) for k, s in enumerate("AB") for i in range(150)]
+    got = S.gbt_validated(S.features(bars(spark, rows)), trees=3).collect()
+    assert {r.symbol for r in got} == {"A", "B"}
+    for r in got:
+        assert 0 <= r.confidence_lower <= r.rise_probability <= r.confidence_upper <= 1 and 0 <= r.accuracy <= 1 and r.validation_samples >= 30
+    with pytest.raises(ValueError, match="too few rows"):
+        S.gbt_validated(S.features(bars(spark, rows[:40])), trees=3)
+
+
+def test_fingerprints_follow_content(spark):
+    from quantloom.operators import scoring as S
+
+    a = spark.createDataFrame([("x", 1, 2.0), ("x", 2, 3.0), ("y", 1, 2.0)], "symbol string, at int, close double")
+    one = {r.symbol: r.fingerprint for r in S.content_fingerprint(a, ["symbol"], ["at", "close"]).collect()}
+    again = {r.symbol: r.fingerprint for r in S.content_fingerprint(a.orderBy(F.desc("at")), ["symbol"], ["at", "close"]).collect()}
+    other = {r.symbol: r.fingerprint for r in S.content_fingerprint(a.withColumn("close", F.col("close") + 1), ["symbol"], ["at", "close"]).collect()}
+    assert one == again and one["x"] != other["x"] and one["x"] != one["y"] and len(one["x"]) == 64
+
+
+def test_an_axis_that_fails_is_missing_alone(spark):
+    from quantloom.operators import scoring as S
+
+    symbols = spark.createDataFrame([("a",), ("b",)], "symbol string")
+    axes = {"technical": spark.createDataFrame([("a", 60.0), ("b", float("nan"))], "symbol string, score double"), "news": spark.createDataFrame([("b", 40.0)], "symbol string, score double")}
+    got = {r.symbol: r for r in S.joined_axes(symbols, axes).collect()}
+    assert (got["a"].technical, got["a"].news, got["a"].risk) == (60.0, None, None) and (got["b"].technical, got["b"].news) == (None, 40.0)
+
+
+def test_bounds_and_lookups(spark):
+    from quantloom.operators import guards as G
+
+    assert G.within("limit", 500) == 500
+    with pytest.raises(ValueError):
+        G.within("limit", 501)
+    rows, table = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="not found: 2"):
+        G.looked_up(rows, table, "k", "v").collect()
+    assert [r.k for r in G.missing(rows, table, "k").collect()] == [2]
+
+
+def test_sanitized_payloads():
+    deep = {"a": {"b": {"c": {"d": {"e": 1}}}}, "Password": "x", "n": list(range(25)), "text": "Bearer abc.def and secret=1, ok", "none": None}
+    out = X.sanitized(deep)
+    assert out["a"]["b"]["c"]["d"] == {"e": "[TRUNCATED]"} and out["Password"] == "[REDACTED]" and out["n"][-1] == "[TRUNCATED]" and len(out["n"]) == 21
+    assert out["text"] == "Bearer [REDACTED] and secret=[REDACTED], ok" and out["none"] is None
+    assert len(X.sanitized({str(i): i for i in range(40)})) == 31 and X.sanitized("x" * 600) == "x" * 500 + "…"
