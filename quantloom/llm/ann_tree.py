@@ -18,9 +18,9 @@ from quantloom.llm.tiles import runs
 from quantloom.llm.vectors import dimension, matrix, usable
 
 SAMPLE_ROWS = 20_000
-BRANCHES = 8
+BRANCHES = 16
 LEAF_ROWS = 24  # of the sample
-PROBES, GOAL = 512, 0.94  # calibration queries, and the share of neighbours that they must reach
+PROBES, GOAL = 256, 0.93  # calibration queries, and the share of their neighbours in the whole table that they must reach
 NEIGHBOURS = 10
 TILE = 4_096
 SLACK = 1e-9
@@ -112,29 +112,51 @@ def build(x: np.ndarray, branches: int, leaf_rows: int, seed: int = 7) -> Tree:
     return tree
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, probes: int, goal: float) -> int:
-    """How many leaves a query visits: widened until the sample's own queries
-    reach their share of true neighbours within the sample."""
-    if len(x) <= k + 1:
-        return tree.leaves
-    leaf = tree.assign(x)
+def calibrate(tree: Tree, probes: np.ndarray, leaves: list[list[int]], goal: float) -> int:
+    """How many leaves a query visits: widened until the probes reach their share
+    of the leaves that hold their true neighbours."""
     needed = []
-    for i in range(0, len(x), max(1, len(x) // probes)):
-        d = squared(x[i : i + 1], x)[0]
-        d[i] = np.inf
-        near = np.argpartition(d, k)[:k]
-        rank = {n: r for r, n in enumerate(tree.visit(x[i], tree.leaves))}
-        needed += [rank[n] + 1 for n in leaf[near].tolist()]
-    return int(np.quantile(needed, goal, method="higher"))
-
-
-def fit(rows: DataFrame, key: str, vector: str, d: int, k: int, sample_rows: int = SAMPLE_ROWS, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS) -> Tree:
-    """The tree and its visits, from at most sample_rows vectors by a hash of id and vector."""
-    sample = rows.orderBy(F.xxhash64(key, vector), key).limit(sample_rows).select(vector).collect()
-    x = np.array([r[0] for r in sample], np.float64).reshape(-1, d)
-    tree = build(x, branches, leaf_rows)
-    tree.visits = calibrate(tree, x, k, PROBES, GOAL)
-    return tree
+    for q, own in zip(probes, leaves):
+        rank = {n: r for r, n in enumerate(tree.visit(q, tree.leaves))}
+        needed += [rank[n] + 1 for n in own]
+    return int(np.quantile(needed, goal, method="higher")) if needed else tree.leaves
+
+
+def probe_leaves(index: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int, d: int) -> list[list[int]]:
+    """The leaves of each probe's k nearest rows of the whole index (leaf, id, v):
+    a few hundred probes against all rows, each task keeping the k nearest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[float, int, int]]] = {}
+        for batch in batches:
+            leaf, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            v = matrix(batch.column(2), d)
+            for i in range(0, len(own), 8192):
+                cut = slice(i, i + 8192)
+                place = dict(zip(own[cut].tolist(), leaf[cut].tolist()))
+                for q, r, score in zip(*(c.tolist() for c in nearest(probes, ids, v[cut], own[cut], k))):
+                    held.setdefault(q, []).append((score, r, place[r]))
+                held = {q: sorted(x)[:k] for q, x in held.items()}
+        rows = [(q, *x) for q, found in held.items() for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["probe", "score", "id", "leaf"])
+
+    found = map_arrow(index.select("leaf", "id", "v"), run, "probe long, score double, id long, leaf long")
+    place = F.row_number().over(W.partitionBy("probe").orderBy("score", "id"))
+    by: dict[int, list[int]] = {}
+    for r in found.withColumn("place", place).where(F.col("place") <= k).select("probe", "leaf").collect():
+        by.setdefault(r["probe"], []).append(r["leaf"])
+    return [by.get(int(i), []) for i in ids]
+
+
+def fit(rows: DataFrame, key: str, vector: str, d: int, sample_rows: int = SAMPLE_ROWS, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The tree from at most sample_rows vectors, by a hash of id and vector, and
+    the first of those as probes, with their ids."""
+    sample = rows.orderBy(F.xxhash64(key, vector), key).limit(sample_rows).select(key, vector).collect()
+    x = np.array([r[1] for r in sample], np.float64).reshape(-1, d)
+    first: dict[int, np.ndarray] = {}
+    for r, v in zip(sample, x):
+        if len(first) < PROBES:
+            first.setdefault(r[0], v)
+    return build(x, branches, leaf_rows), np.array(list(first.values())).reshape(-1, d), np.array(list(first), np.int64)
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +192,9 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     """query_id, rank, vec_id, score: for each row that meets is_query, its k
     nearest found rows but itself by Euclidean distance, ties to the smaller id.
 
-    The tree is fitted on a bounded sample; every row is put in its leaf. Each
-    query goes to the leaves that best-bin-first traversal reaches, as many as
+    The tree is fitted on a bounded sample; every row is put in its leaf. How many
+    leaves a query visits is calibrated on a few hundred probes and their true
+    neighbours in the whole table. Each query goes to the leaves that best-bin-first traversal reaches, as many as
     calibrated and until they hold enough rows, and meets their rows there, in
     tiles of rows and of queries, so a leaf with most rows is searched by many
     tasks. A query that still has fewer than k is put to all leaves, so there are
@@ -186,13 +209,14 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     if not d:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = table.where(usable(F.col("v")) & (F.size("v") == d) & F.col("id").isNotNull()).withColumn("v", F.transform("v", lambda x: x.cast("double")))
-    tree = fit(rows, "id", "v", d, k, **tree_parameters)
+    tree, probes, ids = fit(rows, "id", "v", d, **tree_parameters)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(matrix(batch.column(1), d))), *batch.columns], ["leaf", "id", "v", "is_query"])
 
     index = stage(map_arrow(rows, place, "leaf long, id long, v array<double>, is_query boolean"), "leaves")
+    tree.visits = calibrate(tree, probes, probe_leaves(index, probes, ids, k, d), GOAL)
     held = np.zeros(tree.leaves, np.int64)
     for r in index.select("leaf", "id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).collect():
         held[r["leaf"]] = r["n"]
