@@ -19,6 +19,7 @@ COSINE = 0.93
 TABLES, PROBES = 5, 4
 REACH = 0.53  # of a pair at the threshold, in lattice units; the lattice's points are 1.41 apart
 TILE = 1_024
+PAIRS = 1 << 15  # verified together, so that a tile of near copies takes little memory
 SEED = 11
 
 
@@ -82,6 +83,26 @@ def met_before(codes_a: np.ndarray, codes_b: np.ndarray, table: np.ndarray) -> n
     return (either & (np.arange(either.shape[1]) < table[:, None])).any(1)
 
 
+def first_met(p: np.ndarray, q: np.ndarray, node: np.ndarray, v: np.ndarray, codes: np.ndarray, t: np.ndarray, probe: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs p - q of a cell's rows, those that link and count here: the
+    cosine is verified, and the pair meets in no table before this one."""
+    keep = (node[p] != node[q]) & ((probe[p] == 0) | (probe[q] == 0))
+    p, q = p[keep], q[keep]
+    cosine = (v[p] * v[q]).sum(1) / (np.linalg.norm(v[p], axis=1) * np.linalg.norm(v[q], axis=1))
+    p, q = p[cosine >= least], q[cosine >= least]
+    table = t[p]
+    home_p, home_q = codes[p, table, 0], codes[q, table, 0]
+    together = home_p == home_q
+    both = (probe[p] == 0) & (probe[q] == 0)
+    # a pair that each end probes for counts in the cell of the smaller id
+    at_p = probe[p] == 0
+    owner, other = np.where(at_p, p, q), np.where(at_p, q, p)
+    mutual = (codes[owner, table, 1:] == codes[other, table, :1]).any(1)
+    here = np.where(together, both, ~mutual | (node[owner] < node[other]))
+    here &= ~met_before(codes[p], codes[q], table)
+    return p[here], q[here]
+
+
 def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, scale: float, tile_rows: int = TILE) -> DataFrame:
     """a, b, n: for each node of (node, copies, label, v) in each compared tile
     pair, a root that it is connected with there and how many vectors it links to
@@ -121,21 +142,8 @@ def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, s
                 half = int(np.searchsorted(side, 1))
                 p, q = np.nonzero(unit[:half] @ unit[half:].T >= least - 1e-9)
                 q = q + half
-            keep = (node[p] != node[q]) & ((probe[p] == 0) | (probe[q] == 0))
-            p, q = p[keep], q[keep]
-            cosine = (v[p] * v[q]).sum(1) / (np.linalg.norm(v[p], axis=1) * np.linalg.norm(v[q], axis=1))
-            p, q = p[cosine >= least], q[cosine >= least]
-            table = t[p]
-            home_p, home_q = codes[p, table, 0], codes[q, table, 0]
-            together = home_p == home_q
-            both = (probe[p] == 0) & (probe[q] == 0)
-            # a pair that each end probes for counts in the cell of the smaller id
-            at_p = probe[p] == 0
-            owner, other = np.where(at_p, p, q), np.where(at_p, q, p)
-            mutual = (codes[owner, table, 1:] == codes[other, table, :1]).any(1)
-            here = np.where(together, both, ~mutual | (node[owner] < node[other]))
-            here &= ~met_before(codes[p], codes[q], table)
-            p, q = p[here], q[here]
+            parts = [first_met(p[k : k + PAIRS], q[k : k + PAIRS], node, v, codes, t, probe, least) for k in range(0, len(p), PAIRS)]
+            p, q = (np.concatenate([x[k] for x in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
             n = np.zeros(len(node), np.int64)
             np.add.at(n, p, copies[q])
             np.add.at(n, q, copies[p])
