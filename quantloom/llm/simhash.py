@@ -175,6 +175,12 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius
     row = F.struct(F.isnull("id").alias("no_id"), "id", "hashes").alias("row")
     prints = stage(fingerprints(rows.select(row, "words"), shingle, seed, "words", "row"), "fingerprints")
     kept = members(prints, "row", radius).groupBy("component").agg(F.min("least").alias("row")).select("row.hashes")
-    out = rows.join(kept, "hashes", "left_semi")
-    # rows equal in all columns: grouped by a column that the join isn't dealt by, so that each task leaves one before the shuffle
-    return out.withColumn("one", F.xxhash64("hashes")).dropDuplicates(["one", "hashes"]).select("whole.*")
+    alike = prints.groupBy(F.col("row.hashes").alias("hashes")).agg(F.count("*").alias("alike"))
+    kept = stage(kept.join(alike, "hashes"), "kept")
+    joined = rows.join(kept.hint("merge"), "hashes")
+    out = joined.where("alike = 1").select("whole.*")
+    if kept.where("alike > 1").isEmpty():
+        return out
+    # of rows equal in all columns one: grouped by a column that the join isn't dealt by, so that each task leaves one before the shuffle
+    one = joined.where("alike > 1").withColumn("one", F.xxhash64("hashes")).dropDuplicates(["one", "hashes"])
+    return out.unionByName(one.select("whole.*"))
