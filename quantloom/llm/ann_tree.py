@@ -180,7 +180,16 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
             out.append((ids[x[keep]], row_ids[y[keep]], exact[keep]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    q, r, d = (np.concatenate(c) for c in zip(*out))
+    return first_of(*(np.concatenate(c) for c in zip(*out)), k)
+
+
+def first_of(q: np.ndarray, r: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query; a row once, at its nearest."""
+    order = np.lexsort((d, r, q))
+    q, r, d = q[order], r[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])
+    q, r, d = q[new], r[new], d[new]
     order = np.lexsort((r, d, q))
     q, r, d = q[order], r[order], d[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
@@ -231,31 +240,68 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     return found
 
 
+def shards(held: np.ndarray, most: int) -> np.ndarray:
+    """The shard of each leaf: neighbouring leaves together, up to `most` rows."""
+    out, shard, rows = np.zeros(len(held), np.int64), 0, 0
+    for leaf, n in enumerate(held.tolist()):
+        if rows and rows + n > most:
+            shard, rows = shard + 1, 0
+        out[leaf] = shard
+        rows += n
+    return out
+
+
 def met(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, held: np.ndarray, k: int, d: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of index (leaf, id, v) in
-    the leaves that each of queries (id, v) visits."""
+    the leaves that each of queries (id, v) visits. Neighbouring leaves share a
+    tile, so that a query is sent, and answered, once for all that it visits there."""
+    of = shards(held, TILE)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                visited = [tree.visit(q, visits, held, k + 1) for q in matrix(part.column(1), d)]
-                take = pa.array(np.repeat(np.arange(len(visited)), [len(v) for v in visited]))
-                yield pa.RecordBatch.from_arrays([pa.array([x for v in visited for x in v], pa.int64()), part.column(0).take(take), part.column(1).take(take)], ["leaf", "id", "v"])
-
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                owner, shard, leaves = [], [], []
+                for i, q in enumerate(matrix(part.column(1), d)):
+                    visited = np.sort(np.array(tree.visit(q, visits, held, k + 1), np.int64))  # shards rise with the leaves
+                    cuts = np.flatnonzero(np.diff(of[visited])) + 1
+                    for own in np.split(visited, cuts):
+                        owner.append(i)
+                        shard.append(int(of[own[0]]))
+                        leaves.append(own.tolist())
+                take = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(leaves, pa.list_(pa.int64()))], ["shard", "id", "v", "leaves"])
+
+    spark = index.sparkSession
     dealt = queries.repartition(F.xxhash64("id"))
-    probes = stage(map_arrow(dealt.select("id", "v"), route, "leaf long, id long, v array<double>"), "probes")
+    probes = stage(map_arrow(dealt.select("id", "v"), route, "shard long, id long, v array<double>, leaves array<long>"), "probes")
+    placed = index.join(F.broadcast(spark.createDataFrame(list(enumerate(of.tolist())), "leaf long, shard long")), "leaf")  # a row a leaf of the tree
     cuts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    sizes = index.groupBy("leaf").agg(F.count("*").alias("n")).join(probes.groupBy("leaf").agg(F.count("*").alias("q")), "leaf").select("leaf", cuts("n").alias("cuts"), cuts("q").alias("turns"))
-    tile = F.xxhash64("leaf", "cut", "turn").alias("tile")
-    own = index.join(sizes, "leaf").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    asked = probes.join(sizes, "leaf").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    both = own.select(tile, F.lit(0).alias("asks"), "id", "v").unionByName(asked.select(tile, F.lit(1).alias("asks"), "id", "v"))
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).join(probes.groupBy("shard").agg(F.count("*").alias("q")), "shard").select("shard", cuts("n").alias("cuts"), cuts("q").alias("turns"))
+    tile = F.xxhash64("shard", "cut", "turn").alias("tile")
+    own = placed.join(sizes, "shard").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    asked = probes.join(sizes, "shard").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    both = own.select(tile, F.lit(0).alias("asks"), "id", "v", F.array("leaf").alias("leaves")).unionByName(asked.select(tile, F.lit(1).alias("asks"), "id", "v", "leaves"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = lambda b: [b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)] + [matrix(b.column(3), d)]
-        for _, asks, ids, v in runs(batches, arrays):
+        arrays = lambda b: [b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2)] + [matrix(b.column(3), d), b.column(4).to_numpy(zero_copy_only=False)]
+        for _, asks, ids, v, leaves in runs(batches, arrays):
             a = asks == 1
-            q, r, score = nearest(v[a], ids[a], v[~a], ids[~a], k)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(score)], ["query_id", "vec_id", "score"])
+            wanted: dict[int, list[int]] = {}
+            for i in np.flatnonzero(a).tolist():
+                for leaf in leaves[i].tolist():
+                    wanted.setdefault(leaf, []).append(i)
+            there = np.array([x[0] for x in leaves[~a]], np.int64)
+            row = np.flatnonzero(~a)
+            order = np.argsort(there, kind="stable")
+            there, row = there[order], row[order]
+            found = []
+            for own_rows in np.split(row, np.flatnonzero(np.diff(there)) + 1) if len(row) else []:
+                asking = wanted.get(int(leaves[own_rows[0]][0]))
+                if asking:
+                    found.append(nearest(v[asking], ids[asking], v[own_rows], ids[own_rows], k))
+            if found:
+                q, r, score = first_of(*(np.concatenate(x) for x in zip(*found)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(score)], ["query_id", "vec_id", "score"])
 
     pairs = map_arrow(both.repartition("tile").sortWithinPartitions("tile"), meet, "query_id long, vec_id long, score double")
     # a row that repeats an id counts once
