@@ -24,6 +24,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS = 500, 20_000, 4
 FOLDS = 5
 NO_LANGUAGE = "und"
 CACHED_WORDS = 150_000
+MOST_LANGUAGES = 1_000  # that are learned: those with the most rows
 FEW_LETTERS = 20  # too few to tell an unknown language by
 MARGIN = 1.0  # log units a letter under nearly all of the sample: no known language
 
@@ -232,10 +233,10 @@ def maximised(rows: pa.Table, vocabulary_path: str, rounds: int) -> pa.Table:
 
 def sample_of(docs: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame:
     """lang, text: at most sample_docs different rows a language of (doc_id, text,
-    lang), by a hash. A cut of the hashes by each language's count comes first, so
+    lang), of at most MOST_LANGUAGES languages, by a hash. A cut of the hashes by each language's count comes first, so
     that few hashes of any language meet."""
     hashed = docs.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
     spread = F.shiftrightunsigned("hash", 11).cast("double") / float(1 << 53)
     near = hashed.select("lang", "hash").join(F.broadcast(counts), "lang").where(spread * F.col("rows") < 8.0 * sample_docs).select("lang", "hash").distinct()
     turn = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
