@@ -251,6 +251,14 @@ def shards(held: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def held_rows(index: DataFrame, leaves: int) -> np.ndarray:
+    """How many rows each leaf holds."""
+    out = np.zeros(leaves)
+    for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        out[r["leaf"]] = r["n"]
+    return out
+
+
 def met(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, held: np.ndarray, k: int, d: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of index (leaf, id, v) in
     the leaves that each of queries (id, v) visits. Neighbouring leaves share a
@@ -274,12 +282,16 @@ def met(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, held: np.
     spark = index.sparkSession
     dealt = queries.repartition(F.xxhash64("id"))
     probes = stage(map_arrow(dealt.select("id", "v"), route, "shard long, id long, v array<double>, leaves array<long>"), "probes")
-    placed = index.join(F.broadcast(spark.createDataFrame(list(enumerate(of.tolist())), "leaf long, shard long")), "leaf")  # a row a leaf of the tree
-    cuts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).join(probes.groupBy("shard").agg(F.count("*").alias("q")), "shard").select("shard", cuts("n").alias("cuts"), cuts("q").alias("turns"))
+    # a row a leaf of the tree, and one a shard: both bounded by the sample
+    asking = {r["shard"]: r["q"] for r in probes.groupBy("shard").agg(F.count("*").alias("q")).collect()}
+    rows_in = np.bincount(of, weights=held_rows(index, tree.leaves)).astype(np.int64).tolist() if len(of) else []
+    cut = lambda n: -(-int(n) // TILE)
+    dealt_out = [(shard, cut(n), cut(asking[shard])) for shard, n in enumerate(rows_in) if n and asking.get(shard)]
+    sizes = spark.createDataFrame(dealt_out, "shard long, cuts int, turns int")
+    places = spark.createDataFrame(list(enumerate(of.tolist())), "leaf long, shard long").join(F.broadcast(sizes), "shard")
     tile = F.xxhash64("shard", "cut", "turn").alias("tile")
-    own = placed.join(sizes, "shard").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    asked = probes.join(sizes, "shard").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    own = index.join(F.broadcast(places), "leaf").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    asked = probes.join(F.broadcast(sizes), "shard").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     both = own.select(tile, F.lit(0).alias("asks"), "id", "v", F.array("leaf").alias("leaves")).unionByName(asked.select(tile, F.lit(1).alias("asks"), "id", "v", "leaves"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
