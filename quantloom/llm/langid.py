@@ -26,7 +26,7 @@ NO_LANGUAGE = "und"
 CACHED_WORDS = 150_000
 MOST_LANGUAGES = 1_000  # that are learned: those with the most rows
 FEW_LETTERS = 20  # too few to tell an unknown language by
-MARGIN = 1.0  # log units a letter under nearly all of the sample: no known language
+MARGIN, ALLOWANCE = 1.0, 60.0  # log units under nearly all of the sample, a letter and once a text (a code or a key): no known language
 
 
 @dataclass
@@ -353,7 +353,7 @@ def score_texts(texts: pa.Array, model: Model | None) -> tuple[list[str], list[f
     posterior = 1.0 / np.exp(np.maximum(likely - likely.max(1, keepdims=True), -700.0)).sum(1)
     some = letters_ > 0
     floor = model.floor if model.floor is not None else np.full(len(model.languages), -np.inf)
-    like = (letters_ < FEW_LETTERS) | (likely[np.arange(len(best)), best] >= floor[best] * letters_)
+    like = (letters_ < FEW_LETTERS) | (likely[np.arange(len(best)), best] >= floor[best] * letters_ - ALLOWANCE)
     return [model.languages[b] if s else NO_LANGUAGE for b, s in zip(best, some)], np.where(some, posterior, 0.0).tolist(), like
 
 
@@ -390,7 +390,8 @@ def keep_known(docs: DataFrame, vocabulary_path: str, least: float = 0.5, folds:
     Rejected are texts whose language has a posterior under `least` among those
     learned, null texts and texts without a letter among them, and texts of
     FEW_LETTERS letters or more that are less likely, a letter, than 99 in 100 of
-    the language's sample by more than MARGIN: what is in none of them. Rows that
+    the language's sample by more than MARGIN a letter and ALLOWANCE: what is in
+    none of them. Rows that
     repeat stay or go together; columns of any names stay; without a labelled row
     all go; an empty table gives none.
     """
