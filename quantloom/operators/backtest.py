@@ -84,11 +84,12 @@ def trades(curve: DataFrame, config: Config = Config()) -> DataFrame:
     change = F.col("position") - F.col("was")
     side = F.when(change == 1, "buy").when(change == -1, "sell")
     fee = F.when(change == 1, config.commission).otherwise(config.commission + config.tax)
-    moved = df.where(change != 0).select("symbol", "ts", F.lit(0).alias("seq"), side.alias("side"), (F.col("open") * F.when(change == 1, 1 + config.slippage).otherwise(1 - config.slippage)).alias("execution_price"), (F.col("before") * fee).alias("cost"), F.when(change == 1, 1).otherwise(0).alias("position_after"))
-    if not config.force_close:
-        return moved
-    closed = df.where("is_last and position = 1").select("symbol", "ts", F.lit(1).alias("seq"), F.lit("sell").alias("side"), (F.col("close") * (1 - config.slippage)).alias("execution_price"), (F.col("before") * (config.commission + config.tax)).alias("cost"), F.lit(0).alias("position_after"))
-    return moved.unionByName(closed)
+    trade = lambda seq, side, price, cost, after: F.struct(F.lit(seq).alias("seq"), side.alias("side"), price.alias("execution_price"), cost.alias("cost"), after.cast("int").alias("position_after"))
+    price = F.col("open") * F.when(change == 1, 1 + config.slippage).otherwise(1 - config.slippage)
+    made = [F.when(change != 0, trade(0, side, price, F.col("before") * fee, F.when(change == 1, 1).otherwise(0)))]
+    if config.force_close:
+        made.append(F.when(F.col("is_last") & (F.col("position") == 1), trade(1, F.lit("sell"), F.col("close") * (1 - config.slippage), F.col("before") * (config.commission + config.tax), F.lit(0))))
+    return df.select("symbol", "ts", F.explode(F.array_compact(F.array(*made))).alias("t")).select("symbol", "ts", "t.*")
 
 
 def metrics(curve: DataFrame, made: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -41,23 +41,24 @@ def ticks(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, "feed", "record", F.get("v", F.lit(0)).alias("key"), F.trim(at("price")).try_cast("decimal(24,6)").alias("price"), signed(at("change"), at("sign")).alias("change"), signed(at("percent"), at("sign")).alias("percent"), F.trim(at("volume")).try_cast("decimal(24,6)").cast("bigint").alias("volume"), as_of.alias("as_of"))
 
 
-def subscribed(rows: DataFrame, subscriptions: DataFrame, keep: list[str]) -> DataFrame:
+def subscribed(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """rows with the subscription's symbol: by equal key, else the first of the
     feed, by ordinal, whose symbol ends the key.
 
-    keep and record name a row. A key has only the endings that are as long as
-    some subscribed symbol of the feed, so each row joins a few candidates; the
-    lengths are at most a symbol's, LONGEST_SYMBOL.
+    A key is looked up once by itself and once by its ending of each length that a
+    subscribed symbol has, at most LONGEST_SYMBOL; no row is multiplied or sent
+    anywhere for it but by the joins, which Spark broadcasts if the list is small.
     """
-    row = [*keep, "record"]
-    known = subscriptions.select("feed", F.col("key").alias("end"), "symbol", F.lit(0).alias("turn"), "ordinal").unionByName(
-        subscriptions.where(F.length("symbol").between(1, LONGEST_SYMBOL)).select("feed", F.col("symbol").alias("end"), "symbol", F.lit(1).alias("turn"), "ordinal"))
-    lengths = known.where("turn = 1").groupBy("feed").agg(F.collect_set(F.length("end")).alias("lengths"))
-    keyed = rows.join(F.broadcast(lengths), "feed", "left")
-    ends = F.transform(F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.length("key")), lambda n: F.struct(F.right(F.col("key"), n).alias("end"), F.lit(1).alias("turn")))
-    tried = keyed.select(*row, "feed", F.explode(F.array_union(F.array(F.struct(F.col("key").alias("end"), F.lit(0).alias("turn"))), ends)).alias("e")).select(*row, "feed", "e.*")
-    found = tried.join(known, ["feed", "end", "turn"]).groupBy(*row).agg(F.min_by("symbol", F.struct("turn", "ordinal")).alias("symbol"))
-    return rows.join(found, row, "left")
+    by_key = subscriptions.groupBy("feed", "key").agg(F.min_by("symbol", "ordinal").alias("_exact"))
+    out = rows.join(by_key, ["feed", "key"], "left")
+    found = []
+    for n in sorted(r[0] for r in subscriptions.select(F.length("symbol")).distinct().where(F.length("symbol").between(1, LONGEST_SYMBOL)).collect()):
+        end, turn = f"_end{n}", f"_turn{n}"
+        by_end = subscriptions.where(F.length("symbol") == n).groupBy("feed", F.col("symbol").alias(end)).agg(F.min("ordinal").alias(turn))
+        out = out.withColumn(end, F.when(F.col("_exact").isNull(), F.right(F.col("key"), F.lit(n)))).join(by_end, ["feed", end], "left")
+        found.append(F.when(F.col(turn).isNotNull(), F.struct(F.col(turn).alias("turn"), F.col(end).alias("symbol"))))
+    ending = F.array_min(F.array_compact(F.array(*found))).getField("symbol") if found else F.lit(None).cast("string")
+    return out.select(*rows.columns, F.coalesce(F.col("_exact"), ending).alias("symbol"))
 
 
 QUOTE = "struct<symbol:string,lastPrice:string,change:string,volume:string,timestamp:string>"

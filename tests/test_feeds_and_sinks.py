@@ -42,7 +42,7 @@ def test_rss_items_keep_to_themselves(spark):
 def test_subscribed_symbols(spark):
     rows = spark.createDataFrame([(1, 0, "f", "ABC"), (1, 1, "f", "DNASAAPL"), (2, 0, "f", "none"), (2, 1, "g", "ABC"), (3, 0, "h", "X")], "id int, record int, feed string, key string")
     subs = spark.createDataFrame([("f", "ABC", "ABC", 2), ("f", "k", "AAPL", 1), ("f", "k2", "L", 5), ("f", "k3", "PL", 0), ("g", "Q", "C", 3)], "feed string, key string, symbol string, ordinal long")
-    got = {(r.id, r.record): r.symbol for r in D.subscribed(rows, subs, ["id"]).collect()}
+    got = {(r.id, r.record): r.symbol for r in D.subscribed(rows, subs).collect()}
     assert got == {(1, 0): "ABC", (1, 1): "PL", (2, 0): None, (2, 1): "C", (3, 0): None}
 
 
