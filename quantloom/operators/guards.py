@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: A fixed pattern of symbols.
 SYMBOL = r"^[A-Z0-9.-]{1,16}$"
 #: Fixed bounds of request parameters: the least and the most.
-BOUNDS = {"limit": (1, 500), "offset": (0, 10_000), "horizon_days": (1, 60), "bars": (1, 100_000), "days": (1, 3_650)}
+BOUNDS = {"limit": (1, 500), "fast_period": (2, 60), "slow_period": (3, 200), "n_splits": (2, 6), "warmup": (21, 120)}
 
 
 def symbol_of(text: Column) -> Column:

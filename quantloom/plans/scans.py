@@ -231,4 +231,4 @@ def payload_sanitize(spark, sf_dir):
 @query("model_page", "SELECT s_suppkey AS version, s_nationkey AS created FROM supplier ORDER BY s_nationkey DESC, s_suppkey LIMIT 20")
 def model_page(spark, sf_dir):
     rows = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("version"), F.col("s_nationkey").alias("created"))
-    return H.page(rows, [F.desc("created"), F.asc("version")], G.within("limit", 20), G.within("offset", 0))
+    return H.page(rows, [F.desc("created"), F.asc("version")], G.within("limit", 20))
