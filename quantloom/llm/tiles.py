@@ -66,17 +66,21 @@ def runs(batches: Iterable[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], l
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of each of n nodes, the smallest node reachable over the links i - j."""
+    """Of each of n nodes, the smallest node reachable over the links i - j.
+
+    Each round hangs the larger root of a link's two ends under the smaller one
+    and brings every node straight to its root.
+    """
     label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        label = label[label]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
     while True:
-        up = label[label]
-        if np.array_equal(up, label):
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
             return label
-        label = up
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up

@@ -111,6 +111,20 @@ def test_simhash_ids_that_repeat_or_lack_tie_nothing(spark):
     assert {least[g] for g in label} == {3, 7, 5, 8, MOST, -(2**63)}
 
 
+def test_forest_in_any_order_of_links():
+    from quantloom.llm.tiles import forest
+
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        n = int(rng.integers(1, 14))
+        i, j = rng.integers(0, n, (2, int(rng.integers(0, 16))))
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, j):
+                label[a] = label[b] = min(label[a], label[b])
+        assert forest(n, i, j).tolist() == label
+
+
 def test_simhash_blocks(spark):
     """Two and three agreeing blocks find what one finds, and what all pairs find."""
     from quantloom.llm.common import components
