@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import ann_tree, bpe, importance, langid, lattice, mixing, simhash, substring_dedup, suffix_dedup, toxicity
+from quantloom.llm import ann_tree, bpe, centroids, filter_audit, importance, improbable, langid, lattice, mixing, simhash, substring_dedup, suffix_dedup, toxicity
 from quantloom.llm.common import documents
 from pyspark.sql import functions as F
 
@@ -64,6 +64,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable.compare_next(documents(spark, sf_dir))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -112,6 +124,73 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT A
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT t.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, {
+    'A': len(words) < 200,
+    'B': 100 * len(list_distinct(words)) < 50 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)} AS m
+  FROM t LEFT JOIN l USING (doc_id)
+), d AS (
+  SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [m.A, m.B, m.C, m.D, m.E]) AS fails, m.A::INT + m.B::INT + m.C::INT + m.D::INT + m.E::INT AS n_fails FROM f
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) a(x), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) b(x), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) c(x),
+       (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) d(x), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) e(x)
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o
+), g AS (
+  SELECT part, good, toxic, fails, n_fails, count(*) AS n FROM d GROUP BY ALL
+), c AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic, n_fails, fails[filter_order[step]] AS now,
+         len(list_filter(range(1, step), lambda k: fails[filter_order[k]])) > 0 AS earlier
+  FROM g, s
+), r AS (
+  SELECT part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (NOT now AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (now AND NOT earlier), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (now AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (now AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (now AND NOT earlier AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (now AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost
+  FROM c GROUP BY ALL
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+
+def clustering_sql(rounds: int) -> str:
+    """The clustering with a row a component, each round from the one before."""
+    text = """
+WITH e AS (
+  SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT id, unnest(range(1, 65)) AS j, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e
+), i AS (
+  SELECT id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM e QUALIFY c < 8
+), c0 AS MATERIALIZED (
+  SELECT c::INT AS c, j, x FROM v JOIN i USING (id)
+)"""
+    for k in range(rounds + 1):
+        text += f""", a{k} AS MATERIALIZED (
+  SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.id, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{k} c USING (j) GROUP BY ALL) GROUP BY id
+)"""
+        if k < rounds:
+            text += f""", c{k + 1} AS MATERIALIZED (
+  SELECT c.c, c.j, coalesce(m.x, c.x) AS x
+  FROM c{k} c LEFT JOIN (SELECT c, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM v JOIN a{k} USING (id) GROUP BY ALL) m USING (c, j)
+)"""
+    return text + f"""
+SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} a JOIN e USING (id) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c) h ON h.c = a.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -123,6 +202,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_improbable_features": op13_improbable_features,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_centroid_clusters": clustering_sql(10)}
