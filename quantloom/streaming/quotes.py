@@ -43,10 +43,14 @@ def alert_stream(quotes: DataFrame, alerts: DataFrame) -> DataFrame:
     met = joined.where(((F.col("condition") == "above") & (F.col("price") >= F.col("target_price"))) | ((F.col("condition") == "below") & (F.col("price") <= F.col("target_price"))))
 
     def once(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        if not state.exists:
-            state.update((True,))
-            yield pd.DataFrame({"alert_id": [key[0]], "symbol": [rows["symbol"].iloc[0]], "ts": [rows["ts"].iloc[0]], "price": [rows["price"].iloc[0]]})
+        if state.exists:
+            return
+        first = None  # of the batch, a frame at a time
+        for frame in batches:
+            own = frame.nsmallest(1, ["ts", "seq"])
+            first = own if first is None else pd.concat([first, own]).nsmallest(1, ["ts", "seq"])
+        state.update((True,))
+        yield first.assign(alert_id=key[0])[["alert_id", "symbol", "ts", "price"]]
 
     return met.groupBy("alert_id").applyInPandasWithState(once, "alert_id long, symbol string, ts timestamp_ntz, price double", "done boolean", "append", GroupStateTimeout.NoTimeout)
 
