@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,13 @@ LONG_RUN, BLOCK = 256, 1 << 14  # letters; longer runs are summed one by one, a
 UNKNOWN = 1e-7
 SCALE = 16.0  # of a probability for each character, so that usual words stay in range
 LOW, HIGH = 1e-100, 1e100  # sums out of this range are scaled anew
-SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS = 500, 20_000, 4
+SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 500, 50_000, 4  # of a language: documents, whole, and their most frequent words
 FOLDS = 5
 NO_LANGUAGE = "und"
-CACHED_WORDS = 150_000
-MOST_LANGUAGES = 1_000  # that are learned: those with the most rows
-FEW_LETTERS = 20  # too few to tell an unknown language by
-MARGIN, ALLOWANCE = 1.0, 60.0  # log units under nearly all of the sample, a letter and once a text (a code or a key): no known language
+CACHED_CELLS = 1 << 20  # scores of words that a worker keeps
+TOGETHER = 64  # languages whose sums are held at a time
+MARGIN = 1.0  # log units a letter under nearly all of the sample: no known language
+ALLOWANCE, HALF = 60.0, 30.0  # log units that a text is allowed once, for a code or a key, and letters at which it has half of them
 
 
 @dataclass
@@ -124,12 +125,14 @@ def forward(found: list[np.ndarray], prob: np.ndarray, width: int) -> tuple[np.n
     return alpha, shift
 
 
-def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+def by_width(words: list[str], langs: int = 1) -> Iterator[tuple[np.ndarray, int]]:
+    """Parts of words of like length, and a width for each; the sums of a part and
+    `langs` languages stay within a bound."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     low, width, most = 0, 6, int(size.max(initial=0))
     while low < most:
         which = np.flatnonzero((size > low) & (size <= width))
-        for part in np.array_split(which, len(which) * width // 400_000 + 1):
+        for part in np.array_split(which, len(which) * width * langs // 1_600_000 + 1):
             if len(part):
                 yield part, width
         low, width = width, width * 3 // 2
@@ -164,11 +167,13 @@ def long_log_likelihood(word: str, vocab: Vocabulary, prob: np.ndarray) -> np.nd
 
 def log_likelihood(words: list[str], vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """(words, languages): log of the sum over segmentations."""
+    if prob.shape[1] > TOGETHER:
+        return np.concatenate([log_likelihood(words, vocab, np.ascontiguousarray(prob[:, k : k + TOGETHER])) for k in range(0, prob.shape[1], TOGETHER)], axis=1)
     out = np.zeros((len(words), prob.shape[1]))
     for i in (i for i, w in enumerate(words) if len(w) > LONG_RUN):
         out[i] = long_log_likelihood(words[i], vocab, prob)
     short = np.array([i for i, w in enumerate(words) if len(w) <= LONG_RUN], np.int64)
-    for part, width in by_width([words[i] for i in short]):
+    for part, width in by_width([words[i] for i in short], prob.shape[1]):
         part = short[part]
         chosen = [words[i] for i in part]
         alpha, shift = forward(lattice(chosen, vocab, width), prob, width)
@@ -207,11 +212,30 @@ def expected(words: list[str], weight: np.ndarray, vocab: Vocabulary, prob: np.n
 
 @dataclass
 class Model:
+    """Piece probabilities by language. Most pieces are in no text of a language's
+    sample and share its least probability, so only the others are kept."""
+
     languages: list[str]
-    prob: np.ndarray
+    least: np.ndarray  # of a piece, by language
+    pieces: list[np.ndarray]
+    shares: list[np.ndarray]
     vocabulary_path: str
-    key: int
-    floor: np.ndarray | None = None  # least log likelihood a letter of a text in each language
+    floor: np.ndarray | None = None  # least log likelihood a letter, allowance included, of a text in each language
+
+    @cached_property
+    def key(self) -> int:
+        return hash((tuple(self.languages), self.least.tobytes(), *(p.tobytes() for p in self.shares)))
+
+    @cached_property
+    def prob(self) -> np.ndarray:
+        """(pieces + 2, languages): all probabilities, an unknown character's, and none."""
+        size = vocabulary(self.vocabulary_path).size
+        out = np.zeros((size + 2, len(self.languages)))
+        out[:size] = self.least
+        for k, (number, share) in enumerate(zip(self.pieces, self.shares)):
+            out[number, k] = share
+        out[size] = UNKNOWN
+        return out
 
 
 def letters(text: str) -> list[str]:
@@ -219,7 +243,7 @@ def letters(text: str) -> list[str]:
 
 
 def maximised(rows: pa.Table, vocabulary_path: str, rounds: int) -> pa.Table:
-    """lang, piece, p: expectation-maximisation over one language's (lang, word, n)."""
+    """lang, least, pieces, shares: expectation-maximisation over one language's (lang, word, n)."""
     vocab = vocabulary(vocabulary_path)
     spelled = [EDGE + w for w in rows.column("word").to_pylist()]
     weight = rows.column("n").to_numpy().astype(float)
@@ -228,64 +252,92 @@ def maximised(rows: pa.Table, vocabulary_path: str, rounds: int) -> pa.Table:
         p[vocab.size], p[-1] = UNKNOWN, 0.0
         c = expected(spelled, weight, vocab, p)[: vocab.size] + 0.01
         p[: vocab.size, 0] = c / c.sum()
-    return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * vocab.size, pa.string()), "piece": pa.array(np.arange(vocab.size, dtype=np.int32)), "p": pa.array(p[: vocab.size, 0])})
+    share = p[: vocab.size, 0]
+    some = np.flatnonzero(share > share.min())
+    return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()], pa.string()), "least": pa.array([share.min()]), "pieces": pa.array([some.astype(np.int32)], pa.list_(pa.int32())), "shares": pa.array([share[some]], pa.list_(pa.float64()))})
 
 
-def sample_of(docs: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame:
+def sample_of(docs: DataFrame, sample_docs: int) -> DataFrame:
     """lang, text: at most sample_docs different rows a language of (doc_id, text,
-    lang), of at most MOST_LANGUAGES languages, by a hash. A cut of the hashes by each language's count comes first, so
-    that few hashes of any language meet."""
-    hashed = docs.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    counts = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
+    lang), by a hash, whole. A cut of the hashes by each language's count comes
+    first, so that few hashes of any language meet."""
+    hashed = docs.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("rows"))
     spread = F.shiftrightunsigned("hash", 11).cast("double") / float(1 << 53)
-    near = hashed.select("lang", "hash").join(F.broadcast(counts), "lang").where(spread * F.col("rows") < 8.0 * sample_docs).select("lang", "hash").distinct()
+    near = hashed.select("lang", "hash").join(counts, "lang").where(spread * F.col("rows") < 8.0 * sample_docs).select("lang", "hash").distinct()
     turn = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
     chosen = near.withColumn("turn", turn).where(F.col("turn") <= sample_docs).select("lang", "hash")
-    return hashed.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+    return hashed.join(chosen, ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def counted_words(sample: DataFrame, sample_words: int) -> DataFrame:
+    """lang, word, n: the most frequent runs of letters of each language's sample.
+    Runs over LONG_RUN letters count in parts of so many."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{LONG_RUN - 1}}})")))
+    counted = sample.select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return counted.withColumn("turn", turn).where(F.col("turn") <= sample_words).select("lang", "word", "n")
 
 
-def fit(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, rounds: int = ROUNDS) -> Model | None:
+def fit(docs: DataFrame, vocabulary_path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, rounds: int = ROUNDS) -> Model | None:
     """Piece probabilities of each language from rows of (doc_id, text, lang).
 
-    The fit sees at most sample_docs documents of a language, chosen by a hash
-    among those of at most sample_chars characters, whole; Spark sums up their
-    words, and expectation-maximisation over them runs a language a task. No
-    labelled row with a letter: None. Null texts and languages, and rows that
-    repeat, add nothing.
+    The fit sees at most sample_docs documents of a language, chosen by a hash,
+    whole, and the sample_words most frequent of their words; Spark sums them up,
+    and expectation-maximisation over them runs a language a task. Every language
+    with a letter in its sample is learned, however many there are and however long
+    its texts. No labelled row with a letter: None. Null texts and languages, and
+    rows that repeat, add nothing.
     """
-    sample = stage(sample_of(docs, sample_docs, sample_chars), "sample")
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
-    counted = stage(sample.select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    if not languages:
-        return None
-    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
-    dealt = counted.withColumn("place", place.cast("int")).repartitionById(len(languages), F.col("place")).sortWithinPartitions("lang", "word")
+    sample = stage(sample_of(docs, sample_docs), "sample")
+    counted = stage(counted_words(sample, sample_words), "words")
+    many = counted.select("lang").distinct().count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["lang"]):
             yield from maximised(rows, vocabulary_path, rounds).to_batches()
 
-    vocab = vocabulary(vocabulary_path)
-    prob = np.zeros((vocab.size + 2, len(languages)))
-    number = {x: k for k, x in enumerate(languages)}
-    for r in map_arrow(dealt.select("lang", "word", "n"), run, "lang string, piece int, p double").collect():
-        prob[r["piece"], number[r["lang"]]] = r["p"]
-    prob[vocab.size], prob[-1] = UNKNOWN, 0.0
-    model = Model(languages, prob, vocabulary_path, hash(prob.tobytes()))
-    seen = evidence(sample, model).where(F.col("letters") >= FEW_LETTERS).groupBy("lang").agg(F.percentile_approx("likely", 0.01, 10_000).alias("low")).collect()
+    if not many:
+        return None
+    # a language a task, up to as many tasks as a shuffle may have
+    place = F.dense_rank().over(W.orderBy("lang")) - 1
+    places = counted.select("lang").distinct().withColumn("place", place.cast("int"))
+    dealt = counted.join(places, "lang").repartitionById(min(many, 1_000), F.col("place") % 1_000).sortWithinPartitions("lang", "word")
+    found = map_arrow(dealt.select("lang", "word", "n"), run, "lang string, least double, pieces array<int>, shares array<double>").toArrow().sort_by("lang")
+    numpy = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in found.column(c)]
+    model = Model(found.column("lang").to_pylist(), found.column("least").to_numpy(), numpy("pieces"), numpy("shares"), vocabulary_path)
+    seen = evidence(sample, model).where("letters > 0").groupBy("lang").agg(F.percentile_approx("likely", 0.01, 10_000).alias("low")).collect()
     low = {r["lang"]: r["low"] for r in seen}
-    model.floor = np.array([low.get(x, -np.inf) - MARGIN for x in languages])
+    model.floor = np.array([low.get(x, -np.inf) - MARGIN for x in model.languages])
     return model
 
 
+def allowed(likely: np.ndarray, letters_: np.ndarray) -> np.ndarray:
+    """The log likelihood a letter, with what a text of so many letters is allowed:
+    the more letters, the more, up to ALLOWANCE in all."""
+    return (likely + ALLOWANCE * letters_ / (letters_ + HALF)) / np.maximum(letters_, 1.0)
+
+
+def sent(docs: DataFrame, model: Model | None):
+    """A function that gives the model in a task: it is broadcast once, and each
+    worker lays out its probabilities once."""
+    if model is None:
+        return lambda: None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return lambda: shared.value
+
+
 def evidence(sample: DataFrame, model: Model) -> DataFrame:
-    """lang, letters, likely: the log likelihood a letter of each text in its own language."""
+    """lang, letters, likely: the log likelihood a letter of each text in its own
+    language, allowance included."""
+    get = sent(sample, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: k for k, x in enumerate(get().languages)}
         for batch in batches:
-            own = np.array([model.languages.index(x) if x in model.languages else 0 for x in batch.column(0).to_pylist()], np.int64)
-            total = totals(batch.column(1), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total[:, -1].astype(np.int64)), pa.array(total[np.arange(len(own)), own] / np.maximum(total[:, -1], 1.0))], ["lang", "letters", "likely"])
+            own = np.array([number.get(x, 0) for x in batch.column(0).to_pylist()], np.int64)
+            total = totals(batch.column(1), get())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total[:, -1].astype(np.int64)), pa.array(allowed(total[np.arange(len(own)), own], total[:, -1]))], ["lang", "letters", "likely"])
 
     return map_arrow(sample.select("lang", "text"), run, "lang string, letters long, likely double")
 
@@ -302,7 +354,7 @@ class Words:
         return keep(f"langid:{model.key}", cls)
 
     def slots(self, words: list[str], model: Model) -> np.ndarray:
-        if len(self.slot) > CACHED_WORDS:
+        if len(self.slot) * (len(model.languages) + 1) > CACHED_CELLS:
             self.__init__()
         get = self.slot.get
         new = list({w for w in words if w not in self.slot})
@@ -328,7 +380,7 @@ def totals(texts: pa.Array, model: Model) -> np.ndarray:
     while row < len(at) - 1:
         words: list[str] = []
         ends = [0]
-        while row < len(at) - 1 and len(words) < 1_000_000:
+        while row < len(at) - 1 and len(words) * (len(model.languages) + 1) < 5_000_000:
             words += letters(whole[at[row] : at[row + 1]].decode("utf-8", "ignore"))
             ends.append(len(words))
             row += 1
@@ -353,7 +405,7 @@ def score_texts(texts: pa.Array, model: Model | None) -> tuple[list[str], list[f
     posterior = 1.0 / np.exp(np.maximum(likely - likely.max(1, keepdims=True), -700.0)).sum(1)
     some = letters_ > 0
     floor = model.floor if model.floor is not None else np.full(len(model.languages), -np.inf)
-    like = (letters_ < FEW_LETTERS) | (likely[np.arange(len(best)), best] >= floor[best] * letters_ - ALLOWANCE)
+    like = allowed(likely[np.arange(len(best)), best], letters_) >= floor[best]
     return [model.languages[b] if s else NO_LANGUAGE for b, s in zip(best, some)], np.where(some, posterior, 0.0).tolist(), like
 
 
@@ -364,9 +416,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
     without a letter, and every text if there is no model, get `und` and 0. One
     pass, no shuffle; repeated rows are returned each.
     """
+    get = sent(docs, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, _ = score_texts(batch.column(1), model)
+            lang, score, _ = score_texts(batch.column(1), get())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
     return map_arrow(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, lang_pred string, score double")
@@ -379,7 +433,14 @@ def held_out(folds: int = FOLDS):
 
 def identify(docs: DataFrame, vocabulary_path: str, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, by a model that
-    learns from the rows that aren't held out."""
+    learns from the rows that aren't held out.
+
+    Null and empty texts and those without a letter get `und` and 0, as all do
+    where no labelled row has a letter; of languages that are as likely the first by
+    name is told. A null doc_id is held out. Rows that repeat are returned each. Very
+    long texts are scored whole. An empty table gives no rows; columns other than
+    doc_id, text and lang are ignored.
+    """
     model = fit(docs.where(~held_out(folds)).select("doc_id", "text", "lang"), vocabulary_path)
     return predict(docs, model).select("doc_id", held_out(folds).alias("held_out"), "lang_pred", "score")
 
@@ -388,19 +449,19 @@ def keep_known(docs: DataFrame, vocabulary_path: str, least: float = 0.5, folds:
     """The documents in a known language, with their columns.
 
     Rejected are texts whose language has a posterior under `least` among those
-    learned, null texts and texts without a letter among them, and texts of
-    FEW_LETTERS letters or more that are less likely, a letter, than 99 in 100 of
-    the language's sample by more than MARGIN a letter and ALLOWANCE: what is in
-    none of them. Rows that
-    repeat stay or go together; columns of any names stay; without a labelled row
-    all go; an empty table gives none.
+    learned, null texts and texts without a letter among them, and texts that are
+    less likely, a letter, than 99 in 100 of the language's sample by more than
+    MARGIN, after what `allowed` allows them: what is in none of the languages. The
+    rule is the same for texts of any length; very long ones are taken whole. Rows
+    that repeat stay or go together; columns of any names stay; without a labelled
+    row all go; an empty table gives none.
     """
     model = fit(docs.where(~held_out(folds)).select("doc_id", "text", "lang"), vocabulary_path)
-    place = docs.columns.index("text")
+    place, get = docs.columns.index("text"), sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, score, like = score_texts(batch.column(place), model)
+            _, score, like = score_texts(batch.column(place), get())
             yield batch.filter(pa.array((np.array(score) >= least) & like))
 
     return map_arrow(docs, run, docs.schema)

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_arrow, stage, text_bytes
-from quantloom.llm.repeats import CLASS, ROW, byte_part, contexts, found_rows, ranges_of, recurring, resolve, whole_groups, with_ranges
-from quantloom.llm.winnow import byte_units
+from quantloom.llm.common import map_arrow, stage, text_bytes, word_bounds
+from quantloom.llm.repeats import CLASS, ROW, byte_part, contexts, found_rows, ranges_of, recurring, resolve, row_key, whole_groups, with_ranges
+from quantloom.llm.winnow import TABLE, Hashes, byte_units
 
 LENGTH = 400
 MOST_ROWS = 16_384
@@ -133,7 +134,8 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 
     Null and empty texts have 0 bytes. Rows that repeat are documents of their
     own, so their long strings are all repeated. Overlapping repeats count;
-    matches never cross rows.
+    matches never cross rows. Very long texts are taken whole, in blocks. An
+    empty table gives no rows; columns other than doc_id and text are ignored.
     """
     joined = with_ranges(docs.select("doc_id", "text"), repeated_ranges(docs, **parameters))
 
@@ -178,3 +180,74 @@ def remove(docs: DataFrame, **parameters) -> DataFrame:
 
     out = map_arrow(joined, run, kinds).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+CODE = 8  # bytes that stand for a word
+LONG_WORD = 64
+
+
+def word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word of rows laid end to end, and the rows' offsets into them."""
+    start, end, bounds = word_bounds(data, at)
+    codes = Hashes(TABLE[data]).of(start, end) ^ (end - start).astype(np.uint64)
+    # a running product modulo 2^64 can be led astray by long words made for it
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        codes[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return codes.astype("<u8"), bounds
+
+
+def with_codes(docs: DataFrame) -> DataFrame:
+    """docs, under the names c0, c1 and so on, and last `text`: the words of the
+    text as CODE bytes each, null where it is null."""
+    place = docs.columns.index("text")
+    kinds = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, bounds = word_codes(*text_bytes(batch.column(place)))
+            whole, null = codes.tobytes(), batch.column(place).is_null().to_pylist()
+            cells = [None if none else whole[a * CODE : b * CODE] for none, a, b in zip(null, bounds.tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], [*(f"c{k}" for k in range(batch.num_columns)), "text"])
+
+    return map_arrow(docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), run, f"{kinds}, text binary")
+
+
+def remove_passages(docs: DataFrame, words: int, **parameters) -> DataFrame:
+    """docs with text and n_chars rewritten: every word that a sequence of `words`
+    words covers which also starts anywhere else, all its occurrences, the first
+    too, is cut out together with the space behind it.
+
+    The suffix order is built over texts whose words are CODE bytes each, so a
+    passage counts by its words, however short they are and however they are
+    spaced. Null texts stay null and empty ones empty; a text without a repeat
+    stays as it is. Rows that repeat are documents of their own and lose their long
+    passages. Very long texts are taken whole. Other columns, of any names, stay.
+    An empty table gives none.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    coded = with_codes(docs)
+    ranges = repeated_ranges(coded.select(F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), "text"), length=words * CODE, **parameters)
+    lists = ranges.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    own = coded.withColumn("doc_id", F.col(names[docs.columns.index("doc_id")])).select(*row_key("text"), *names)
+    joined = own.join(lists.hint("merge"), ROW, "left").select(*names, "ranges")
+    place = docs.columns.index("text")
+    kinds = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_bytes(batch.column(place))
+            found, texts = batch.column(batch.num_columns - 1), batch.column(place).to_pylist()
+            for r in (r for r in range(batch.num_rows) if found[r].values is not None):
+                part = data[at[r] : at[r + 1]]
+                start, _, _ = word_bounds(part, np.array([0, len(part)]))
+                first, last = ranges_of(found, r)
+                first, last = -(-first // CODE), last // CODE
+                whole = last > first
+                edge = np.append(start, len(part))
+                texts[r] = kept(part, edge[first[whole]], edge[last[whole]]).tobytes().decode("utf-8", "ignore")
+            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    out = map_arrow(joined, run, kinds).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -323,7 +323,7 @@ def plain_language(text, model, pieces):
     import re
 
     total = np.zeros(len(model.languages))
-    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    found, prob = re.findall(r"[^\W\d_]+", (text or "").lower()), model.prob
     for w in found:
         w = langid.EDGE + w
         sums = [np.ones(len(model.languages))] + [np.zeros(len(model.languages))] * len(w)
@@ -331,7 +331,7 @@ def plain_language(text, model, pieces):
             for start in range(max(0, end - 40), end):
                 number = pieces.get(w[start:end], len(pieces) if end == start + 1 else None)
                 if number is not None:
-                    sums[end] = sums[end] + sums[start] * model.prob[number]
+                    sums[end] = sums[end] + sums[start] * prob[number]
         total += np.log(sums[-1])
     if not found:
         return langid.NO_LANGUAGE, 0.0
@@ -379,18 +379,23 @@ def test_runs_longer_than_a_block(monkeypatch):
     assert np.allclose(alone, langid.log_likelihood(runs, vocab, prob))
 
 
-def plain_removal(texts, length):
-    seen = {}
-    for x in texts:
-        for i in range(len(x) - length + 1):
-            seen[x[i : i + length]] = seen.get(x[i : i + length], 0) + 1
+def plain_removal(texts, words):
+    """Texts without the words of every sequence of so many that is also elsewhere;
+    the space behind a word goes with it."""
+    import re
+
+    seen, split = {}, [re.findall(r"[^\x20\t-\r]+[\x20\t-\r]*", x) for x in texts]
+    for w in split:
+        for i in range(len(w) - words + 1):
+            key = tuple(x.strip() for x in w[i : i + words])
+            seen[key] = seen.get(key, 0) + 1
     out = []
-    for x in texts:
-        gone = bytearray(len(x))
-        for i in range(len(x) - length + 1):
-            if seen[x[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        out.append(bytes(b for b, g in zip(x, gone) if not g).decode("utf-8", "ignore"))
+    for w in split:
+        gone = set()
+        for i in range(len(w) - words + 1):
+            if seen[tuple(x.strip() for x in w[i : i + words])] > 1:
+                gone |= set(range(i, i + words))
+        out.append("".join(x for i, x in enumerate(w) if i not in gone))
     return out
 
 
@@ -402,7 +407,7 @@ def test_pipeline(spark, tmp_path):
 
     rng = random.Random(11)
     passage = " ".join(rng.choice(EN) for _ in range(51))
-    assert corpus_pipeline.PASSAGE_BYTES <= len(passage)
+    assert corpus_pipeline.PASSAGE_WORDS <= 51
     rows = [(i, " ".join(f"{rng.choice(EN)}{rng.choice(['', 's', 'er', 'ly'])}" for _ in range(rng.randrange(40, 120))), "en", "abc"[i % 3]) for i in range(60)]
     rows += [(100 + i, " ".join(rng.choice(DE) for _ in range(50)) + f" ende {i}.", "de", "ab"[i % 2]) for i in range(40)]
     rows += [(200 + i, f"{' '.join(rng.choice(EN) + str(i) for _ in range(60))} {passage}", "en", "a") for i in range(5)]
@@ -429,9 +434,9 @@ def test_pipeline(spark, tmp_path):
     label = find_groups([simhash.fingerprint(r[1].encode()) for r in held])
     want = [min((r for r, k in zip(held, label) if k == g), key=lambda r: (r[0] is None, r[0])) for g in set(label)]
     assert stages["simhash_dedup"] == sorted(want, key=repr) and not {r[0] for r in want} & set(range(300, 305))
-    # passages: every string of so many bytes that starts anywhere else
+    # passages: every sequence of so many words that starts anywhere else
     held = stages["simhash_dedup"]
-    texts = plain_removal([r[1].encode() for r in held], corpus_pipeline.PASSAGE_BYTES)
+    texts = plain_removal([r[1] for r in held], corpus_pipeline.PASSAGE_WORDS)
     assert stages["suffix_array_dedup"] == sorted(((r[0], t, r[2], r[3], len(t)) for r, t in zip(held, texts)), key=repr)
     assert not any(passage in r[1] for r in stages["suffix_array_dedup"])
     before = {r[0]: r[1] for r in held}
