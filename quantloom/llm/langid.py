@@ -261,13 +261,14 @@ def sample_of(docs: DataFrame, sample_docs: int) -> DataFrame:
     """lang, text: at most sample_docs different rows a language of (doc_id, text,
     lang), by a hash, whole. A cut of the hashes by each language's count comes
     first, so that few hashes of any language meet."""
-    hashed = docs.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = hashed.groupBy("lang").agg(F.count("*").alias("rows"))
-    spread = F.shiftrightunsigned("hash", 11).cast("double") / float(1 << 53)
-    near = hashed.select("lang", "hash").join(counts, "lang").where(spread * F.col("rows") < 8.0 * sample_docs).select("lang", "hash").distinct()
-    turn = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
-    chosen = near.withColumn("turn", turn).where(F.col("turn") <= sample_docs).select("lang", "hash")
-    return hashed.join(chosen, ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    drawn = docs.select("lang", "text", draw.alias("draw")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # a row a language each, staged, so that Spark knows their sizes and shuffles no text to meet them
+    counts = stage(drawn.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    near = drawn.select("lang", "draw").join(counts, "lang").where(F.col("draw") / float(1 << 63) * F.col("rows") < 8.0 * sample_docs).select("lang", "draw").distinct()
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    cut = stage(near.withColumn("turn", turn).where(F.col("turn") <= sample_docs).groupBy("lang").agg(F.max("draw").alias("cut")), "cuts")
+    return drawn.join(cut, "lang").where(F.col("draw") <= F.col("cut")).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def counted_words(sample: DataFrame, sample_words: int) -> DataFrame:

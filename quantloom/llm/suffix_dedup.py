@@ -4,7 +4,7 @@ multi-document suffix order."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import map_arrow, stage, text_bytes, word_bounds
-from quantloom.llm.repeats import CLASS, ROW, byte_part, contexts, found_rows, ranges_of, recurring, resolve, row_key, whole_groups, with_ranges
-from quantloom.llm.winnow import TABLE, Hashes, byte_units
+from quantloom.llm.repeats import CLASS, ROW, byte_part, contexts, found_rows, ranges_of, recurring, resolve, whole_groups, with_ranges
+from quantloom.llm.winnow import TABLE, Hashes, Units, byte_units
 
 LENGTH = 400
 MOST_ROWS = 16_384
@@ -98,9 +98,10 @@ def compare(window: int, gram: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = None, most_rows: int = MOST_ROWS, units: Callable[..., Units] = byte_units) -> DataFrame:
     """ROW, start, stop: byte ranges that together cover every string of
-    `length` bytes that also starts anywhere else.
+    `length` bytes that also starts anywhere else. units: what a text's bytes are,
+    its own or others that stand for it.
 
     Anchors with equal surroundings are one class. Two members of each class of
     two or more, and the member of each other class, are compared with all
@@ -110,13 +111,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     gram = gram or max(1, length // 4)
     if not 0 < gram <= length < 1 << 20:
         raise ValueError("0 < gram <= length < 2^20")
-    anchors = recurring(docs, byte_units, length, gram, F.col("n") > 1)
+    anchors = recurring(docs, units, length, gram, F.col("n") > 1)
     place = F.struct(*ROW, "at", "lo", "hi")
     classes = stage(anchors.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "classes")
     ends = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
     # a gram recurs, so a class of one is not the only class of its gram
     members = classes.select(*CLASS, F.explode(ends).alias("one")).select(*CLASS, "one.*")
-    found = resolve(contexts(docs, members, byte_units, length), compare(length, gram), length, gram, byte_part, most_rows, every=True)
+    found = resolve(contexts(docs, members, units, length), compare(length, gram), length, gram, byte_part, most_rows, every=True)
     all_of = anchors.join(found.drop("doc").distinct().hint("merge"), CLASS)
     return all_of.select(*ROW, (F.col("at") + F.col("first_start")).alias("start"), (F.col("at") + F.col("last_start") + length).alias("stop"))
 
@@ -196,20 +197,10 @@ def word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes.astype("<u8"), bounds
 
 
-def with_codes(docs: DataFrame) -> DataFrame:
-    """docs, under the names c0, c1 and so on, and last `text`: the words of the
-    text as CODE bytes each, null where it is null."""
-    place = docs.columns.index("text")
-    kinds = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, bounds = word_codes(*text_bytes(batch.column(place)))
-            whole, null = codes.tobytes(), batch.column(place).is_null().to_pylist()
-            cells = [None if none else whole[a * CODE : b * CODE] for none, a, b in zip(null, bounds.tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], [*(f"c{k}" for k in range(batch.num_columns)), "text"])
-
-    return map_arrow(docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), run, f"{kinds}, text binary")
+def code_units(data: np.ndarray, at: np.ndarray, values: bool = True) -> Units:
+    """The words of the rows as CODE bytes each."""
+    codes, bounds = word_codes(data, at)
+    return byte_units(codes.view(np.uint8), bounds * CODE, values)
 
 
 def remove_passages(docs: DataFrame, words: int, **parameters) -> DataFrame:
@@ -224,14 +215,10 @@ def remove_passages(docs: DataFrame, words: int, **parameters) -> DataFrame:
     passages. Very long texts are taken whole. Other columns, of any names, stay.
     An empty table gives none.
     """
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    coded = with_codes(docs)
-    ranges = repeated_ranges(coded.select(F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), "text"), length=words * CODE, **parameters)
-    lists = ranges.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    own = coded.withColumn("doc_id", F.col(names[docs.columns.index("doc_id")])).select(*row_key("text"), *names)
-    joined = own.join(lists.hint("merge"), ROW, "left").select(*names, "ranges")
+    ranges = repeated_ranges(docs.select("doc_id", "text"), length=words * CODE, units=code_units, **parameters)
+    joined = with_ranges(docs, ranges)
     place = docs.columns.index("text")
-    kinds = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes))
+    kinds = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(docs.dtypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
