@@ -61,15 +61,15 @@ def clean(raw: DataFrame) -> DataFrame:
     return kept.join(mixed_bases(raw), "symbol", "left_anti")
 
 
-def guarded(df: DataFrame, column: str, sound: Column, message: str) -> DataFrame:
-    """df whose `column`, wherever it is read, fails the job in a row that isn't sound."""
-    kind = dict(df.dtypes)[column]
-    return df.withColumn(column, F.when(F.coalesce(sound, F.lit(True)), F.col(column)).otherwise(F.raise_error(F.lit(message)).cast(kind)))
+def guarded(df: DataFrame, sound: Column, message: str) -> DataFrame:
+    """df; the job fails at a row that isn't sound, whichever columns are read. The
+    guard is a condition on rows, which stays where a column that nobody reads goes."""
+    return df.where(F.assert_true(F.coalesce(sound, F.lit(True)), message).isNull())
 
 
 def require_sound(bars: DataFrame) -> DataFrame:
     """Fails the job at a bar whose prices can't be; a null price passes."""
-    return guarded(bars, "close", (F.col("high") >= F.col("low")) & F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high")), "invalid OHLC bar")
+    return guarded(bars, (F.col("high") >= F.col("low")) & F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high")), "invalid OHLC bar")
 
 
 def require_positive(bars: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def require_positive(bars: DataFrame) -> DataFrame:
     w = W.partitionBy("symbol").orderBy("ts")
     positive = F.least("open", "high", "low", "close") > 0
     seen = bars.withColumn("_before", F.lag("ts").over(w))
-    return guarded(guarded(seen, "close", positive, "prices must be positive"), "close", F.coalesce(F.col("ts") > F.col("_before"), F.lit(True)), "times must be unique").drop("_before")
+    return guarded(guarded(seen, positive, "prices must be positive"), F.coalesce(F.col("ts") > F.col("_before"), F.lit(True)), "times must be unique").drop("_before")
 
 
 def resample(bars: DataFrame, interval: str) -> DataFrame:
@@ -88,7 +88,7 @@ def resample(bars: DataFrame, interval: str) -> DataFrame:
     if "price_basis" in bars.columns:
         kept = resample(bars.drop("price_basis"), interval)
         bases = bars.groupBy("symbol").agg(F.min("price_basis").alias("price_basis"), F.max("price_basis").alias("_other"))
-        return guarded(kept.join(bases, "symbol"), "close", F.col("price_basis") == F.col("_other"), "bars of mixed price bases").drop("_other")
+        return guarded(kept.join(bases, "symbol"), F.col("price_basis") == F.col("_other"), "bars of mixed price bases").drop("_other")
     period = {"1w": [F.extract(F.lit("YEAROFWEEK"), "ts").alias("y"), F.weekofyear("ts").alias("p")], "1M": [F.year("ts").alias("y"), F.month("ts").alias("p")]}[interval]
     return bars.groupBy("symbol", *period).agg(
         F.min("ts").alias("first_ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),

@@ -45,11 +45,11 @@ def missing(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """rows with the table's value; the job fails at a key that isn't there."""
+    """rows with the table's value; the job fails at a key that isn't there, whichever
+    columns are read."""
     one = table.groupBy(key).agg(F.first(value).alias(value))
-    kind = dict(table.dtypes)[value]
     joined = rows.join(one.withColumn("_there", F.lit(True)), key, "left")
-    return joined.withColumn(value, F.when(F.col("_there"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("not found: "), F.col(key).cast("string"))).cast(kind))).drop("_there")
+    return joined.where(F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit("not found: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).isNull()).drop("_there")
 
 
 def ingestion_errors(actions: DataFrame, batch: DataFrame) -> DataFrame:

@@ -16,16 +16,43 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]
     return both.withColumn("_n", F.row_number().over(turn)).where("_n = 1").drop("_n", "_gen")
 
 
-def insert_revisions(stored: DataFrame, new: DataFrame, keys: list[str], factors: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to add, conflicts). Factors are put to twelve places, half to even;
-    a row equal to a stored or earlier one adds nothing, one that differs is a
-    conflict, and with a conflict nothing may be added."""
+def insert_outcomes(stored: DataFrame, new: DataFrame, keys: list[str], factors: list[str], batch: str | None = None) -> DataFrame:
+    """new, its factors put to twelve places, half to even, with outcome: `created`
+    for a row that is to be added, `unchanged` for one equal to a stored one or to
+    another of the new ones, `conflict` for one that differs from a row of its keys,
+    stored or new, and `rejected` for one that would be added but for a conflict in
+    its batch. All rows are one batch where none is named; equal rows may lie in
+    several batches, and the first by name adds the row. Nulls equal each other."""
     exact = new.withColumns({c: F.bround(c, 12).cast(QUANTUM) for c in factors})
     rest = [c for c in stored.columns if c not in keys]
-    every = stored.select(*keys, *rest, F.lit(0).alias("_new")).unionByName(exact.select(*keys, *rest, F.lit(1).alias("_new")))
-    conflicts = every.groupBy(*keys).agg(F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rest])).alias("kinds")).where("kinds > 1")
-    fresh = exact.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-    return fresh, conflicts
+    known = stored.select(*keys, F.struct(*rest).alias("_stored")).dropDuplicates(keys)
+    own, same = F.struct(*rest), W.partitionBy(*keys)
+    seen = exact.withColumn("_own", own).join(known, keys, "left")
+    differs = ~F.min("_own").over(same).eqNullSafe(F.max("_own").over(same)) | (F.col("_stored").isNotNull() & ~F.col("_own").eqNullSafe(F.col("_stored")))
+    first = F.row_number().over(same.orderBy(F.col(batch) if batch else F.lit(1))) == 1
+    told = seen.withColumn("outcome", F.when(differs, "conflict").when(F.col("_stored").isNotNull() | ~first, "unchanged").otherwise("created")).drop("_own", "_stored")
+    bad = told.where("outcome = 'conflict'")
+    refused = F.when(F.col("_bad") & (F.col("outcome") == "created"), "rejected").otherwise(F.col("outcome"))
+    if batch is None:
+        marked = told.withColumn("_bad", bad.agg(F.count("*") > 0).scalar())
+    else:
+        ill = bad.select(F.col(batch).alias("_batch")).distinct().withColumn("_bad", F.lit(True))
+        marked = told.join(ill, F.col(batch).eqNullSafe(F.col("_batch")), "left").drop("_batch").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    return marked.withColumn("outcome", refused).drop("_bad")
+
+
+def insert_revisions(stored: DataFrame, new: DataFrame, keys: list[str], factors: list[str], batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to add, conflicting rows) of `insert_outcomes`: a batch with a conflict
+    adds nothing. A caller that writes the first and finds any of the second has
+    written no part of a conflicting batch."""
+    told = insert_outcomes(stored, new, keys, factors, batch)
+    return told.where("outcome = 'created'").select(*stored.columns), told.where("outcome = 'conflict'")
+
+
+def insert_counts(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """How many rows of `insert_outcomes` are created, unchanged, conflicting and
+    rejected, by keys if there are any."""
+    return outcomes.groupBy(*keys).agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("created", "unchanged", "conflict", "rejected")])
 
 
 def filtered(df: DataFrame, **equal: object) -> DataFrame:

@@ -67,8 +67,16 @@ def test_guards_fail_the_job(spark):
     assert B.require_positive(bars(spark, good)).count() == 24
     based = [(*r, "unadjusted") for r in good]
     assert B.resample(bars(spark, based, ", price_basis string"), "1M").count() == 1
-    with pytest.raises(Exception, match="mixed price bases"):
-        B.resample(bars(spark, [*based, ("a", day(27), 2.0, 3.0, 1.0, 2.0, 5, "adjusted")], ", price_basis string"), "1w").collect()
+    mixed = B.resample(bars(spark, [*based, ("a", day(27), 2.0, 3.0, 1.0, 2.0, 5, "adjusted")], ", price_basis string"), "1w")
+    crooked = bars(spark, [*good, ("a", day(26), 5.0, 3.0, 1.0, 2.0, 5)])
+    twice = bars(spark, [good[0], good[0]])
+    for guarded, message in ((mixed, "mixed price bases"), (B.require_sound(crooked), "invalid OHLC bar"), (B.require_positive(twice), "times must be unique")):
+        # the guard holds whichever columns are read, none too
+        for read in (guarded, guarded.select("symbol", "volume"), guarded.select("volume").groupBy().sum(), guarded.groupBy("symbol").count()):
+            with pytest.raises(Exception, match=message):
+                read.collect()
+        with pytest.raises(Exception, match=message):
+            guarded.count()
 
 
 def test_candidates_past_the_limit_fail(spark):
@@ -97,7 +105,19 @@ def test_revision_conflicts(spark):
     old = spark.createDataFrame([(1, Decimal("0.5")), (2, Decimal("0.25"))], schema)
     new = spark.createDataFrame([(1, Decimal("0.5")), (2, Decimal("0.3")), (3, Decimal("1"))], schema)
     fresh, conflicts = H.insert_revisions(old, new, ["k"], ["factor"])
-    assert [r.k for r in fresh.collect()] == [3] and [r.k for r in conflicts.collect()] == [2]
+    assert fresh.count() == 0 and [r.k for r in conflicts.collect()] == [2]
+    fresh, conflicts = H.insert_revisions(old, new.where("k != 2"), ["k"], ["factor"])
+    assert [r.k for r in fresh.collect()] == [3] and conflicts.count() == 0
+    schema = "k int, factor decimal(30,15), note string, batch string"
+    rows = [(1, "0.5", None, "a"), (3, "1.0000000000005", "x", "a"), (3, "1.0000000000015", "x", "a"), (4, "1.0000000000005", None, "b"), (4, "1", None, "c"), (5, "2", None, "b"), (6, "2", None, "c"), (6, "3", None, "d"), (7, "1", None, "d"), (8, "1", None, None)]
+    new = spark.createDataFrame([(k, Decimal(f), n, b) for k, f, n, b in rows], schema)
+    old = spark.createDataFrame([(1, Decimal("0.5"), None), (8, Decimal("1"), "other")], "k int, factor decimal(24,12), note string")
+    told = H.insert_outcomes(old, new, ["k"], ["factor"], "batch")
+    got = sorted((r.k, r.batch or "", r.outcome) for r in told.collect())
+    assert got == [(1, "a", "unchanged"), (3, "a", "conflict"), (3, "a", "conflict"), (4, "b", "created"), (4, "c", "unchanged"), (5, "b", "created"), (6, "c", "conflict"), (6, "d", "conflict"), (7, "d", "rejected"), (8, "", "conflict")]
+    assert {r.batch: tuple(r)[1:] for r in H.insert_counts(told, "batch").collect()} == {"a": (0, 1, 2, 0), "b": (2, 0, 0, 0), "c": (0, 1, 1, 0), "d": (0, 0, 1, 1), None: (0, 0, 1, 0)}
+    fresh, _ = H.insert_revisions(old, new, ["k"], ["factor"], "batch")
+    assert sorted(r.k for r in fresh.collect()) == [4, 5] and fresh.columns == old.columns
 
 
 def test_runs_and_results_go_together(spark):
@@ -202,12 +222,29 @@ def test_bounds_and_lookups(spark):
     rows, table = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
     with pytest.raises(Exception, match="not found: 2"):
         G.looked_up(rows, table, "k", "v").collect()
+    with pytest.raises(Exception, match="not found: 2"):
+        G.looked_up(rows, table, "k", "v").select("k").collect()
     assert [r.k for r in G.missing(rows, table, "k").collect()] == [2]
 
 
-def test_sanitized_payloads():
-    deep = {"a": {"b": {"c": {"d": {"e": 1}}}}, "Password": "x", "n": list(range(25)), "text": "Bearer abc.def and secret=1, ok", "none": None}
-    out = X.sanitized(deep)
-    assert out["a"]["b"]["c"]["d"] == {"e": "[TRUNCATED]"} and out["Password"] == "[REDACTED]" and out["n"][-1] == "[TRUNCATED]" and len(out["n"]) == 21
-    assert out["text"] == "Bearer [REDACTED] and secret=[REDACTED], ok" and out["none"] is None
-    assert len(X.sanitized({str(i): i for i in range(40)})) == 31 and X.sanitized("x" * 600) == "x" * 500 + "…"
+def test_sanitized_payloads(spark):
+    import json
+
+    deep = {"a": {"b": {"c": {"d": {"e": 1, "secret": 2}}}}, "Password": {"x": 1}, "n": list(range(25)), "text": "Bearer abc.def and secret=1, ok", "none": None, "f": 1.5, "yes": True, "z": "5", "obj": '{"token":1}'}
+    wide = {f"k{39 - i}": i for i in range(40)}
+    cases = {
+        "deep": json.dumps(deep), "wide": json.dumps(wide), "text": '"token=abc ünï \\"q\\" \\n"', "number": " 12345678901234567890 ", "null": "null", "long": json.dumps("x" * 600), "empty": "{}", "none": "[]",
+        "list": json.dumps([[[[[1, "a"]]]], {"cookie": "c", "k": [{"ssn": 1, "v": "password: p"}]}]), "broken": '{"a": 1', "words": "not json", "blank": "", "keys": json.dumps({"x" * 150: 1, "a token": 2, "k=secret=s": 3}),
+    }
+    df = spark.createDataFrame([*cases.items(), ("missing", None)], "id string, payload string")
+    got = {r.id: r.clean for r in df.select("id", X.sanitize(F.col("payload")).alias("clean")).collect()}
+    out = json.loads(got["deep"])
+    assert out["a"]["b"]["c"]["d"] == {"e": "[TRUNCATED]", "secret": "[REDACTED]"} and out["Password"] == "[REDACTED]" and out["n"] == [*range(20), "[TRUNCATED]"]
+    assert out["text"] == "Bearer [REDACTED] and secret=[REDACTED], ok" and out["none"] is None and out["f"] == 1.5 and out["yes"] is True and out["z"] == "5" and out["obj"] == '{"token":1}'
+    assert list(out) == list(deep)
+    assert json.loads(got["wide"]) == dict(list(wide.items())[:30]) | {"_truncated": True} and list(json.loads(got["wide"]))[:2] == ["k39", "k38"]
+    assert json.loads(got["text"]) == 'token=[REDACTED] ünï "q" \n' and got["number"] == "12345678901234567890" and got["null"] == "null" and json.loads(got["long"]) == "x" * 500 + "…"
+    assert got["empty"] == "{}" and got["none"] == "[]"
+    assert json.loads(got["list"]) == [[[[["[TRUNCATED]", "[TRUNCATED]"]]]], {"cookie": "[REDACTED]", "k": [{"ssn": "[REDACTED]", "v": "password=[REDACTED]"}]}]
+    assert json.loads(got["keys"]) == {"x" * 100 + "…": 1, "a token": "[REDACTED]", "k=secret=[REDACTED]": "[REDACTED]"}
+    assert got["broken"] is None and got["words"] is None and got["blank"] is None and got["missing"] is None
