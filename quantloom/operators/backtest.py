@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from quantloom.operators.indicators import by_time, sma
-from quantloom.operators.patterns import patterns
+from quantloom.operators.patterns import with_patterns
 
 def so_far() -> WindowSpec:
     return by_time().rowsBetween(W.unboundedPreceding, 0)
@@ -50,36 +50,38 @@ def pattern_reference(bars: DataFrame, least: float = 0.68, window: int = 60) ->
     """Long after the latest bar whose best directional pattern points upward."""
     if not 0 <= least <= 1 or window < 21:
         raise ValueError("0 <= least <= 1 and window >= 21")
-    found = patterns(bars, window).where((F.col("direction") != "neutral") & (F.col("confidence") >= least))
-    side = found.groupBy("symbol", "ts").agg(F.min_by(F.when(F.col("direction") == "upward", 1).otherwise(0), "rank").alias("side"))
-    joined = bars.join(side, ["symbol", "ts"], "left")
-    return joined.withColumn("signal", F.coalesce(F.last("side", ignorenulls=True).over(so_far()), F.lit(0))).drop("side")
+    able = lambda x: (x.direction != "neutral") & (x.confidence >= least)
+    ranked = F.transform(F.filter("patterns", able), lambda x: F.struct(-x.confidence, x["name"], (x.direction == "upward").cast("int").alias("side")))
+    sided = with_patterns(bars, window).withColumn("side", F.array_min(ranked).side)
+    return sided.withColumn("signal", F.coalesce(F.last("side", ignorenulls=True).over(so_far()), F.lit(0))).drop("side", "patterns")
 
 
 def technical_score(scored: DataFrame, threshold: float = 65.0) -> DataFrame:
     return scored.withColumn("signal", F.coalesce((F.col("technical_score") >= threshold).cast("int"), F.lit(0)))
 
 
-def vectorized(signals: DataFrame, config: Config = Config()) -> DataFrame:
+def vectorized(signals: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The equity curve: a signal at a close is held from the next open.
 
-    All windows share one sort by symbol and time.
+    All windows share one sort by key and time.
     """
-    position = F.coalesce(F.lag("signal").over(by_time()), F.lit(0))
-    df = signals.withColumns({"position": position, "previous_close": F.lag("close").over(by_time()), "is_last": F.lead("ts").over(by_time()).isNull()})
-    df = df.withColumn("was", F.coalesce(F.lag("position").over(by_time()), F.lit(0)))
+    line = W.partitionBy(*keys).orderBy("ts")
+    position = F.coalesce(F.lag("signal").over(line), F.lit(0))
+    df = signals.withColumns({"position": position, "previous_close": F.lag("close").over(line), "is_last": F.lead("ts").over(line).isNull()})
+    df = df.withColumn("was", F.coalesce(F.lag("position").over(line), F.lit(0)))
     overnight = F.col("was") * F.coalesce(F.try_divide(F.col("open"), F.col("previous_close")) - 1, F.lit(0.0))
     intraday = F.col("position") * (F.try_divide(F.col("close"), F.col("open")) - 1)
     buy_cost, sell_cost = config.commission + config.slippage, config.commission + config.tax + config.slippage
     bought, sold = F.greatest(F.col("position") - F.col("was"), F.lit(0)), F.greatest(F.col("was") - F.col("position"), F.lit(0))
     closing = F.when(F.lit(config.force_close) & F.col("is_last") & (F.col("position") == 1), sell_cost).otherwise(0.0)
     df = df.withColumn("daily_return", (1 + overnight) * (1 + intraday) - 1 - bought * buy_cost - sold * sell_cost - closing)
-    return df.withColumn("equity", config.initial_capital * F.product(1 + F.col("daily_return")).over(so_far()))
+    return df.withColumn("equity", config.initial_capital * F.product(1 + F.col("daily_return")).over(line.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def trades(curve: DataFrame, config: Config = Config()) -> DataFrame:
-    """symbol, ts, seq, side, execution_price, cost, position_after."""
-    before = F.coalesce(F.lag("equity").over(by_time()), F.lit(config.initial_capital))
+def trades(curve: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """keys, ts, seq, side, execution_price, cost, position_after."""
+    line = W.partitionBy(*keys).orderBy("ts")
+    before = F.coalesce(F.lag("equity").over(line), F.lit(config.initial_capital))
     df = curve.withColumn("before", before)
     change = F.col("position") - F.col("was")
     side = F.when(change == 1, "buy").when(change == -1, "sell")
@@ -89,7 +91,7 @@ def trades(curve: DataFrame, config: Config = Config()) -> DataFrame:
     made = [F.when(change != 0, trade(0, side, price, F.col("before") * fee, F.when(change == 1, 1).otherwise(0)))]
     if config.force_close:
         made.append(F.when(F.col("is_last") & (F.col("position") == 1), trade(1, F.lit("sell"), F.col("close") * (1 - config.slippage), F.col("before") * (config.commission + config.tax), F.lit(0))))
-    return df.select("symbol", "ts", F.explode(F.array_compact(F.array(*made))).alias("t")).select("symbol", "ts", "t.*")
+    return df.select(*keys, "ts", F.explode(F.array_compact(F.array(*made))).alias("t")).select(*keys, "ts", "t.*")
 
 
 def metrics(curve: DataFrame, made: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -240,15 +242,14 @@ def signals(bars: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFra
 
 def compare_strategies(signals_: DataFrame, base: str, config: Config = Config()) -> DataFrame:
     """Metrics of each (symbol, strategy), and the difference from the base
-    strategy's: one set of windows over all strategies together."""
-    mark = "\x01"
-    curve = vectorized(signals_.withColumn("symbol", F.concat_ws(mark, "strategy", "symbol")), config)
-    found = metrics(curve, trades(curve, config), config)
-    apart = F.split("symbol", mark, 2)
-    named = found.withColumns({"strategy": F.get(apart, F.lit(0)), "symbol": F.get(apart, F.lit(1))})
+    strategy's: one set of windows over all strategies together, of rows that are
+    dealt by symbol once."""
+    keys = ("symbol", "strategy")
+    curve = vectorized(signals_, config, keys)
+    found = metrics(curve, trades(curve, config, keys), config, keys)
     names = ["total_return", "max_drawdown", "sharpe_ratio", "final_equity"]
     own = lambda c: F.max(F.when(F.col("strategy") == base, F.col(c))).over(W.partitionBy("symbol"))
-    return named.select("symbol", "strategy", *names, "trade_count", *[F.round(F.col(c) - own(c), 6).alias(f"{c}_delta") for c in names])
+    return found.select(*keys, *names, "trade_count", *[F.round(F.col(c) - own(c), 6).alias(f"{c}_delta") for c in names])
 
 
 def compared(parts: dict[str, DataFrame], base: str, by: str = "strategy") -> DataFrame:

@@ -40,25 +40,29 @@ def mixed_bases(raw: DataFrame) -> DataFrame:
 
 
 def quality_logs(raw: DataFrame) -> DataFrame:
-    """symbol, rule, severity, ts: a row for each violation, none altered."""
-    arrival = W.partitionBy("symbol").orderBy("seq")
-    again = W.partitionBy("symbol", "ts").orderBy("seq")
-    seen = raw.withColumn("copy", F.row_number().over(again)).withColumn("before", F.lag("ts").over(arrival))
+    """symbol, rule, severity, ts: a row for each violation, none altered. All rules
+    look at one frame that is shuffled by symbol once."""
+    arrival, line = W.partitionBy("symbol").orderBy("seq"), W.partitionBy("symbol").orderBy("ts", "seq")
+    whole = W.partitionBy("symbol")
+    seen = raw.withColumns({
+        "before": F.lag("ts").over(arrival), "place": F.row_number().over(arrival), "low_basis": F.min("price_basis").over(whole), "high_basis": F.max("price_basis").over(whole),
+        "earlier": F.lag("ts").over(line), "again": F.row_number().over(line) > 1})
+    copy = F.col("again") & F.col("ts").eqNullSafe(F.col("earlier"))
+    missing = F.when(~copy & (F.datediff("ts", "earlier") > 1), business_days_between(F.to_date("earlier"), F.to_date("ts")))
+    log = lambda when, rule, severity="error", at=F.col("ts"): F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), at.alias("ts")))
     rules = F.array_compact(F.array(
-        F.when(F.col("copy") > 1, F.lit("duplicate_timestamp")), F.when(~in_range(), F.lit("invalid_ohlc")),
-        F.when(F.col("volume") < 0, F.lit("negative_volume")), F.when(F.col("ts") <= F.col("before"), F.lit("out_of_order"))))
-    rows = seen.select("symbol", F.explode(rules).alias("rule"), F.lit("error").alias("severity"), "ts")
-    bases = mixed_bases(raw).select("symbol", F.lit("mixed_price_basis").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("timestamp_ntz").alias("ts"))
-    holes = gaps(raw).select("symbol", F.lit("missing_daily_candles").alias("rule"), F.lit("warning").alias("severity"), "ts")
-    return rows.unionByName(bases).unionByName(holes)
+        log(copy, "duplicate_timestamp"), log(~in_range(), "invalid_ohlc"), log(F.col("volume") < 0, "negative_volume"), log(F.col("ts") <= F.col("before"), "out_of_order"),
+        log((F.col("place") == 1) & (F.col("low_basis") != F.col("high_basis")), "mixed_price_basis", at=F.lit(None).cast("timestamp_ntz")), log(missing >= GAP_DAYS, "missing_daily_candles", "warning")))
+    return seen.select("symbol", F.explode(rules).alias("r")).select("symbol", "r.*")
 
 
 def clean(raw: DataFrame) -> DataFrame:
     """The first valid bar to arrive for each symbol and time; none for symbols
     of mixed basis."""
-    first = W.partitionBy("symbol", "ts").orderBy("seq")
-    kept = raw.where(is_valid()).withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
-    return kept.join(mixed_bases(raw), "symbol", "left_anti")
+    whole, first = W.partitionBy("symbol"), W.partitionBy("symbol", "ts").orderBy("seq")
+    alike = F.coalesce(F.min("price_basis").over(whole) == F.max("price_basis").over(whole), F.lit(True))
+    kept = raw.withColumn("alike", alike).where(F.col("alike") & is_valid()).withColumn("copy", F.row_number().over(first))
+    return kept.where("copy = 1").drop("copy", "alike")
 
 
 def guarded(df: DataFrame, sound: Column, message: str) -> DataFrame:

@@ -115,3 +115,18 @@ def latest_of(parts: dict[str, DataFrame], key: str, at: str) -> DataFrame:
 def disable(alerts: DataFrame, ids: Column) -> DataFrame:
     """Active alerts of the ids become disabled; others stay as they are."""
     return alerts.withColumn("status", F.when(ids & (F.col("status") == "active"), "disabled").otherwise(F.col("status")))
+
+
+def added(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """stored and those of the new rows whose keys aren't stored, each key once;
+    nulls equal each other."""
+    own = stored.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return stored.unionByName(new.dropDuplicates(keys).join(own, same, "left_anti").select(*stored.columns))
+
+
+def removed(stored: DataFrame, ids: Column) -> DataFrame:
+    """stored without the rows of the ids; a row for which that can't be told stays."""
+    return stored.where(~F.coalesce(ids, F.lit(False)))

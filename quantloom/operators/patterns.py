@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,52 +52,68 @@ def breakouts() -> list[Column]:
     ]
 
 
+def pairs(top: bool) -> Column:
+    """(right, left, difference, neckline) of the pairs of like extremes that end at a
+    bar and begin 5 to 35 bars before it; null where the bar is none."""
+    price, edge, kind = ("high", "low", "is_top") if top else ("low", "high", "is_bottom")
+    n, line = F.col("_n"), by_time()
+    # the best price strictly between the two extremes is the neckline
+    before = F.collect_list(F.when(F.col(kind), F.struct(n.alias("n"), F.col(price).alias("price")))).over(line.rowsBetween(-35, -5))
+    edges = F.collect_list(edge).over(line.rowsBetween(-34, -1))
+
+    def pair(p: Column) -> Column:
+        inner = n - p.n - 1
+        between = F.slice(edges, -inner, inner)
+        mean = (p.price + F.col(price)) / 2
+        difference = F.when(mean > 0, F.try_divide(F.abs(p.price - F.col(price)), mean))
+        return F.struct(n.alias("right"), p.n.alias("left"), difference.alias("difference"), (F.array_min(between) if top else F.array_max(between)).alias("neckline"))
+
+    return F.when(F.col(kind), F.filter(F.transform(before, pair), lambda x: x.difference <= 0.03))
+
+
 def doubles(bars: DataFrame, window: int = WINDOW) -> DataFrame:
-    """symbol, ts, pattern: a confirmed double top or bottom at each bar.
-
-    Extremes at most 35 bars apart are joined on symbol and the bucket of their
-    ordinals, then met with the bars of the window whose close confirms them, so
-    nothing is paired beyond its reach.
-    """
-    n = F.row_number().over(by_time()) - 1
-    found = local_extrema(bars).withColumn("n", n)
-    out = None
-    for top in (True, False):
-        price, edge, kind = ("high", "low", "is_top") if top else ("low", "high", "is_bottom")
-        base = found.select("symbol", "n", "ts", "close", F.col(price).alias("price"), F.col(edge).alias("edge"))
-        peaks = found.where(kind).select("symbol", "n", F.col(price).alias("price"))
-        # necklines: the best price strictly between the two extremes, over a list of the last 35 bars
-        past = W.partitionBy("symbol").orderBy("n").rowsBetween(-34, -1)
-        edges = base.select("symbol", "n", F.collect_list("edge").over(past).alias("edges"))
-        right = peaks.join(edges, ["symbol", "n"]).select("symbol", F.col("n").alias("right"), F.col("price").alias("right_price"), "edges", F.explode(F.array(F.floor(F.col("n") / 36), F.floor(F.col("n") / 36) - 1)).alias("bucket"))
-        left = peaks.select("symbol", F.col("n").alias("left"), F.col("price").alias("left_price"), F.floor(F.col("n") / 36).alias("bucket"))
-        pair = right.join(left, ["symbol", "bucket"]).where((F.col("right") - F.col("left")).between(5, 35))
-        mean = (F.col("left_price") + F.col("right_price")) / 2
-        pair = pair.withColumn("difference", F.try_divide(F.abs(F.col("left_price") - F.col("right_price")), mean)).where((mean > 0) & (F.col("difference") <= 0.03))
-        inner = F.greatest(F.col("right") - F.col("left") - 1, F.lit(1))
-        between = F.slice("edges", -inner, inner)
-        pair = pair.select("symbol", "left", "right", "difference", (F.array_min(between) if top else F.array_max(between)).alias("neckline"))
-        # the left extreme needs two bars before it in the window, the right one two bars after
-        reach = pair.withColumn("n", F.explode(F.sequence(F.col("right") + 2, F.col("left") + window - 3)))
-        at = reach.join(base.select("symbol", "n", "ts", "close"), ["symbol", "n"]).where(F.col("n") >= 11)
-        at = at.where(F.col("close") < F.col("neckline") if top else F.col("close") > F.col("neckline"))
-        best = at.groupBy("symbol", "ts").agg(F.max_by(F.struct("difference", "neckline"), F.struct("right", "left")).alias("b")).select("symbol", "ts", "b.*")
-        confidence = F.least(F.lit(0.90), 0.76 + (0.03 - F.col("difference")) * 3)
-        name, direction = ("double_top_confirmed", "downward") if top else ("double_bottom_confirmed", "upward")
-        evidence = told("extreme_similarity=%.3f", 1 - F.col("difference")), told(f"latest close confirmed {'below' if top else 'above'} neckline=%.4f", F.col("neckline"))
-        part = best.select("symbol", "ts", entry(F.lit(True), "chart", name, direction, confidence, *evidence).alias("pattern"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """bars with double_top and double_bottom, (right, left, difference, neckline): of
+    the pairs in the window that a bar's close confirms, the one whose right extreme,
+    then left, is latest; null if there is none. Lists of pairs are windows of one
+    order, and hold a few pairs a bar."""
+    found = local_extrema(bars).withColumn("_n", F.row_number().over(by_time()) - 1)
+    found = found.withColumns({"_tops": pairs(True), "_bottoms": pairs(False)})
+    # the left extreme needs two bars before it in the window, the right one two bars after
+    reach = by_time().rowsBetween(8 - window, -2)
+    n, close = F.col("_n"), F.col("close")
+    held = lambda c: F.flatten(F.collect_list(c).over(reach))
+    beyond = {"double_top": ("_tops", lambda x: close < x.neckline), "double_bottom": ("_bottoms", lambda x: close > x.neckline)}
+    best = {}
+    for name, (c, past) in beyond.items():
+        best[name] = F.when(n >= 11, F.array_max(F.filter(held(c), confirmed(past, n, window))))
+    return found.withColumns(best).drop("_n", "_tops", "_bottoms", "is_top", "is_bottom")
+
+
+def confirmed(past: Callable[[Column], Column], n: Column, window: int) -> Callable[[Column], Column]:
+    return lambda x: (x.left >= n - (window - 3)) & past(x)
+
+
+def double(column: str, name: str, direction: str, side: str) -> Column:
+    d = F.col(column)
+    evidence = told("extreme_similarity=%.3f", 1 - d.difference), told(f"latest close confirmed {side} neckline=%.4f", d.neckline)
+    return entry(d.isNotNull(), "chart", name, direction, F.least(F.lit(0.90), 0.76 + (0.03 - d.difference) * 3), *evidence)
+
+
+def with_patterns(bars: DataFrame, window: int = WINDOW) -> DataFrame:
+    """bars with `patterns`, an array of those of each bar: all from windows over one
+    order, so one shuffle and one sort however many patterns there are. The job
+    fails at a bar whose prices can't be."""
+    before = {"previous_open": F.lag("open").over(by_time()), "previous_close": F.lag("close").over(by_time())}
+    seen = doubles(prior_range(require_sound(bars)).withColumns(before), window)
+    both = [double("double_top", "double_top_confirmed", "downward", "below"), double("double_bottom", "double_bottom_confirmed", "upward", "above")]
+    return seen.select(*bars.columns, F.array_compact(F.array(*candlesticks(), *breakouts(), *both)).alias("patterns"))
 
 
 def patterns(bars: DataFrame, window: int = WINDOW) -> DataFrame:
     """symbol, ts, rank, family, name, direction, confidence, evidence: all patterns of
     each bar, most confident first, then by name. The job fails at a bar whose
     prices can't be."""
-    bars = require_sound(bars)
-    before = {"previous_open": F.lag("open").over(by_time()), "previous_close": F.lag("close").over(by_time())}
-    single = prior_range(bars).withColumns(before).select("symbol", "ts", F.explode(F.array_compact(F.array(*candlesticks(), *breakouts()))).alias("pattern"))
-    every = single.unionByName(doubles(bars, window)).select("symbol", "ts", "pattern.*")
+    every = with_patterns(bars, window).select("symbol", "ts", F.explode("patterns").alias("pattern")).select("symbol", "ts", "pattern.*")
     order = W.partitionBy("symbol", "ts").orderBy(F.desc("confidence"), "name")
     return every.withColumn("rank", F.row_number().over(order))
 

@@ -54,18 +54,18 @@ def snapshot_totals(spark, sf_dir):
     return wide.select(F.col("c_nationkey").alias("provider"), F.round("krw", 2).alias("krw"), F.round("usd", 2).alias("usd"))
 
 
-@query("candidate_lookup", "SELECT o_orderkey AS receipt_no, coalesce(c_name, 'none') AS report_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE o_orderstatus = 'F' OR o_orderstatus = 'O'")
+@query("candidate_lookup", "SELECT o_orderkey AS receipt_no, coalesce(c_name, 'none') AS report_name FROM orders LEFT JOIN customer ON o_custkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1000000000 END = c_custkey")
 def candidate_lookup(spark, sf_dir):
-    orders = T.table(spark, sf_dir, "orders")
-    both = orders.where("o_orderstatus = 'F'").unionByName(orders.where("o_orderstatus = 'O'"))
-    meta = T.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
-    return both.join(meta, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("receipt_no"), F.coalesce("c_name", F.lit("none")).alias("report_name"))
+    """Each order is looked up, every second one under a key that no customer has."""
+    orders = T.table(spark, sf_dir, "orders").withColumn("key", F.col("o_custkey") + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(1_000_000_000))
+    return orders.join(T.table(spark, sf_dir, "customer"), F.col("key") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("receipt_no"), F.coalesce("c_name", F.lit("none")).alias("report_name"))
 
 
-@query("unknown_symbols", "SELECT DISTINCT o_custkey AS symbol FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 != 0)")
+@query("unknown_symbols", "SELECT DISTINCT o_custkey + CASE WHEN o_custkey % 10 = 0 THEN 1000000000 ELSE 0 END AS symbol FROM orders WHERE o_custkey % 10 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def unknown_symbols(spark, sf_dir):
-    known = T.table(spark, sf_dir, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("symbol"))
-    return G.missing(T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol")), known, "symbol")
+    k = F.col("o_custkey")
+    asked = T.table(spark, sf_dir, "orders").select((k + F.when(k % 10 == 0, 1_000_000_000).otherwise(0)).alias("symbol"))
+    return G.missing(asked, T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol")), "symbol")
 
 
 @query("active_symbols", "SELECT symbol, subscribers FROM (SELECT o_custkey AS symbol, count(*) AS subscribers FROM orders GROUP BY 1) ORDER BY subscribers DESC, symbol LIMIT 40")
@@ -89,11 +89,11 @@ def url_check(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", G.host(url).alias("host"), G.is_https(url).alias("is_https"), G.is_plain_https(url).alias("is_plain"))
 
 
-@query("data_as_of", "SELECT u.user_id, strftime(greatest(u.a, v.a), '%Y-%m-%d %H:%M:%S') AS data_as_of FROM (SELECT user_id, max(ts) AS a FROM events WHERE event_type = 'click' GROUP BY 1) u LEFT JOIN (SELECT user_id, max(ts) AS a FROM events WHERE event_type = 'error' GROUP BY 1) v USING (user_id)")
+@query("data_as_of", "SELECT u.user_id, strftime(greatest(u.a, v.a), '%Y-%m-%d %H:%M:%S') AS data_as_of FROM (SELECT user_id, max(ts) AS a FROM events WHERE event_type = 'click' GROUP BY 1) u LEFT JOIN (SELECT user_id, max(ts) AS a FROM events WHERE event_type != 'click' GROUP BY 1) v USING (user_id)")
 def data_as_of(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
-    of = lambda kind: e.where(F.col("event_type") == kind)
-    return G.latest_of({"a": of("click"), "b": of("error")}, "user_id", "ts").select("user_id", T.stamp("data_as_of").alias("data_as_of"))
+    found = G.latest_of({"a": e.where("event_type = 'click'"), "b": e.where("event_type != 'click'")}, "user_id", "ts")
+    return found.select("user_id", T.stamp("data_as_of").alias("data_as_of"))
 
 
 @query("weight_activation", "SELECT s_suppkey AS version, s_suppkey = 3 AS active FROM supplier")
@@ -105,7 +105,7 @@ def weight_activation(spark, sf_dir):
 def alert_removal(spark, sf_dir):
     k = F.col("c_custkey")
     stored = T.table(spark, sf_dir, "customer").select(k.alias("alert_id"), F.when(k % 2 == 0, "active").otherwise("triggered").alias("status"))
-    return G.disable(stored.where("alert_id % 11 != 0"), F.col("alert_id") % 3 == 0).select("alert_id", "status")
+    return G.disable(G.removed(stored, F.col("alert_id") % 11 == 0), F.col("alert_id") % 3 == 0).select("alert_id", "status")
 
 
 @query("agent_findings", "SELECT event_type AS symbol, count(*) FILTER (value > 100) > 0 AS has_spike, 'bars: ' || count(*) || '; spikes: ' || count(*) FILTER (value > 100) AS summary FROM events GROUP BY 1")

@@ -148,11 +148,11 @@ def samples(spark, sf_dir):
 
 @query("latency_quantile", f"""{RATES}, s AS (SELECT step, le, sum(rate) AS v FROM r GROUP BY ALL), l AS (SELECT step, le, max(v) OVER w AS v, row_number() OVER w AS k, max(v) OVER (PARTITION BY step) AS total, count(*) OVER (PARTITION BY step) AS size, max(le) OVER (PARTITION BY step) AS top FROM s WINDOW w AS (PARTITION BY step ORDER BY le)),
 p AS (SELECT *, lag(le) OVER w AS below, lag(v) OVER w AS under FROM l WINDOW w AS (PARTITION BY step ORDER BY k)), q AS (SELECT * FROM p WHERE v >= 0.95::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY step ORDER BY k) = 1)
-SELECT step * 3600 AS at, round(CASE WHEN size < 2 OR top != 'inf'::DOUBLE OR total <= 0 THEN NULL WHEN k = size THEN below ELSE coalesce(below, 0) + (le - coalesce(below, 0)) * (0.95::DOUBLE * total - coalesce(under, 0)) / (v - coalesce(under, 0)) END, 6) AS p95 FROM q""")
+SELECT step * 3600 AS at, round(CASE WHEN size < 2 OR top != 'inf'::DOUBLE OR total <= 0 THEN NULL WHEN k = size THEN below ELSE coalesce(below, 0) + (le - coalesce(below, 0)) * (0.95::DOUBLE * total - coalesce(under, 0)) / (v - coalesce(under, 0)) END, 8) AS p95 FROM q""")
 def latency_quantile(spark, sf_dir):
     """The 95th percentile of durations from rates of bucket counters."""
     found = L.slow_share(samples(spark, sf_dir), ["route", "le"], "n", L.QUANTILE, 5 * 3600, 3600)
-    return found.select(F.unix_seconds("at").alias("at"), F.round("quantile", 6).alias("p95"))
+    return found.select(F.unix_seconds("at").alias("at"), F.round("quantile", 8).alias("p95"))
 
 
 @query("counter_rates", f"{RATES} SELECT route, step * 3600 AS at, round(rate, 9) AS rate FROM r WHERE le = 'inf'::DOUBLE")

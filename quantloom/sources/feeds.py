@@ -15,6 +15,7 @@ LAYOUTS = {
 }
 
 LONGEST_SYMBOL = 16
+MOST_LISTED = 500  # subscriptions that a plan carries along; a feed takes 40
 
 
 def frames(raw: DataFrame, frame: str = "frame") -> DataFrame:
@@ -41,28 +42,49 @@ def ticks(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, "feed", "record", F.get("v", F.lit(0)).alias("key"), F.trim(at("price")).try_cast("decimal(24,6)").alias("price"), signed(at("change"), at("sign")).alias("change"), signed(at("percent"), at("sign")).alias("percent"), F.trim(at("volume")).try_cast("decimal(24,6)").cast("bigint").alias("volume"), as_of.alias("as_of"))
 
 
-def subscribed(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def subscribed(rows: DataFrame, subscriptions: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
     """rows with the subscription's symbol: by equal key, else the first of the
     feed, by ordinal, whose symbol ends the key.
 
-    A key is looked up once by itself and once by its ending of each length that a
-    subscribed symbol has, at most LONGEST_SYMBOL; no row is multiplied or sent
-    anywhere for it but by the joins, which Spark broadcasts if the list is small.
+    The subscriptions are read once. Up to most_listed different ones, many times
+    what a feed takes, are looked up in maps within the plan, without a join; beyond
+    that a key is joined once by itself and once by its ending of each length that a
+    symbol has, at most LONGEST_SYMBOL. No row is multiplied either way.
     """
-    by_key = subscriptions.groupBy("feed", "key").agg(F.min_by("symbol", "ordinal").alias("_exact"))
-    out = rows.join(by_key, ["feed", "key"], "left")
+    by_key = subscriptions.groupBy("feed", "key").agg(F.min_by("symbol", "ordinal").alias("symbol"))
+    by_end = subscriptions.where(F.length("symbol").between(1, LONGEST_SYMBOL)).groupBy("feed", "symbol").agg(F.min("ordinal").alias("ordinal"))
+    both = by_key.select("feed", "key", "symbol", F.lit(None).cast("long").alias("ordinal")).unionByName(by_end.select("feed", F.lit(None).cast("string").alias("key"), "symbol", F.col("ordinal").cast("long").alias("ordinal")))
+    listed = both.limit(2 * most_listed + 1).collect()
+    if len(listed) <= 2 * most_listed:
+        return listed_symbols(rows, listed)
+    exact = by_key.withColumnRenamed("symbol", "_exact")
+    out = rows.join(exact, ["feed", "key"], "left")
     found = []
-    for n in sorted(r[0] for r in subscriptions.select(F.length("symbol")).distinct().where(F.length("symbol").between(1, LONGEST_SYMBOL)).collect()):
+    for n in range(1, LONGEST_SYMBOL + 1):
         end, turn = f"_end{n}", f"_turn{n}"
-        by_end = subscriptions.where(F.length("symbol") == n).groupBy("feed", F.col("symbol").alias(end)).agg(F.min("ordinal").alias(turn))
-        out = out.withColumn(end, F.when(F.col("_exact").isNull(), F.right(F.col("key"), F.lit(n)))).join(by_end, ["feed", end], "left")
+        own = by_end.where(F.length("symbol") == n).select("feed", F.col("symbol").alias(end), F.col("ordinal").alias(turn))
+        out = out.withColumn(end, F.when(F.col("_exact").isNull(), F.right(F.col("key"), F.lit(n)))).join(own, ["feed", end], "left")
         found.append(F.when(F.col(turn).isNotNull(), F.struct(F.col(turn).alias("turn"), F.col(end).alias("symbol"))))
-    ending = F.array_min(F.array_compact(F.array(*found))).getField("symbol") if found else F.lit(None).cast("string")
-    return out.select(*rows.columns, F.coalesce(F.col("_exact"), ending).alias("symbol"))
-
-
-QUOTE = "struct<symbol:string,lastPrice:string,change:string,volume:string,timestamp:string>"
-HOLDING = "array<struct<symbol:string,currency:string,quantity:string,marketValue:struct<amount:string,profit:string>>>"
+    return out.select(*rows.columns, F.coalesce("_exact", F.array_min(F.array_compact(F.array(*found))).getField("symbol")).alias("symbol"))
+
+
+def listed_symbols(rows: DataFrame, listed: list) -> DataFrame:
+    """rows with the symbol of a short list of (feed, key, symbol, ordinal): exact ones
+    with a key, ordered ones without."""
+    by_feed: dict[str, tuple[dict, list]] = {}
+    for r in listed:
+        exact, ends = by_feed.setdefault(r["feed"], ({}, []))
+        if r["key"] is None:
+            ends.append((r["ordinal"], r["symbol"]))
+        else:
+            exact[r["key"]] = r["symbol"]
+    symbol = F.lit(None).cast("string")
+    for feed, (exact, ends) in sorted(by_feed.items(), key=lambda x: x[0] or ""):
+        whole = F.element_at(F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]), F.col("key")) if exact else F.lit(None).cast("string")
+        order = F.array(*[F.lit(s) for _, s in sorted(ends)]) if ends else F.array().cast("array<string>")
+        ending = F.get(F.filter(order, lambda s: F.endswith(F.col("key"), s)), F.lit(0))
+        symbol = F.when(F.col("feed") == feed, F.coalesce(whole, ending)).otherwise(symbol)
+    return rows.select(*rows.columns, symbol.alias("symbol"))
 
 
 def quotes(raw: DataFrame, payload: str, keep: list[str]) -> DataFrame:
