@@ -210,7 +210,9 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     fewer only if there are fewer candidates. Vectors that are null, zero, of
     another length than most, or hold null or non-finite components take no part,
     nor do rows without an id. Rows that repeat an id are candidates once, at
-    their nearest. No usable vector gives no rows. Other columns, of any names,
+    their nearest, and a query that stands at rows with different vectors is asked
+    with the least of them, component by component. Very long vectors are taken
+    whole. No usable vector gives no rows. Other columns, of any names,
     are ignored.
     """
     table = table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("is_query"))
@@ -229,7 +231,7 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     held = np.zeros(tree.leaves, np.int64)
     for r in index.select("leaf", "id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).collect():
         held[r["leaf"]] = r["n"]
-    queries = stage(index.where("is_query").groupBy("id").agg(F.first("v").alias("v")), "queries")
+    queries = stage(index.where("is_query").groupBy("id").agg(F.min("v").alias("v")), "queries")
     found = stage(met(index, queries, tree, tree.visits, held, k, d), "found")
     most = min(k, index.select("id").distinct().count() - 1)
     enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= most)

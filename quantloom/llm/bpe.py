@@ -355,7 +355,9 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", key: str =
     its ids decoded, with hashes of both.
 
     The ids are hashed as decimals joined by one space. Null and empty texts
-    have no tokens. One pass over the rows, no shuffle.
+    have no tokens. Very long texts are encoded whole, piece by piece. Rows that
+    repeat, or share a key, are returned each; an empty table gives no rows; other
+    columns, of any names, are ignored. One pass over the rows, no shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load(ranks_path)

@@ -66,8 +66,12 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             out = []
             for a, b in slices(at):
                 bucket, bounds = features(data[at[a] : at[b]], at[a : b + 1] - at[a], len(ratio))
-                total = np.concatenate([[0.0], np.cumsum(ratio[bucket])])
-                out.append(np.diff(total[bounds]))
+                # each row by itself: what stands in front of it in a batch leaves no trace
+                total = np.zeros(len(bounds) - 1)
+                some = np.diff(bounds) > 0
+                if some.any():
+                    total[some] = np.add.reduceat(ratio[bucket], bounds[:-1][some])
+                out.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0)), batch.column(2)], ["doc_id", "log_weight", "row"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))

@@ -107,23 +107,20 @@ def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, s
     """a, b, n: for each node of (node, copies, label, v) in each compared tile
     pair, a root that it is connected with there and how many vectors it links to
     for the first time. Over all rows, n counts each link once for either end."""
+    width = 1 + probes
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(3), d)
-            codes = cells(v / np.linalg.norm(v, axis=1)[:, None], tables, probes, scale, SEED)
-            n = len(v)
-            take = pa.array(np.tile(np.arange(n), tables * (1 + probes)))
-            table = np.repeat(np.arange(tables, dtype=np.int32), n * (1 + probes))
-            probe = np.tile(np.repeat(np.arange(1 + probes, dtype=np.int32), n), tables)
-            cell = codes[np.asarray(take), table, probe]
-            raw = codes.tobytes()
-            size = codes[0].nbytes if n else 0
-            packed = pa.array([raw[i * size : (i + 1) * size] for i in range(n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), packed.take(take), pa.array(table), pa.array((probe > 0).astype(np.int32)), pa.array(cell)], ["node", "copies", "label", "v", "codes", "t", "probe", "cell"])
+            codes = cells(v / np.linalg.norm(v, axis=1)[:, None], tables, probes, scale, SEED).reshape(len(v), tables * width)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * np.int32(tables * width)), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["node", "copies", "label", "v", "codes"])
 
     kind = dict(distinct.dtypes)
-    rows = map_arrow(distinct.select("node", "copies", "label", "v"), hashed, f"node long, copies long, label {kind['label']}, v {kind['v']}, codes binary, t int, probe int, cell int")
-    rows = rows.select("node", "copies", "v", "codes", "t", "probe", F.xxhash64("t", "cell", "label").alias("bucket"))
+    coded = stage(map_arrow(distinct.select("node", "copies", "label", "v"), hashed, f"node long, copies long, label {kind['label']}, v {kind['v']}, codes array<int>"), "codes")
+    # cells are dealt by node number; the vectors join once it is known which tiles meet
+    rows = coded.select("node", "label", F.posexplode("codes").alias("at", "cell")).select("node", F.floor(F.col("at") / width).cast("int").alias("t"), F.when(F.col("at") % width > 0, 1).otherwise(0).alias("probe"), "label", "cell")
+    rows = rows.select("node", "t", "probe", F.xxhash64("t", "cell", "label").alias("bucket"))
     # a cell without a home row compares nothing
     homes = rows.where("probe = 0").select("bucket").distinct()
     rows = stage(rows.join(homes, "bucket", "left_semi"), "cells")
@@ -131,7 +128,7 @@ def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
-            codes = np.frombuffer(b"".join(b.column(5).to_pylist()), np.int32).reshape(b.num_rows, tables, 1 + probes)
+            codes = b.column(5).flatten().to_numpy().reshape(b.num_rows, tables, width)
             return [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)] + [matrix(b.column(4), d), codes, b.column(6).to_numpy(), b.column(7).to_numpy()]
 
         for _, side, node, copies, v, codes, t, probe in runs(batches, arrays):
@@ -152,7 +149,8 @@ def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, s
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(node[label[out]]), pa.array(n[out])], ["a", "b", "n"])
 
-    return map_arrow(by_pair(paired.select("pair", "side", "node", "copies", "v", "codes", "t", "probe")), run, "a long, b long, n long")
+    whole = paired.select("pair", "side", "node", "t", "probe").join(coded.select("node", "copies", "v", "codes"), "node")
+    return map_arrow(by_pair(whole.select("pair", "side", "node", "copies", "v", "codes", "t", "probe")), run, "a long, b long, n long")
 
 
 def near_duplicates(table: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float | None = None) -> DataFrame:

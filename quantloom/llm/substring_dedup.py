@@ -107,7 +107,9 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 
     Words are runs of bytes other than space and \\t\\n\\v\\f\\r. Null and wordless
     texts have 0 words. Rows that share a doc_id are one document's: they are no
-    repeats of each other. A null doc_id counts as the smallest.
+    repeats of each other. A null doc_id counts as the smallest. Very long texts are
+    taken whole, in blocks. An empty table gives no rows; columns other than doc_id
+    and text are ignored.
     """
     joined = with_ranges(docs.select("doc_id", "text"), repeated_ranges(docs, **parameters))
 
