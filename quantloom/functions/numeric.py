@@ -37,3 +37,9 @@ def local_time(day: Column, time: Column, zone: str) -> Column:
 
 def mask(account: Column) -> Column:
     return F.concat(F.repeat(F.lit("*"), F.greatest(F.lit(0), F.length(account) - 4)), F.right(account, F.lit(4)))
+
+
+def number_of(value: Column) -> Column:
+    """A JSON number (as VARIANT) as a double; null for what is none, true, false and
+    texts that look like numbers among them."""
+    return F.when(F.rlike(F.to_json(value), F.lit(r"^-?\d")), F.try_variant_get(value, "$", "double"))

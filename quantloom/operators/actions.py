@@ -164,10 +164,59 @@ def reviewed_actions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told.where("reason is null").drop("reason").withColumn("symbol", F.upper("symbol")), told.where("reason is not null")
 
 
+#: Fixed names of the source and rule of actions that are mapped from filings.
+FILING_SOURCE, MAPPING_VERSION = "dart", "dart-corporate-action-2026.1"
+
+
+def positive(text: Column) -> Column:
+    """A number above 0 from text with commas, null if it is none."""
+    value = F.regexp_replace(F.trim(text), ",", "").try_cast("decimal(28,10)")
+    return F.when(value > 0, value)
+
+
+def seoul_day(text: Column) -> Column:
+    """The beginning of a day in Seoul, from yyyymmdd with or without dashes or dots."""
+    bare = F.regexp_replace(F.trim(text), "[-.]", "")
+    day = F.when(F.rlike(bare, F.lit(r"^\d{8}$")), F.try_to_timestamp(bare, F.lit("yyyyMMdd")).cast("date"))
+    zero = F.lit(0)
+    return F.make_timestamp_ltz(F.year(day), F.month(day), F.day(day), zero, zero, zero, F.lit("Asia/Seoul"))
+
+
+def mapped_actions(rows: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(actions, rejected rows with a reason) of reviewed filing rows (kind, symbol,
+    event_id, revision, known_at, effective_at, status, ratio, before, after,
+    decided, proportional), whose numbers and days are texts as filed.
+
+    A bonus_issue needs a ratio above 0; a capital_reduction needs evidence that all
+    shares are consolidated in proportion, and fewer shares after than before. The
+    day of the decision, a day in Seoul, may be blank but not broken. strict: the job
+    that reads the actions fails at the first row that is rejected.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    bonus, cut = F.col("kind") == "bonus_issue", F.col("kind") == "capital_reduction"
+    ratio, before, after = (positive(F.col(c)) for c in ("ratio", "before", "after"))
+    reason = (
+        F.when(~F.coalesce(bonus | cut, F.lit(False)), "kind").when(cut & ~F.coalesce("proportional", F.lit(False)), "proportional_consolidation").when(bonus & ratio.isNull(), "ratio")
+        .when(cut & (before.isNull() | after.isNull()), "outstanding_shares").when(cut & (after >= before), "no_reduction").when(~blank("decided") & seoul_day(F.col("decided")).isNull(), "decision_date")
+        .when(F.col("known_at").isNull() | F.col("effective_at").isNull(), "times").when(blank("symbol") | blank("event_id") | (F.coalesce(F.col("revision"), F.lit(0)) < 1), "identity")
+        .when(~F.coalesce(F.col("status").isin("announced", "confirmed", "cancelled"), F.lit(False)), "status")
+    )
+    told = rows.withColumn("reason", reason)
+    (bonus_price, bonus_volume), (cut_price, cut_volume) = bonus_factors(ratio.cast("decimal(20,10)")), reduction_factors(before, after)
+    sound = told.where(F.assert_true(F.col("reason").isNull(), F.concat(F.lit("rejected action: "), F.col("reason"))).isNull()) if strict else told.where("reason is null")
+    actions = sound.select(
+        F.upper(F.trim("symbol")).alias("symbol"), F.when(bonus, "stock_dividend").otherwise("reverse_split").alias("action_type"), "event_id", "revision", "effective_at", seoul_day(F.col("decided")).alias("announced_at"), "known_at",
+        F.when(bonus, bonus_price).otherwise(cut_price).alias("price_factor"), F.when(bonus, bonus_volume).otherwise(cut_volume).alias("volume_factor"), "status", F.lit(FILING_SOURCE).alias("source"), F.lit(MAPPING_VERSION).alias("rule_version"))
+    return actions, told.where("reason is not null")
+
+
 #: A fixed pattern of leading correction marks.
+CORRECTION_MARKS = r"^\s*(?:\[[^\]]*정정[^\]]*\]\s*)+"
+
+
 def normalized_title(title: Column) -> Column:
     """Without leading bracketed correction marks and white space, lower case."""
-    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s*(?:\[[^\]]*정정[^\]]*\]\s*)+", "")
+    bare = F.regexp_replace(F.coalesce(title, F.lit("")), CORRECTION_MARKS, "")
     return F.lower(F.regexp_replace(bare, r"\s+", ""))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -255,3 +257,21 @@ def joined_axes(symbols: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:
         else:
             out = out.withColumn(name, F.lit(None).cast("double"))
     return out
+
+
+def isolated_axes(symbols: DataFrame, loaders: dict[str, Callable[[], DataFrame]], keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """(joined_axes of what could be loaded, a status an axis): available,
+    unavailable where there is no loader, or the error of a loader that fails, when
+    its plan is made or when it runs. Each axis is written by a job of its own with
+    keep(frame, name), which reads it back, so a failure stays with its axis."""
+    axes, status = {}, {}
+    for name in AXES:
+        if name not in loaders:
+            status[name] = "unavailable"
+            continue
+        try:
+            axes[name] = keep(loaders[name]().select("symbol", F.col("score").cast("double").alias("score")), name)
+            status[name] = "available"
+        except Exception as e:  # whatever a source raises makes its axis unavailable
+            status[name] = f"failed: {type(e).__name__}"
+    return joined_axes(symbols, axes), status

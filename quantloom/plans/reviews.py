@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.operators import actions as A
 from quantloom.operators import approval as AP
+from quantloom.operators import bars as B
 from quantloom.operators import boosting as BO
 from quantloom.operators import history as H
 from quantloom.operators import latency as L
+from quantloom.operators import requests as R
 from quantloom.operators import scoring as S
 from quantloom.operators import text as X
 from quantloom.operators import verification as V
 from quantloom.operators.actions import candidates, revision_groups
 from quantloom.plans.registry import query
-from quantloom.sources import artifacts
+from quantloom.sources import artifacts, sinks
 from quantloom.sources import tables as T
 from quantloom.sources.shared import scratch
 
@@ -163,6 +166,86 @@ def counter_rates(spark, sf_dir):
 
 @query("gbt_by_symbol")
 def gbt_by_symbol(spark, sf_dir):
-    """A model a symbol on daily bars, tried in purged folds. No SQL: trees aren't
-    expressible; the tests hold them against trees grown plainly."""
-    return BO.predicted(S.features(T.daily(spark, sf_dir)), min_train=10, n_splits=2)
+    """A model a symbol on hourly bars, tried in three purged folds; ten trees each,
+    of the model's forty, since each is some jobs whatever the table. No SQL: trees
+    aren't expressible; the tests hold them against trees grown plainly."""
+    return BO.predicted(S.features(T.hourly(spark, sf_dir)), p=BO.Boosting(trees=10))
+
+
+@query("request_bounds", """SELECT o_orderkey AS id, CASE o_custkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN CASE WHEN o_orderkey % 400 BETWEEN 30 AND 365 THEN 'none' ELSE 'limit' END WHEN 2 THEN 'symbol,strategy' WHEN 3 THEN 'initial_capital,tax_rate' WHEN 4 THEN 'payload' ELSE 'fast_period,max_volume_participation' END AS errors,
+  CASE o_custkey % 6 WHEN 0 THEN 240 WHEN 1 THEN CASE WHEN o_orderkey % 400 BETWEEN 30 AND 365 THEN o_orderkey % 400 ELSE 0 END ELSE 0 END AS limit FROM orders""")
+def request_bounds(spark, sf_dir):
+    k, kind = F.col("o_orderkey"), F.col("o_custkey") % 6
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    payload = (
+        F.when(kind == 0, text('{"symbol": "S', k, '", "tax_rate": 0, "other": [1]}')).when(kind == 1, text('{"symbol": "S1", "limit": ', k % 400, "}")).when(kind == 2, text('{"symbol": "s', k, '", "strategy": "sell_all"}'))
+        .when(kind == 3, text('{"symbol": "S1", "initial_capital": 0, "tax_rate": 1}')).when(kind == 4, text('{"symbol": "S', k)).otherwise(text('{"symbol": "S1", "fast_period": true, "max_volume_participation": 1.', k, "}"))
+    )
+    found = R.checked(T.table(spark, sf_dir, "orders").select(k.alias("id"), payload.alias("payload")), "backtest")
+    return found.select("id", F.when(F.size("errors") > 0, F.array_join("errors", ",")).otherwise("none").alias("errors"), F.coalesce("request.limit", F.lit(0)).alias("limit"))
+
+
+@query("report_gate", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'report-compliance-metadata-missing' WHEN 2 THEN 'report-investment-advice-forbidden' WHEN 3 THEN 'report-reference-signal-invalid'
+  WHEN 4 THEN 'report-data-as-of-invalid' WHEN 5 THEN 'report-compliance-blocked' WHEN 6 THEN 'none' ELSE 'report-compliance-metadata-missing' END AS fault FROM pages""")
+def report_gate(spark, sf_dir):
+    """Reports with nested parts; a forbidden phrase deep inside blocks, one in a key
+    doesn't."""
+    k = F.col("page_id") % 8
+    part = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    body = F.concat_ws(
+        ", ", F.when(k != 1, part("disclaimer", F.lit('"for reference"'))), part("data_as_of", F.when(k == 4, F.lit("20260101")).otherwise(F.lit('"2026-01-01T00:00:00+00:00"'))), part("is_investment_advice", F.when(k == 2, F.lit("true")).when(k == 7, F.lit("null")).otherwise(F.lit("false"))),
+        part("reference_signal", F.when(k == 3, F.lit('"buy_now"')).otherwise(F.lit('"risk_aware"'))), part("parts", F.concat(F.lit('[{"strong buy": 1, "notes": ["a \\"quoted\\" note", {"deep": "'), F.when(k == 5, F.lit("you Must\\tSell")).otherwise(F.lit("held")), F.lit('"}]}]'))))
+    payload = F.concat(F.lit("{"), body, F.lit("}"))
+    return T.table(spark, sf_dir, "pages").select("page_id", F.coalesce(X.report_fault(payload), F.lit("none")).alias("fault"))
+
+
+@query("mapped_actions", """WITH r AS (SELECT o_orderkey AS k, o_custkey % 9 AS m, o_orderkey % 2 = 0 AS bonus, strftime(o_orderdate::DATE::TIMESTAMP - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS announced FROM orders),
+e AS (SELECT *, CASE WHEN m = 1 THEN 'kind' WHEN m = 2 AND NOT bonus THEN 'proportional_consolidation' WHEN m = 3 THEN CASE WHEN bonus THEN 'ratio' ELSE 'outstanding_shares' END WHEN m = 4 AND NOT bonus THEN 'no_reduction' WHEN m = 5 THEN 'decision_date' WHEN m = 6 THEN 'times' WHEN m = 7 THEN 'identity' WHEN m = 8 THEN 'status' END AS reason FROM r)
+SELECT k AS id, coalesce(reason, 'none') AS reason, CASE WHEN reason IS NULL THEN CASE WHEN bonus THEN 0.8 ELSE 1.25 END::DOUBLE END AS price_factor, CASE WHEN reason IS NULL AND m != 2 THEN announced END AS announced_at FROM e""")
+def mapped_actions(spark, sf_dir):
+    k, m = F.col("o_orderkey"), F.col("o_custkey") % 9
+    day = F.date_format("o_orderdate", "yyyy.MM.dd")
+    rows = T.table(spark, sf_dir, "orders").select(
+        F.when(m == 1, "other").when(k % 2 == 0, "bonus_issue").otherwise("capital_reduction").alias("kind"), F.concat(F.lit("s"), k.cast("string")).alias("symbol"), k.cast("string").alias("event_id"), F.when(m == 7, 0).otherwise(1).alias("revision"),
+        F.when(m != 6, F.col("o_orderdate").cast("timestamp")).alias("known_at"), F.col("o_orderdate").cast("timestamp").alias("effective_at"), F.when(m == 8, "odd").otherwise("confirmed").alias("status"), F.when(m == 3, "-").otherwise(" 0.25").alias("ratio"),
+        F.when(m == 3, "0").otherwise("1,000").alias("before"), F.when(m == 4, "1,000").otherwise("800").alias("after"), F.when(m == 5, "soon").when(m == 2, " ").otherwise(day).alias("decided"), (m != 2).alias("proportional"))
+    sound, bad = A.mapped_actions(rows, strict=False)
+    good = sound.select(F.col("event_id").cast("long").alias("id"), F.lit("none").alias("reason"), F.col("price_factor").cast("double").alias("price_factor"), T.stamp("announced_at").alias("announced_at"))
+    return good.unionByName(bad.select(F.col("event_id").cast("long").alias("id"), "reason"), allowMissingColumns=True)
+
+
+@query("guarded_bars", "WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, min(value) AS low FROM events GROUP BY 1, 2) SELECT symbol, count(*) AS bars, min(low) AS low FROM b GROUP BY 1")
+def guarded_bars(spark, sf_dir):
+    """Bars that pass the guards of prices and times; the guards run though no price
+    but the low is read."""
+    sound = B.require_sound(B.require_positive(T.hourly(spark, sf_dir)))
+    return sound.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("low").alias("low"))
+
+
+@query("snapshot_replace", "SELECT c_nationkey AS nation, count(*) AS rows, round(sum(CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE c_acctbal END), 2) AS total FROM customer GROUP BY 1")
+def snapshot_replace(spark, sf_dir):
+    """Holdings by nation stored whole; every third nation's are then replaced by
+    another snapshot, the others stay."""
+    root = scratch(spark, "snapshots")
+    rows = T.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("amount"), F.col("c_nationkey").alias("nation"))
+    sinks.replace_snapshot(rows, root, ["nation"])
+    sinks.replace_snapshot(rows.where("nation % 3 = 0").withColumn("amount", F.lit(1.0)), root, ["nation"])
+    return spark.read.parquet(root).groupBy("nation").agg(F.count("*").alias("rows"), F.round(F.sum("amount"), 2).alias("total")).select(F.col("nation").cast("int").alias("nation"), "rows", "total")
+
+
+@query("isolated_axes", "SELECT c_custkey AS symbol, round(c_acctbal, 2) AS technical, CASE WHEN c_custkey % 2 = 0 THEN 50.0 END AS news, 'available,unavailable,available,failed,unavailable,unavailable' AS status FROM customer")
+def isolated_axes(spark, sf_dir):
+    """Two axes that load, one that fails when it is planned, three without a loader."""
+    root = scratch(spark, "axes")
+    customer = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_acctbal").cast("double").alias("score"))
+
+    def keep(df, name):
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    loaders = {
+        "technical": lambda: customer, "news": lambda: customer.where("symbol % 2 = 0").withColumn("score", F.lit(50.0)),
+        "disclosure": lambda: customer.select("no_such_column")}
+    found, status = S.isolated_axes(customer.select("symbol"), loaders, keep)
+    told = ",".join(s.split(":")[0] for s in status.values())
+    return found.select("symbol", F.round("technical", 2).alias("technical"), "news", F.lit(told).alias("status"))
