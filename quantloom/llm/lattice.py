@@ -21,6 +21,8 @@ REACH = 0.53  # of a pair at the threshold, in lattice units; the lattice's poin
 TILE = 1_024
 PAIRS = 1 << 15  # verified together, so that a tile of near copies takes little memory
 SEED = 11
+MOST_A_LABEL, MANY = 1 << 18, 1 << 7  # different vectors of a label from which cells are of two blocks, and of three
+PLANS = {1: (TABLES, PROBES), 2: (10, 2), 3: (16, 2)}  # tables and probes, by blocks, that find 0.999 of the pairs at the threshold
 
 
 def cell_scale(d: int, least: float) -> float:
@@ -54,29 +56,52 @@ def neighbours() -> np.ndarray:
     return np.array(whole + half)
 
 
-def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
-    """(rows, tables, 1 + probes): numbers of each row's home cell in each table
-    and of the neighbouring cells nearest to it."""
+def planes(d: int, tables: int, blocks: int, seed: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """By table, for each block of it, 8 orthonormal directions of the space (fewer,
+    if it has fewer) and a shift. Blocks of a table are orthogonal to each other."""
     rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(tables):
+        whole = np.linalg.qr(rng.standard_normal((d, min(8 * blocks, d))))[0]
+        out.append([(whole[:, 8 * b : 8 * b + 8], rng.random(8) * 2) for b in range(blocks)])
+    return out
+
+
+def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int, blocks: int = 1) -> np.ndarray:
+    """(rows, tables, (1 + probes) ** blocks): numbers of each row's home cell in each
+    table and of the neighbouring cells nearest to it. A cell is a lattice point in
+    each of a table's blocks; the home cell is home in all of them."""
     around = neighbours()
-    out = np.zeros((len(unit), tables, 1 + probes), np.int32)
+    width = 1 + probes
+    out = np.zeros((len(unit), tables, width**blocks), np.int32)
     weights = mix(np.arange(1, 9, dtype=np.uint64))
-    for t in range(tables):
-        # 8 orthonormal directions of the space (fewer, if it has fewer)
-        plane = np.linalg.qr(rng.standard_normal((unit.shape[1], min(8, unit.shape[1]))))[0]
-        y = np.zeros((len(unit), 8))
-        y[:, : plane.shape[1]] = unit @ plane / scale
-        y += rng.random(8) * 2
-        home = decode(y)
-        off = y - home
-        # distance to home + n is least where off . n is greatest
-        order = np.argpartition(-(off @ around.T), probes, axis=1)[:, :probes] if probes else np.zeros((len(unit), 0), np.int64)
-        points = np.concatenate([home[:, None], home[:, None] + around[order]], axis=1)
-        number = mix(((points * 2).astype(np.int64).view(np.uint64) * weights).sum(2) + np.uint64(t))
+    for t, parts in enumerate(planes(unit.shape[1], tables, blocks, seed)):
+        number = np.full((len(unit), 1), t, np.uint64)
+        for plane, shift in parts:
+            y = np.zeros((len(unit), 8))
+            y[:, : plane.shape[1]] = unit @ plane / scale
+            y += shift
+            home = decode(y)
+            off = y - home
+            # distance to home + n is least where off . n is greatest
+            order = np.argpartition(-(off @ around.T), probes, axis=1)[:, :probes] if probes else np.zeros((len(unit), 0), np.int64)
+            points = np.concatenate([home[:, None], home[:, None] + around[order]], axis=1)
+            own = ((points * 2).astype(np.int64).view(np.uint64) * weights).sum(2)
+            number = mix((number[:, :, None] + own[:, None]).reshape(len(unit), -1))
         out[:, t] = (number >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
+def blocks_for(most: int, d: int) -> int:
+    """How many lattice points make a cell where a label has `most` different
+    vectors. Each more block divides what meets by chance by a hundred or so, and
+    multiplies the cells by four: worth it once a cell holds far more than a tile."""
+    blocks = 1
+    while blocks < d // 8 and most > MOST_A_LABEL * MANY ** (blocks - 1) and blocks < 3:
+        blocks += 1
+    return blocks
+
+
 def met_before(codes_a: np.ndarray, codes_b: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether a pair meets in a table before the given one."""
     either = (codes_a == codes_b[:, :, :1]).any(2) | (codes_b == codes_a[:, :, :1]).any(2)
@@ -103,16 +128,16 @@ def first_met(p: np.ndarray, q: np.ndarray, node: np.ndarray, v: np.ndarray, cod
     return p[here], q[here]
 
 
-def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, scale: float, tile_rows: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, scale: float, blocks: int = 1, tile_rows: int = TILE) -> DataFrame:
     """a, b, n: for each node of (node, copies, label, v) in each compared tile
     pair, a root that it is connected with there and how many vectors it links to
     for the first time. Over all rows, n counts each link once for either end."""
-    width = 1 + probes
+    width = (1 + probes) ** blocks
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(3), d)
-            codes = cells(v / np.linalg.norm(v, axis=1)[:, None], tables, probes, scale, SEED).reshape(len(v), tables * width)
+            codes = cells(v / np.linalg.norm(v, axis=1)[:, None], tables, probes, scale, SEED, blocks).reshape(len(v), tables * width)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * np.int32(tables * width)), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["node", "copies", "label", "v", "codes"])
 
@@ -153,14 +178,16 @@ def links(distinct: DataFrame, d: int, least: float, tables: int, probes: int, s
     return map_arrow(by_pair(whole.select("pair", "side", "node", "copies", "v", "codes", "t", "probe")), run, "a long, b long, n long")
 
 
-def near_duplicates(table: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float | None = None) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = COSINE, blocks: int | None = None, scale: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row a vector.
 
     Vectors with equal labels link at a cosine of `least` or more. Equal vectors
     of a label are one class, so copies are never paired; each class is hashed
     to its home cell and the nearest neighbouring cells in each table, and what
     meets in a cell is verified. A pair counts in the first table in which it
-    meets. scale: the lattice's unit, from dimension and cosine, if not given.
+    meets. blocks: lattice points to a cell, from how many different vectors a label
+    has, if not given; scale: the lattice's unit, from dimension and cosine. Both
+    change the work and not what counts as a link.
     Rows with a null label, and vectors that are null, zero, of another length
     than most, or hold null or non-finite components, link with nothing. Rows
     that repeat a vec_id are vectors of their own, since classes, not ids, are the
@@ -174,7 +201,11 @@ def near_duplicates(table: DataFrame, least: float = COSINE, tables: int = TABLE
     rows = named.where(able)
     classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     distinct = stage(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written, so a node keeps its number
-    found = stage(links(distinct, d, least, tables, probes, cell_scale(d, least) if scale is None else scale), "links")
+    if blocks is None:
+        most = distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+        blocks = blocks_for(most, d)
+    tables, probes = PLANS[blocks]
+    found = stage(links(distinct, d, least, tables, probes, cell_scale(d, least) if scale is None else scale, blocks), "links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     of = distinct.join(counts, "node", "left").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = stage(of.select("label", "v", "first", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")

@@ -156,20 +156,26 @@ def test_lattice_ids_that_repeat(spark):
     assert got == sorted([(3, 1, 3, True), (9, 1, 7, False), (7, 1, 3, False), (7, 1, 7, True), (MOST, 0, MOST, True), (MOST, 0, MOST, True), (1, 0, 1, True)])
 
 
-@pytest.mark.parametrize("d", [2, 8, 12, 16, 24, 64, 384])
-def test_lattice_recall_at_the_threshold(d):
+@pytest.mark.parametrize("d,blocks", [(2, 1), (8, 1), (12, 1), (16, 1), (24, 1), (64, 1), (384, 1), (16, 2), (64, 2), (384, 2), (24, 3), (64, 3)])
+def test_lattice_recall_at_the_threshold(d, blocks):
     """Of pairs at cosine 0.93 and 0.95, how many meet in a cell."""
     rng = np.random.default_rng(1)
+    tables, probes = lattice.PLANS[blocks]
     for cosine in (0.93, 0.95):
         a, b = (rng.standard_normal((800, d)) for _ in range(2))
         a /= np.linalg.norm(a, axis=1)[:, None]
         b -= (a * b).sum(1)[:, None] * a
         b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1)[:, None]
-        x, y = (lattice.cells(v, lattice.TABLES, lattice.PROBES, lattice.cell_scale(d, 0.93), lattice.SEED) for v in (a, b))
+        x, y = (lattice.cells(v, tables, probes, lattice.cell_scale(d, 0.93), lattice.SEED, blocks) for v in (a, b))
         met = ((x == y[:, :, :1]).any(2) | (y == x[:, :, :1]).any(2)).any(1)
         assert met.mean() >= 0.99
 
 
+def test_blocks_grow_with_a_label():
+    assert [lattice.blocks_for(n, 64) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 25, (1 << 25) + 1, 1 << 40)] == [1, 1, 2, 2, 3, 3]
+    assert [lattice.blocks_for(1 << 40, d) for d in (2, 8, 15, 16, 24)] == [1, 1, 1, 2, 3]
+
+
 def test_tree_gives_as_many_as_there_are(spark):
     """Tight clusters of copies calibrate to one leaf; each query still gets its
     neighbours, also where a few ids repeat."""

@@ -55,10 +55,11 @@ def test_tree_search_tiles(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("tile_rows", [1024, 8])
-def test_lattice(spark, monkeypatch, tile_rows):
-    monkeypatch.setattr(lattice.links, "__defaults__", (tile_rows,))
-    rows, odd = table()
+@pytest.mark.parametrize("tile_rows,blocks", [(1024, 1), (8, 1), (1024, 2), (8, 2), (64, 3)])
+def test_lattice(spark, monkeypatch, tile_rows, blocks):
+    monkeypatch.setattr(lattice.links, "__defaults__", (blocks, tile_rows))
+    monkeypatch.setattr(lattice, "blocks_for", lambda most, d: blocks)
+    rows, odd = table(d=24 if blocks == 3 else 16)
     got = lattice.near_duplicates(frame(spark, rows + odd)).collect()
     assert len(got) == len(rows) + len(odd)
     able = rows + [odd[8]]
