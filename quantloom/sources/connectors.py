@@ -1,10 +1,10 @@
-"""Python data sources: a seeded mock feed, a feed read page by page backwards,
-and a polled stream. One partition a symbol, so symbols are read in parallel."""
+"""Python data sources: a seeded mock feed, one partition a symbol, and a polled
+stream. Feeds that page are in `pages`, recorded push feeds in `frames`."""
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 from pyspark.sql import SparkSession
@@ -60,49 +60,6 @@ class MockBarsReader(DataSourceReader):
         yield from walk(partition.value, self.count, self.start)
 
 
-def paged(fetch: Callable[[str, str | None], dict], symbol: str, limit: int) -> list[tuple]:
-    """The last `limit` rows of a feed that pages backwards: pages until the
-    cursor is empty or repeats, then in time order. fetch gives rows and next."""
-    rows: dict = {}
-    cursor, seen = None, set()
-    while len(rows) < limit:
-        page = fetch(symbol, cursor)
-        rows |= {r[1]: r for r in page["rows"]}
-        cursor = page.get("next")
-        if not page["rows"] or not cursor or cursor in seen:
-            break
-        seen.add(cursor)
-    return [rows[t] for t in sorted(rows)][-limit:]
-
-
-def paged_bars(fetch: Callable[[str, str | None], dict], source_name: str) -> type[DataSource]:
-    """A source of paged feeds. Options: symbols, limit."""
-
-    class Reader(DataSourceReader):
-        def __init__(self, options):
-            self.symbols = [s for s in options.get("symbols", "").split(",") if s]
-            self.limit = int(options.get("limit", "200"))
-
-        def partitions(self):
-            return [Symbol(s) for s in self.symbols]
-
-        def read(self, partition):
-            yield from paged(fetch, partition.value, self.limit)
-
-    class Paged(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return source_name
-
-        def schema(self) -> str:
-            return BARS
-
-        def reader(self, schema):
-            return Reader(self.options)
-
-    return Paged
-
-
 class PolledTicks(DataSource):
     """Each poll gives one tick a symbol. Options: symbols, polls (of one batch)."""
 
