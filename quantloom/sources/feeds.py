@@ -19,25 +19,31 @@ MOST_LISTED = 500  # subscriptions that a plan carries along; a feed takes 40
 
 
 def frames(raw: DataFrame, frame: str = "frame") -> DataFrame:
-    """raw with feed, count, fields and error: null where the frame is sound."""
-    parts = F.split(F.col(frame), r"\|", 4)
-    cell = lambda i: F.get(parts, F.lit(i))
+    """raw with feed, count, fields and error: null where the frame is sound.
+
+    What a frame is split into comes out of a generator, below which no condition is
+    pushed: a frame is made and split once, however many columns and conditions use
+    its parts.
+    """
+    whole = F.split(F.col(frame), r"\|", 4)
+    parts = raw.select("*", F.inline(F.array(F.struct(whole.alias("_parts")))))
+    cell = lambda i: F.get("_parts", F.lit(i))
     width = F.when(cell(1) == DOMESTIC, LAYOUTS[DOMESTIC][0]).when(cell(1) == OVERSEAS, LAYOUTS[OVERSEAS][0])
-    df = raw.select("*", cell(1).alias("feed"), cell(2).try_cast("int").alias("count"), F.split(cell(3), r"\^").alias("fields"), width.alias("width"), F.size(parts).alias("_n"), cell(0).alias("_mark"))
-    ignored = (F.col("_n") < 4) | ~F.col("_mark").isin("0", "1") | F.col("width").isNull()
+    df = parts.select("*", F.inline(F.array(F.struct(cell(1).alias("feed"), cell(2).try_cast("int").alias("count"), F.split(cell(3), r"\^").alias("fields"), width.alias("width")))))
+    ignored = (F.size("_parts") < 4) | ~cell(0).isin("0", "1") | F.col("width").isNull()
     error = F.when(ignored, "ignored").when(F.col("count").isNull(), "record count").when((F.col("count") < 1) | (F.size("fields") < F.col("count") * F.col("width")), "too few fields")
-    return df.withColumn("error", error).drop("_n", "_mark")
+    return df.withColumn("error", error).drop("_parts")
 
 
 def ticks(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """One row a record of the sound frames: key, price, change, percent, volume, as_of."""
     sound = parsed.where("error is null").withColumn("record", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-    v = F.slice("fields", F.col("record") * F.col("width") + 1, F.col("width"))
+    own = F.slice("fields", F.col("record") * F.col("width") + 1, F.col("width"))
+    df = sound.select("*", F.inline(F.array(F.struct(own.alias("v")))))
 
     def at(name: str) -> Column:
         return F.when(F.col("feed") == DOMESTIC, F.get(F.col("v"), F.lit(LAYOUTS[DOMESTIC][2][name]))).otherwise(F.get(F.col("v"), F.lit(LAYOUTS[OVERSEAS][2][name])))
 
-    df = sound.withColumn("v", v)
     as_of = F.when(F.col("feed") == DOMESTIC, local_time(at("day"), at("time"), LAYOUTS[DOMESTIC][1])).otherwise(local_time(at("day"), at("time"), LAYOUTS[OVERSEAS][1]))
     return df.select(*keep, "feed", "record", F.get("v", F.lit(0)).alias("key"), F.trim(at("price")).try_cast("decimal(24,6)").alias("price"), signed(at("change"), at("sign")).alias("change"), signed(at("percent"), at("sign")).alias("percent"), F.trim(at("volume")).try_cast("decimal(24,6)").cast("bigint").alias("volume"), as_of.alias("as_of"))
 
