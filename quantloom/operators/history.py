@@ -82,6 +82,30 @@ def insert_run(runs: DataFrame, results: DataFrame, key: str) -> tuple[DataFrame
     return runs.join(results.select(key), key, "left_semi"), results.join(runs.select(key), key, "left_semi")
 
 
+#: The most points of a run: the fixed bound of what a request may ask for.
+MOST_POINTS = 365
+
+
+def result_payloads(metrics: DataFrame, parts: dict[str, DataFrame], keys: list[str], order: list[str], most: int = MOST_POINTS) -> DataFrame:
+    """keys, metrics and a column a part: the result of each run as JSON, decimals as
+    texts. A part's rows are listed by `order`; one without rows is an empty list.
+
+    A run has at most `most` rows a part, which is counted before they are gathered:
+    a longer one fails the job, since a cut list would hide some.
+    """
+    def plain(df: DataFrame) -> Column:
+        return F.struct(*[F.col(c).cast("string").alias(c) if t.startswith(("decimal", "timestamp", "date")) else F.col(c) for c, t in df.dtypes if c not in keys])
+
+    out = metrics.select(*keys, F.to_json(plain(metrics)).alias("metrics"))
+    for name, part in parts.items():
+        sizes = part.groupBy(*keys).agg(F.count("*").alias("_n"))
+        sized = part.join(sizes, keys).where(F.assert_true(F.col("_n") <= most, f"more than {most} rows of {name}").isNull())
+        rows = F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(order)], plain(part).alias("row"))
+        listed = sized.groupBy(*keys).agg(F.to_json(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["row"])).alias(name))
+        out = out.join(listed, keys, "left").withColumn(name, F.coalesce(name, F.lit("[]")))
+    return out
+
+
 def severity_counts(logs: DataFrame) -> DataFrame:
     return logs.groupBy("symbol").agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 

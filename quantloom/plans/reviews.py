@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import actions as A
 from quantloom.operators import approval as AP
+from quantloom.operators import backtest as K
 from quantloom.operators import bars as B
 from quantloom.operators import boosting as BO
 from quantloom.operators import history as H
@@ -233,6 +234,23 @@ def snapshot_replace(spark, sf_dir):
     return spark.read.parquet(root).groupBy("nation").agg(F.count("*").alias("rows"), F.round(F.sum("amount"), 2).alias("total")).select(F.col("nation").cast("int").alias("nation"), "rows", "total")
 
 
+RUN = "WITH b AS (SELECT event_type AS symbol, date_trunc('day', ts) AS ts FROM events GROUP BY event_type, date_trunc('day', ts))"
+
+
+@query("run_payloads", f"""{RUN} SELECT symbol, count(*) AS points, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, 2 AS trades, 'buy' AS first_side, TRUE AS has_return FROM b GROUP BY symbol""")
+def run_payloads(spark, sf_dir):
+    """Runs of a strategy with their curves and trades as JSON, read back from it."""
+    config = K.Config()
+    curve = K.vectorized(K.buy_and_hold(T.daily(spark, sf_dir)), config)
+    made = K.trades(curve, config)
+    points = curve.select("symbol", "ts", "equity", "daily_return", "position")
+    stored = H.result_payloads(K.metrics(curve, made, config), {"equity_curve": points, "trades": made}, ["symbol"], ["ts"])
+    lists = {c: F.from_json(c, f"array<struct<{kinds}>>") for c, kinds in (("equity_curve", "ts:string,equity:double"), ("trades", "ts:string,side:string"))}
+    read = stored.select("symbol", F.from_json("metrics", "total_return double").alias("m"), *[x.alias(c) for c, x in lists.items()])
+    return read.select(
+        "symbol", F.size("equity_curve").cast("long").alias("points"), F.col("equity_curve")[0]["ts"].alias("first_ts"), F.size("trades").alias("trades"), F.col("trades")[0]["side"].alias("first_side"), F.col("m.total_return").isNotNull().alias("has_return"))
+
+
 @query("isolated_axes", "SELECT c_custkey AS symbol, round(c_acctbal, 2) AS technical, CASE WHEN c_custkey % 2 = 0 THEN 50.0 END AS news, 'available,unavailable,available,failed,unavailable,unavailable' AS status FROM customer")
 def isolated_axes(spark, sf_dir):
     """Two axes that load, one that fails when it is planned, three without a loader."""

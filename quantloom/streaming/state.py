@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quantloom.operators.guards import SYMBOL
+from quantloom.sources.shared import ship
 from quantloom.streaming.quotes import TTL_SECONDS
 
 #: Fixed caps of a hub.
@@ -66,6 +67,7 @@ def cached(quotes: DataFrame, lookups: DataFrame, ttl_seconds: float = TTL_SECON
     that falls silent costs nothing afterwards. Of what comes in one batch, quotes
     stand before lookups. Null requests are quotes; null prices are held as they are.
     """
+    ship(quotes.sparkSession)
     told = quotes.select(F.upper("symbol").alias("symbol"), F.lit(None).cast("string").alias("request"), "ts", "seq", F.col("price").cast("double").alias("price"))
     none = lambda kind: F.lit(None).cast(kind)
     asked = lookups.where("request is not null").select(F.upper("symbol").alias("symbol"), F.col("request").cast("string").alias("request"), none("timestamp_ntz").alias("ts"), none("long").alias("seq"), none("double").alias("price"))
@@ -133,6 +135,7 @@ def expiry_stream(quotes: DataFrame, ttl_seconds: float = TTL_SECONDS, late: str
     however often they are replayed. Quotes later than `late` are dropped; state
     holds a symbol's quotes of the last ttl_seconds and `late`.
     """
+    ship(quotes.sparkSession)
     source = instants(quotes).select("symbol", "at", "seq", F.col("price").cast("double").alias("price"), F.timestamp_micros("at").alias("event")).withWatermark("event", late)
     found = source.groupBy("symbol").transformWithStateInPandas(Expiry(ttl_seconds), "symbol string, at long, price double", "append", "eventTime")
     return told(found, ttl_seconds)
@@ -240,6 +243,7 @@ def registry_stream(events: DataFrame, most_symbols: int = MOST_SYMBOLS, most_co
     state of a hub is a row a connection. In a batch a hub's events are applied
     by seq.
     """
+    ship(events.sparkSession)
     source = requests(events).withWatermark("event", late)
     return source.groupBy("hub").transformWithStateInPandas(Registry(most_symbols, most_connections, keep_seconds), REGISTERED, "append", "eventTime")
 
@@ -295,6 +299,7 @@ def delivered(quotes: DataFrame, changes: DataFrame, ttl_seconds: float = TTL_SE
     The state of a symbol is a row a hub and one quote. In a batch a symbol's rows
     are taken by time, changes before quotes.
     """
+    ship(quotes.sparkSession)
     none = lambda kind: F.lit(None).cast(kind)
     told = quotes.select("symbol", none("string").alias("hub"), none("boolean").alias("wants"), F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", F.col("price").cast("double").alias("price"))
     asked = changes.select("symbol", "hub", "wants", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("seq"), none("double").alias("price"))

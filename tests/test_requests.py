@@ -105,3 +105,16 @@ def test_an_axis_that_fails_when_it_runs_is_missing_alone(spark, tmp_path):
 def test_numbers_of_json(spark):
     df = spark.createDataFrame([("1",), ("-2.5",), ("true",), ('"3"',), ("null",), ("[1]",), ("1e3",)], "j string")
     assert [r[0] for r in df.select(N.number_of(F.parse_json("j"))).collect()] == [1.0, -2.5, None, None, None, None, 1000.0]
+
+
+def test_results_as_json(spark):
+    from decimal import Decimal
+
+    from quantloom.operators import history as H
+
+    metrics = spark.createDataFrame([("a", Decimal("1.50"), 0.5), ("b", None, None)], "run string, total decimal(10,2), rate double")
+    curve = spark.createDataFrame([("a", 2, 20.0), ("a", 1, 10.0), ("c", 1, 1.0)], "run string, at int, equity double")
+    got = {r.run: (json.loads(r.metrics), json.loads(r.curve)) for r in H.result_payloads(metrics, {"curve": curve}, ["run"], ["at"]).collect()}
+    assert got == {"a": ({"total": "1.50", "rate": 0.5}, [{"at": 1, "equity": 10.0}, {"at": 2, "equity": 20.0}]), "b": ({}, [])}
+    with pytest.raises(Exception, match="more than 1 rows of curve"):
+        H.result_payloads(metrics, {"curve": curve}, ["run"], ["at"], 1).collect()
