@@ -76,12 +76,15 @@ def require_sound(bars: DataFrame) -> DataFrame:
     return guarded(bars, (F.col("high") >= F.col("low")) & F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high")), "invalid OHLC bar")
 
 
+def require_unique(bars: DataFrame) -> DataFrame:
+    """Fails the job where a symbol has a time twice."""
+    seen = bars.withColumn("_before", F.lag("ts").over(W.partitionBy("symbol").orderBy("ts")))
+    return guarded(seen, F.coalesce(F.col("ts") > F.col("_before"), F.lit(True)), "times must be unique").drop("_before")
+
+
 def require_positive(bars: DataFrame) -> DataFrame:
     """Fails the job at a price of 0 or less, and where a symbol has a time twice."""
-    w = W.partitionBy("symbol").orderBy("ts")
-    positive = F.least("open", "high", "low", "close") > 0
-    seen = bars.withColumn("_before", F.lag("ts").over(w))
-    return guarded(guarded(seen, positive, "prices must be positive"), F.coalesce(F.col("ts") > F.col("_before"), F.lit(True)), "times must be unique").drop("_before")
+    return require_unique(guarded(bars, F.least("open", "high", "low", "close") > 0, "prices must be positive"))
 
 
 def resample(bars: DataFrame, interval: str) -> DataFrame:

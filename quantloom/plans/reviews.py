@@ -217,9 +217,10 @@ def mapped_actions(spark, sf_dir):
 
 @query("guarded_bars", "WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, min(value) AS low FROM events GROUP BY 1, 2) SELECT symbol, count(*) AS bars, min(low) AS low FROM b GROUP BY 1")
 def guarded_bars(spark, sf_dir):
-    """Bars that pass the guards of prices and times; the guards run though no price
-    but the low is read."""
-    sound = B.require_sound(B.require_positive(T.hourly(spark, sf_dir)))
+    """Bars that pass the guards of their ranges and times; the guards run though no
+    price but the low is read. Values of events may be 0 or less, so the guard of
+    positive prices, which an order needs, isn't for them."""
+    sound = B.require_sound(B.require_unique(T.hourly(spark, sf_dir)))
     return sound.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("low").alias("low"))
 
 
