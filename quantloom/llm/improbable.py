@@ -110,7 +110,8 @@ def selected(data: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
         fit = (spot + WINDOW <= end) & (rarity >= 0)
         key = np.where(fit, (rarity << 40) + np.arange(len(level)), FAR)
         reach = 1
-        while reach < REACH:
+        # fewer features than a run: each sees as far as there are some
+        while reach < min(REACH, len(key)):
             key[: len(key) - reach] = np.minimum(key[: len(key) - reach], key[reach:])
             reach *= 2
         # a run lies in one row; a row of fewer features has one run, from its start

@@ -181,6 +181,18 @@ def test_features_by_brute_force(monkeypatch, block):
     assert improbable.selected(data, at, rank).tolist() == want
 
 
+@pytest.mark.parametrize("block", [1 << 18, 97])
+def test_features_of_few_bytes_in_all(monkeypatch, block):
+    monkeypatch.setattr(improbable, "BLOCK", block)
+    rng = random.Random(4)
+    for n in range(130):
+        text = bytes(rng.choices(range(97, 115), k=n))
+        data, at = laid([text[: n // 3], text[n // 3 :]])
+        rank = improbable.ranks(improbable.level_counts(data, at))
+        want = [int(a) + i for a, t in zip(at, (text[: n // 3], text[n // 3 :])) for i in plain_features(t, rank)]
+        assert improbable.selected(data, at, rank).tolist() == want
+
+
 def test_levels_are_entropies():
     data = np.frombuffer(random.Random(2).randbytes(300) + b"a" * 50, np.uint8)
     for s, level in enumerate(improbable.levels(data)):
