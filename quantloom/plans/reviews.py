@@ -180,7 +180,7 @@ def request_bounds(spark, sf_dir):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     payload = (
         F.when(kind == 0, text('{"symbol": "S', k, '", "tax_rate": 0, "other": [1]}')).when(kind == 1, text('{"symbol": "S1", "limit": ', k % 400, "}")).when(kind == 2, text('{"symbol": "s', k, '", "strategy": "sell_all"}'))
-        .when(kind == 3, text('{"symbol": "S1", "initial_capital": 0, "tax_rate": 1}')).when(kind == 4, text('{"symbol": "S', k)).otherwise(text('{"symbol": "S1", "fast_period": true, "max_volume_participation": 1.', k, "}"))
+        .when(kind == 3, text('{"symbol": "S1", "initial_capital": 0, "tax_rate": 1}')).when(kind == 4, text('{"symbol": "S', k)).otherwise(text('{"symbol": "S1", "fast_period": true, "max_volume_participation": 1.', k, "1}"))
     )
     found = R.checked(T.table(spark, sf_dir, "orders").select(k.alias("id"), payload.alias("payload")), "backtest")
     return found.select("id", F.when(F.size("errors") > 0, F.array_join("errors", ",")).otherwise("none").alias("errors"), F.coalesce("request.limit", F.lit(0)).alias("limit"))

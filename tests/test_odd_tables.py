@@ -30,3 +30,9 @@ def held(spark, tmp_path):
 def test_guarded_bars_of_values_not_above_zero(held):
     got = held("guarded_bars", events=f"SELECT * REPLACE (CASE event_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN -value ELSE value END AS value) FROM '{SF}/events.parquet'")
     assert min(r.low for r in got) < 0
+
+
+def test_request_bounds_of_order_zero(held):
+    # beyond the bound by the key's digits alone, 0 wasn't
+    got = held("request_bounds", orders=f"SELECT * REPLACE (i * 10 AS o_orderkey, c AS o_custkey) FROM (SELECT * FROM '{SF}/orders.parquet' LIMIT 1), range(50) r(i), range(5, 12) s(c)")
+    assert "fast_period,max_volume_participation" in {r.errors for r in got if r.id == 0}
