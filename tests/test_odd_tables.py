@@ -36,3 +36,10 @@ def test_request_bounds_of_order_zero(held):
     # beyond the bound by the key's digits alone, 0 wasn't
     got = held("request_bounds", orders=f"SELECT * REPLACE (i * 10 AS o_orderkey, c AS o_custkey) FROM (SELECT * FROM '{SF}/orders.parquet' LIMIT 1), range(50) r(i), range(5, 12) s(c)")
     assert "fast_period,max_volume_participation" in {r.errors for r in got if r.id == 0}
+
+
+def test_compliance_scan_beside_letters_beyond_ascii(held):
+    said = ["ébuy", "buyé", "\u0301buy", "매수sell", "sell을", "x\u017fell", "\u017fell", "\u017ftrong buy", "mu\u017ft sell", "must\u000bsell", "must\u00a0sell", "strong\u0085buy", "_buy", "buy_", "buy1", "BUY\u200d", "사야\u000b합니다", "팔아야 \n해요", "bu\u212ay", "", "자매수"]
+    rows = " UNION ALL ".join(f"SELECT {4 + 5 * k}::BIGINT, '{t}'" for k, t in enumerate(said))
+    got = held("compliance_scan", documents=f"SELECT * FROM ({rows} UNION ALL SELECT 1004, NULL UNION ALL SELECT 1005, NULL) t(doc_id, text)")
+    assert len({r.pattern for r in got}) > 4
