@@ -3,7 +3,7 @@ candidate factors, revision groups."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 from decimal import ROUND_HALF_UP, Context, Decimal
 
@@ -120,17 +120,20 @@ def reduction_factors(before: Column, after: Column) -> tuple[Column, Column]:
 CORRECTED, LATER, WITHDRAWN = "정정", "정", "철"
 
 
-def candidates(rows: DataFrame, filings: DataFrame, limit: int | None = None) -> DataFrame:
+def candidates(rows: DataFrame, filings: DataFrame, limit: int | None = None, by: Sequence[str] = ("receipt_no",)) -> DataFrame:
     """Candidate actions from decision rows (symbol, kind, receipt_no, ratio,
     before, after, decision_date, record_date) and filings (receipt_no,
     report_name, remarks), newest first, with factors, hints and warnings.
 
     kind is bonus_issue or capital_reduction. A receipt number is 14 digits that
     start with the day; any other fails the job. limit: more candidates of a
-    symbol than that fail it too, since a cut list would hide some.
+    symbol than that fail it too, since a cut list would hide some. by: the columns
+    of both that name a filing, where receipt numbers come more than once; they come
+    out, and settle the order of one symbol's equal numbers, the largest first.
     """
-    meta = filings.groupBy("receipt_no").agg(F.first("report_name").alias("report_name"), F.first("remarks").alias("remarks"))
-    df = rows.join(meta, "receipt_no", "left")
+    more = [c for c in by if c != "receipt_no"]
+    meta = filings.groupBy(*by).agg(F.first("report_name").alias("report_name"), F.first("remarks").alias("remarks"))
+    df = rows.join(meta, list(by), "left")
     sound = F.rlike("receipt_no", F.lit(r"^\d{14}$")) & F.try_to_timestamp(F.substring("receipt_no", 1, 8), F.lit("yyyyMMdd")).isNotNull()
     filed = F.when(sound, F.to_date(F.substring("receipt_no", 1, 8), "yyyyMMdd")).otherwise(F.raise_error(F.lit("invalid receipt number")).cast("date"))
     bonus = F.col("kind") == "bonus_issue"
@@ -143,9 +146,9 @@ def candidates(rows: DataFrame, filings: DataFrame, limit: int | None = None) ->
         warn(says("remarks", WITHDRAWN), "withdrawal_report_reference_required"), warn(bonus & price.isNull(), "invalid_common_share_allocation_ratio"), warn(~bonus & price.isNull(), "invalid_outstanding_share_reduction"),
         warn(~bonus, "proportional_consolidation_evidence_required")))
     out = df.select(
-        "symbol", "receipt_no", F.when(bonus, "stock_dividend").otherwise("reverse_split").alias("action_type"), filed.alias("filed_on"), "decision_date", "record_date", price.alias("price_factor"), volume.alias("volume_factor"),
+        "symbol", "receipt_no", *more, F.when(bonus, "stock_dividend").otherwise("reverse_split").alias("action_type"), filed.alias("filed_on"), "decision_date", "record_date", price.alias("price_factor"), volume.alias("volume_factor"),
         "report_name", "remarks", says("report_name", CORRECTED).alias("correction_hint"), says("remarks", LATER).alias("superseded_hint"), warnings.alias("warnings"))
-    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("filed_on"), F.desc("receipt_no")))
+    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("filed_on"), F.desc("receipt_no"), *[F.desc(c) for c in more]))
     out = out.withColumn("place", place)
     if limit is not None:
         out = out.withColumn("place", F.when(F.col("place") <= limit, F.col("place")).otherwise(F.raise_error(F.lit("more candidates than the limit")).cast("int")))

@@ -84,14 +84,16 @@ SELECT symbol, receipt_no, CASE WHEN bonus THEN 'stock_dividend' ELSE 'reverse_s
   fixed AS correction_hint, later AS superseded_hint, (2 + fixed::INT + later::INT + gone::INT + CASE WHEN bonus THEN (ratio <= 0)::INT ELSE 1 + (NOT (before > 0 AND after > 0 AND after < before))::INT END)::INT AS warnings,
   row_number() OVER (PARTITION BY symbol ORDER BY receipt_no[1:8] DESC, receipt_no DESC)::INT AS place FROM c""")
 def candidate_scan(spark, sf_dir):
+    """Each order's candidate. Receipt numbers hold the last six digits of a key, so
+    large tables have some more than once: order and filing share the key too."""
     k = F.col("o_orderkey")
     receipt = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((k % 1000000).cast("string"), 6, "0"))
     d = lambda c: c.cast("decimal(20,6)")
     rows = T.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("symbol"), F.when(k % 2 == 0, "bonus_issue").otherwise("capital_reduction").alias("kind"), receipt.alias("receipt_no"), (k % 5).cast("decimal(20,10)").alias("ratio"), d(k % 7 * 100).alias("before"), d(k % 3 * 100).alias("after"), F.to_date("o_orderdate").alias("decision_date"), F.lit(None).cast("date").alias("record_date"))
+        k, F.col("o_custkey").alias("symbol"), F.when(k % 2 == 0, "bonus_issue").otherwise("capital_reduction").alias("kind"), receipt.alias("receipt_no"), (k % 5).cast("decimal(20,10)").alias("ratio"), d(k % 7 * 100).alias("before"), d(k % 3 * 100).alias("after"), F.to_date("o_orderdate").alias("decision_date"), F.lit(None).cast("date").alias("record_date"))
     remarks = F.when(k % 4 == 0, "정").when(k % 8 == 1, "철")
-    filings = T.table(spark, sf_dir, "orders").select(receipt.alias("receipt_no"), F.when(k % 3 == 0, "[기재정정] 보고서").otherwise("보고서").alias("report_name"), remarks.alias("remarks"))
-    found = A.candidates(rows, filings)
+    filings = T.table(spark, sf_dir, "orders").select(k, receipt.alias("receipt_no"), F.when(k % 3 == 0, "[기재정정] 보고서").otherwise("보고서").alias("report_name"), remarks.alias("remarks"))
+    found = A.candidates(rows, filings, by=["receipt_no", "o_orderkey"])
     return found.select("symbol", "receipt_no", "action_type", F.round(F.col("price_factor").cast("double"), 9).alias("price_factor"), "correction_hint", "superseded_hint", F.size("warnings").alias("warnings"), "place")
 
 

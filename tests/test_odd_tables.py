@@ -43,3 +43,24 @@ def test_compliance_scan_beside_letters_beyond_ascii(held):
     rows = " UNION ALL ".join(f"SELECT {4 + 5 * k}::BIGINT, '{t}'" for k, t in enumerate(said))
     got = held("compliance_scan", documents=f"SELECT * FROM ({rows} UNION ALL SELECT 1004, NULL UNION ALL SELECT 1005, NULL) t(doc_id, text)")
     assert len({r.pattern for r in got}) > 4
+
+
+def copies(table, key, n, shift, **more):
+    """A table n times, with shifted keys."""
+    put = ", ".join(f"{c} + i * {d} AS {c}" for c, d in {key: shift, **more}.items())
+    return f"SELECT t.* REPLACE ({put}) FROM '{SF}/{table}.parquet' t, range({n}) r(i)"
+
+
+def test_candidate_scan_of_receipts_that_come_again(held):
+    # one receipt number, day by day, of orders of several symbols and of one
+    got = held("candidate_scan", orders=copies("orders", "o_orderkey", 3, 1_000_000, o_custkey=1000))
+    assert len({r.receipt_no for r in got}) * 3 == len(got)
+
+
+def test_candidates_by_more_than_the_receipt(spark):
+    from quantloom.operators import actions as A
+
+    rows = spark.createDataFrame([("S", "bonus_issue", "20240101000001", k) for k in (2, 1)], "symbol string, kind string, receipt_no string, k int").selectExpr("*", "1.0BD ratio", "1.0BD before", "1.0BD after", "null::date decision_date", "null::date record_date")
+    filings = spark.createDataFrame([("20240101000001", 1, "[기재정정] x", None), ("20240101000001", 2, "x", "정")], "receipt_no string, k int, report_name string, remarks string")
+    got = A.candidates(rows, filings, by=["receipt_no", "k"]).orderBy("place").collect()
+    assert [(r.k, r.place, r.correction_hint, r.superseded_hint) for r in got] == [(2, 1, False, True), (1, 2, True, False)]
