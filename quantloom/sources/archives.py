@@ -111,20 +111,23 @@ def read_zipped(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return zipped_records(files, tag)
 
 
-def catalogue(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def catalogue(records: DataFrame, latest: bool = True) -> tuple[DataFrame, DataFrame]:
     """(codes, errors) of the records of code catalogues: archive, stock_code,
     corp_code, corp_name, trimmed; entries without a stock code or a corporation
     code are left out, and of those with one stock code the last of the archive
-    counts. errors: archive, member, error, a row an archive that could not be read
+    counts, or all of them do (latest=False). errors: archive, member, error, a row an archive that could not be read
     and a row a record that is no XML."""
     fields = F.from_xml("record", CODES, {"mode": "PERMISSIVE"})
     parsed = records.select("archive", "member", "ordinal", "error", "record", fields.alias("f"))
     text = lambda c: F.trim(F.coalesce(F.col(f"f.{c}"), F.lit("")))
     rows = parsed.where("error is null").select("archive", "ordinal", text("stock_code").alias("stock_code"), text("corp_code").alias("corp_code"), text("corp_name").alias("corp_name"))
-    last = rows.where("stock_code != '' and corp_code != ''").groupBy("archive", "stock_code").agg(F.max_by(F.struct("corp_code", "corp_name"), "ordinal").alias("c"))
+    codes = rows.where("stock_code != '' and corp_code != ''")
+    if latest:
+        last = codes.groupBy("archive", "stock_code").agg(F.max_by(F.struct("corp_code", "corp_name"), "ordinal").alias("c"))
+        codes = last.select("archive", "stock_code", "c.*")
     torn = F.col("error").isNull() & F.col("f.corp_code").isNull() & F.col("f.stock_code").isNull() & F.col("f.corp_name").isNull() & F.col("f.modify_date").isNull()
     errors = parsed.select("archive", "member", F.when(torn, "bad record").otherwise(F.col("error")).alias("error")).where("error is not null")
-    return last.select("archive", "stock_code", "c.corp_code", "c.corp_name"), errors
+    return codes.select("archive", "stock_code", "corp_code", "corp_name"), errors
 
 
 def write_zipped(rows: DataFrame, path: str) -> None:

@@ -64,3 +64,8 @@ def test_candidates_by_more_than_the_receipt(spark):
     filings = spark.createDataFrame([("20240101000001", 1, "[기재정정] x", None), ("20240101000001", 2, "x", "정")], "receipt_no string, k int, report_name string, remarks string")
     got = A.candidates(rows, filings, by=["receipt_no", "k"]).orderBy("place").collect()
     assert [(r.k, r.place, r.correction_hint, r.superseded_hint) for r in got] == [(2, 1, False, True), (1, 2, True, False)]
+
+
+def test_code_catalogue_of_codes_that_come_again(held):
+    got = held("code_catalogue", customer=copies("customer", "c_custkey", 4, 300_000))
+    assert len({(r.archive, r.stock_code) for r in got}) < len(got)
