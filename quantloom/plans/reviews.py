@@ -71,10 +71,12 @@ e AS (SELECT k, CASE WHEN m = 0 THEN 'confirmation' WHEN m = 1 THEN 'source' WHE
 SELECT k AS request_id, coalesce(error, 'none') AS error, error IS NULL AND k % 4 != 0 AS created, error IS NULL AND k % 4 = 0 AS already FROM e""")
 def approval_workflow(spark, sf_dir):
     """Each order's candidate is asked for; those of each fourth order were approved
-    by a call before."""
+    by a call before. A receipt number names one order, however many there are: a
+    million of a day, then those of the next."""
     root, k, m = scratch(spark, "approvals"), F.col("o_orderkey"), F.col("o_custkey") % 10
     orders = T.table(spark, sf_dir, "orders")
-    receipt = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((k % 1000000).cast("string"), 6, "0"))
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.floor(k / 1000000).cast("int"))
+    receipt = F.concat(F.date_format(day, "yyyyMMdd"), F.lpad((k % 1000000).cast("string"), 6, "0"))
     d = lambda c: c.cast("decimal(20,6)")
     symbol = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
 

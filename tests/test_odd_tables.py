@@ -69,3 +69,8 @@ def test_candidates_by_more_than_the_receipt(spark):
 def test_code_catalogue_of_codes_that_come_again(held):
     got = held("code_catalogue", customer=copies("customer", "c_custkey", 4, 300_000))
     assert len({(r.archive, r.stock_code) for r in got}) < len(got)
+
+
+def test_approval_workflow_of_keys_beyond_a_receipts_digits(held):
+    got = held("approval_workflow", orders=copies("orders", "o_orderkey", 3, 1_000_000))
+    assert {r.error for r in got if r.created} == {"none"} and any(r.already for r in got)
